@@ -21,7 +21,7 @@ from .tokens import blocks, powers, prefix_hash, scramble, text_bytes
 
 SPAN, GRAM = 50, 16
 #: Bytes of text for each hash bucket of anchors, about.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes of contexts in one suffix array, and the distinct contexts of one anchor beyond which its 50-byte strings are dealt out one by one.
 ARRAY_BYTES, CONTEXTS = 128 << 10, 1000
 BLOCK = 1 << 20
