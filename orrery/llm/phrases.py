@@ -71,7 +71,7 @@ class Shard:
         order = np.argsort(counts, axis=1, kind="stable")
         least = np.take_along_axis(counts, order[:, :1], 1)[:, 0]
         live = np.flatnonzero(least > 0)
-        out_w, out_s = [], []
+        out_w, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         ends = np.cumsum(least[live])
         a = 0
         while a < len(live):
