@@ -18,8 +18,10 @@ from .tokens import LOWER, blocks, powers, prefix_hash, scramble, text_bytes, wo
 
 BUCKETS, SIZES, WIDTH = 1 << 18, (3, 5, 7), 4
 #: Labelled texts that are learned from, about, of each class: those of the smallest hashes.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2000
 STEPS, RATE, TOP_RATE, MOMENTUM = 30, 60.0, 0.1, 0.8
+#: Sample texts that are taken apart at once.
+FIT_TEXTS = 200
 #: Buckets that fewer sample texts have are not learned (in small samples, a fiftieth of them).
 LEAST_TEXTS = 100
 
@@ -56,7 +58,7 @@ class Sparse:
         for key, other in ((row, col), (col, row)):
             order = np.argsort(key, kind="stable")
             groups, at = np.unique(key[order], return_index=True)
-            self.sides.append((other[order], weight[order].astype(np.float32)[:, None], groups, at))
+            self.sides.append((other[order].astype(np.int32), weight[order].astype(np.float32)[:, None], groups, at))
 
     def times(self, x: np.ndarray, flip: bool = False) -> np.ndarray:
         other, weight, groups, at = self.sides[flip]
@@ -66,32 +68,39 @@ class Sparse:
         return out
 
 
-def fit(texts: list, labels: list, prior: float | None = None, seed: int = 1) -> tuple[np.ndarray, float]:
-    """(number per bucket, bias): the log-odds of a text are the average over its words of the words' averages, plus the bias.
-
-    prior: the share of label 1 among all labelled rows, if the sample's differs.  Needs
-    both classes, else every bucket has 0 and the bias says the class.
-    """
-    y = np.array(labels, np.int64)
-    if not len(y) or y.min() == y.max():
-        return np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0)
-    raw = [(t or "").encode() for t in texts]
+def _shares(raw: list[bytes], first_row: int):
+    """(row, bucket, share): each bucket's share of the average of each text."""
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
     start, end, row, h = words(data, offsets)
+    if not len(start):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
     _, first, of = np.unique(h, return_index=True, return_inverse=True)
     word, bucket = subwords(data, start[first], end[first])
-    share, at = 1.0 / np.bincount(word, minlength=len(first)), np.searchsorted(word[np.argsort(word, kind="stable")], np.arange(len(first) + 1))
-    bucket = bucket[np.argsort(word, kind="stable")]
-    # Text by bucket: the bucket's share of the text's average.  Buckets in a few texts only say which text it is.
-    total = np.maximum(np.bincount(row, minlength=len(y)), 1)
+    order = np.argsort(word, kind="stable")
+    share, at, bucket = 1.0 / np.bincount(word, minlength=len(first)), np.searchsorted(word[order], np.arange(len(first) + 1)), bucket[order]
+    total = np.maximum(np.bincount(row, minlength=len(raw)), 1)
     cell, n = np.unique(row * len(first) + of, return_counts=True)
     d, w = cell // len(first), cell % len(first)
     size = at[w + 1] - at[w]
     place = np.repeat(at[w] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     key, of = np.unique(np.repeat(d, size) * BUCKETS + bucket[place], return_inverse=True)
     value = np.bincount(of, np.repeat(n * share[w] / total[d], size))
-    d, f = key // BUCKETS, key % BUCKETS
+    return (key // BUCKETS + first_row).astype(np.int32), (key % BUCKETS).astype(np.int32), value.astype(np.float32)
+
+
+def fit(texts: list, labels: list, prior: float | None = None, seed: int = 1) -> tuple[np.ndarray, float]:
+    """(number per bucket, bias): the log-odds of a text are the average over its words of the words' averages, plus the bias.
+
+    prior: the share of label 1 among all labelled rows, if the sample's differs.  Needs
+    both classes, else every bucket has 0 and the bias says the class.
+    """
+    y = np.array(labels, np.int64)
+    if not len(y) or y.min() == y.max():
+        return np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0)
+    parts = [_shares([(t or "").encode() for t in texts[a : a + FIT_TEXTS]], a) for a in range(0, len(texts), FIT_TEXTS)]
+    d, f, value = map(np.concatenate, zip(*parts, strict=True))
+    # Buckets in a few texts only say which text it is.
     texts_with = np.bincount(f, minlength=BUCKETS)
     keep = texts_with[f] >= min(LEAST_TEXTS, max(2, len(y) // 50))
     d, value = d[keep], value[keep]
