@@ -18,7 +18,7 @@ from .tokens import LOWER, blocks, powers, prefix_hash, scramble, text_bytes, wo
 
 BUCKETS, SIZES, WIDTH = 1 << 18, (3, 5, 7), 4
 #: Labelled texts that are learned from, about, of each class: those of the smallest hashes.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 1500
 STEPS, RATE, TOP_RATE, MOMENTUM = 30, 60.0, 0.1, 0.8
 #: Sample texts that are taken apart at once.
 FIT_TEXTS = 200
@@ -100,6 +100,7 @@ def fit(texts: list, labels: list, prior: float | None = None, seed: int = 1) ->
         return np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0)
     parts = [_shares([(t or "").encode() for t in texts[a : a + FIT_TEXTS]], a) for a in range(0, len(texts), FIT_TEXTS)]
     d, f, value = map(np.concatenate, zip(*parts, strict=True))
+    del parts
     # Buckets in a few texts only say which text it is.
     texts_with = np.bincount(f, minlength=BUCKETS)
     keep = texts_with[f] >= min(LEAST_TEXTS, max(2, len(y) // 50))
