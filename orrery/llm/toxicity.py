@@ -1,9 +1,12 @@
 """Toxicity (operator 4): subword-bag embeddings averaged into a linear softmax.
 
-A word is the average of the vectors of its character n-grams (hashed to buckets) and of
-itself; a text is the average of its words; a softmax over two classes follows.  Vectors
-and softmax are trained together, by gradient steps over the whole sample in numpy.  As
-everything before the softmax is linear, scoring needs one number for each bucket.
+A word is the average of the vectors of its known subwords: its character n-grams and
+itself, hashed to buckets.  A text is the average of its words that have any, and of one
+end mark; a softmax over two classes follows.  Vectors and softmax are trained together,
+by gradient steps over the whole sample in numpy.  Known are the buckets that one class
+of the sample's texts has more often than chance explains; others would only tell the
+sample's texts apart.  As everything before the softmax is linear, scoring needs one
+number for each bucket.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from .tokens import LOWER, blocks, powers, prefix_hash, scramble, text_bytes, wo
 BUCKETS, SIZES, WIDTH = 1 << 18, (3, 5, 7), 4
 #: Labelled texts that are learned from, about, of each class: those of the smallest hashes.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 1500
-STEPS, RATE, TOP_RATE, MOMENTUM = 30, 60.0, 0.1, 0.8
-#: Sample texts that are taken apart at once.
-FIT_TEXTS = 200
-#: Buckets that fewer sample texts have are not learned (in small samples, a fiftieth of them).
-LEAST_TEXTS = 100
+STEPS, RATE, TOP_RATE, MOMENTUM = 300, 30.0, 0.1, 0.8
+#: Bytes of sample texts that are taken apart at once.
+FIT_BYTES = 256 << 10
+#: Known buckets: shares of texts that have them differ by so many standard errors between the classes.
+CHANCE = 8.0
 
 
 def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -68,94 +71,126 @@ class Sparse:
         return out
 
 
-def _shares(raw: list[bytes], first_row: int):
-    """(row, bucket, share): each bucket's share of the average of each text."""
+def _cells(raw: list[bytes], known: np.ndarray | None = None):
+    """(row, bucket, share) over texts: share is what the bucket has in the text's average.
+
+    Without known (a mask of buckets), each (row, bucket) that occurs, and shares of 0.
+    """
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
     start, end, row, h = words(data, offsets)
+    none = np.zeros(0, np.int64)
     if not len(start):
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return none, none, np.zeros(0, np.float32)
     _, first, of = np.unique(h, return_index=True, return_inverse=True)
     word, bucket = subwords(data, start[first], end[first])
-    order = np.argsort(word, kind="stable")
-    share, at, bucket = 1.0 / np.bincount(word, minlength=len(first)), np.searchsorted(word[order], np.arange(len(first) + 1)), bucket[order]
-    total = np.maximum(np.bincount(row, minlength=len(raw)), 1)
-    cell, n = np.unique(row * len(first) + of, return_counts=True)
+    if known is not None:
+        use = known[bucket]
+        word, bucket = word[use], bucket[use]
+    n_known = np.bincount(word, minlength=len(first))
+    cell, n = np.unique(row * len(first) + of, return_counts=True)  # distinct words of each text
     d, w = cell // len(first), cell % len(first)
-    size = at[w + 1] - at[w]
+    if known is not None:
+        d, w, n = d[n_known[w] > 0], w[n_known[w] > 0], n[n_known[w] > 0]
+    total = np.bincount(d, n, len(raw)) + 1
+    order = np.argsort(word, kind="stable")
+    bucket, at = bucket[order], np.cumsum(n_known) - n_known
+    size = n_known[w]
     place = np.repeat(at[w] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    key, of = np.unique(np.repeat(d, size) * BUCKETS + bucket[place], return_inverse=True)
-    value = np.bincount(of, np.repeat(n * share[w] / total[d], size))
-    return (key // BUCKETS + first_row).astype(np.int32), (key % BUCKETS).astype(np.int32), value.astype(np.float32)
-
-
-def fit(texts: list, labels: list, prior: float | None = None, seed: int = 1) -> tuple[np.ndarray, float]:
-    """(number per bucket, bias): the log-odds of a text are the average over its words of the words' averages, plus the bias.
-
-    prior: the share of label 1 among all labelled rows, if the sample's differs.  Needs
-    both classes, else every bucket has 0 and the bias says the class.
+    key = np.repeat(d, size) * BUCKETS + bucket[place]
+    if known is None:
+        key = np.unique(key)
+        return key // BUCKETS, key % BUCKETS, np.zeros(len(key), np.float32)
+    key, of = np.unique(key, return_inverse=True)
+    value = np.bincount(of, np.repeat(n / size / total[d], size), len(key))
+    return key // BUCKETS, key % BUCKETS, value.astype(np.float32)
+
+
+def _lots(raw: list[bytes]):
+    return blocks(np.concatenate([[0], np.cumsum([len(r) for r in raw])]), FIT_BYTES)
+
+
+def known_buckets(raw: list[bytes], y: np.ndarray) -> np.ndarray:
+    """Mask of the buckets that texts of one class have more often than chance explains."""
+    n = np.bincount(y, minlength=2).astype(float)
+    have = np.zeros((2, BUCKETS))
+    for a, b in _lots(raw):
+        d, f, _ = _cells(raw[a:b])
+        for label in (0, 1):
+            have[label] += np.bincount(f[y[a:b][d] == label], minlength=BUCKETS)
+    share, all_of = have / n[:, None], have.sum(0) / n.sum()
+    error = np.sqrt(np.maximum(all_of * (1 - all_of), 1e-12) * (1 / n).sum())
+    # In small samples no difference is that many errors wide: a third of the widest there can be is enough.
+    return np.abs(share[1] - share[0]) > error * min(CHANCE, np.sqrt(1 / (1 / n).sum()) / 3)
+
+
+def fit(texts: list, labels: list, prior: float | None = None, seed: int = 1) -> tuple[np.ndarray, float, float]:
+    """(number per bucket, number of the end mark, bias): what makes up the log-odds of a text.
+
+    Unknown buckets have 0.  prior: the share of label 1 among all labelled rows, if the
+    sample's differs.  Needs both classes, else the bias alone says the class.
     """
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
-        return np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0)
-    parts = [_shares([(t or "").encode() for t in texts[a : a + FIT_TEXTS]], a) for a in range(0, len(texts), FIT_TEXTS)]
+        return np.zeros(BUCKETS, np.float32), 0.0, 0.0 if not len(y) else (4.0 if y[0] else -4.0)
+    raw = [(t or "").encode() for t in texts]
+    known = known_buckets(raw, y)
+    used = np.append(np.flatnonzero(known), BUCKETS)  # the last one is the end mark
+    column = np.cumsum(known) - 1
+    parts = []
+    for a, b in _lots(raw):
+        d, f, value = _cells(raw[a:b], known)
+        end = 1 - np.bincount(d, value, b - a)
+        parts.append((np.concatenate([d, np.arange(b - a)]) + a, np.append(column[f], np.full(b - a, len(used) - 1)), np.append(value, end)))
     d, f, value = map(np.concatenate, zip(*parts, strict=True))
-    del parts
-    # Buckets in a few texts only say which text it is.
-    texts_with = np.bincount(f, minlength=BUCKETS)
-    keep = texts_with[f] >= min(LEAST_TEXTS, max(2, len(y) // 50))
-    d, value = d[keep], value[keep]
-    used, f = np.unique(f[keep], return_inverse=True)
-    mean = np.bincount(f, value, len(used)) / len(y)
-    spread = np.sqrt(np.maximum(np.bincount(f, value**2, len(used)) / len(y) - mean**2, 1e-12))
-    bags = Sparse(d, f, value / spread[f] / np.sqrt(max(len(used), 1)), (len(y), len(used)))
-    centre = (mean / spread / np.sqrt(max(len(used), 1))).astype(np.float32)
+    bags = Sparse(d, f, value, (len(y), len(used)))
     rng = np.random.default_rng(seed)
     emb, top, bias = np.zeros((len(used), WIDTH), np.float32), rng.normal(0, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
     moved = [np.zeros_like(emb), np.zeros_like(top), np.zeros_like(bias)]
     for _ in range(STEPS):
-        doc = bags.times(emb) - centre @ emb
+        doc = bags.times(emb)
         z = doc @ top + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = p
         g[np.arange(len(y)), y] -= 1
         g /= len(y)
-        up = g @ top.T
-        for m, grad in zip(moved, (bags.times(up, True) - np.outer(centre, up.sum(0)), doc.T @ g, g.sum(0)), strict=True):
+        for m, grad in zip(moved, (bags.times(g @ top.T, True), doc.T @ g, g.sum(0)), strict=True):
             m *= MOMENTUM
             m += grad
         emb, top, bias = emb - RATE * moved[0], top - TOP_RATE * moved[1], bias - TOP_RATE * moved[2]
     odds_of = emb @ (top[:, 1] - top[:, 0])
-    table = np.zeros(BUCKETS, np.float32)
-    table[used] = odds_of / spread / np.sqrt(max(len(used), 1))
-    bias = bias - np.array([0, centre @ odds_of], np.float32)
+    table = np.zeros(BUCKETS + 1, np.float32)
+    table[used] = odds_of
     odds = float(bias[1] - bias[0])
     if prior:
         odds += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
-    return table, odds
+    return table[:BUCKETS], float(table[BUCKETS]), odds
 
 
-def log_odds(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
-    """Of each row of a block of texts; texts without words have the bias."""
+def log_odds(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, end_mark: float, bias: float) -> np.ndarray:
+    """Of each row of a block of texts; texts without known subwords have the end mark and the bias."""
     data = LOWER[data]
     start, end, row, h = words(data, offsets)
     _, first, of = np.unique(h, return_index=True, return_inverse=True)
     word, bucket = subwords(data, start[first], end[first]) if len(first) else (start, start)
-    score = np.bincount(word, table[bucket], len(first)) / np.maximum(np.bincount(word, minlength=len(first)), 1)
+    number = table[bucket]
+    n_known = np.bincount(word[number != 0], minlength=len(first))
+    score = np.bincount(word, number, len(first)) / np.maximum(n_known, 1)
     n = len(offsets) - 1
-    return np.bincount(row, score[of], n) / np.maximum(np.bincount(row, minlength=n), 1) + bias
+    total = np.bincount(row, score[of], n) + end_mark
+    return total / (np.bincount(row, n_known[of] > 0, n) + 1) + bias
 
 
 def _scorer(shared):
     def run(batches):
         import pyarrow as pa
 
-        table, bias = shared.value
+        model = shared.value
         for batch in batches:
             names = batch.schema.names
             data, offsets = text_bytes(batch.column(names.index("text")))
-            odds = [log_odds(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table, bias) for a, b in blocks(offsets)]
+            odds = [log_odds(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], *model) for a, b in blocks(offsets)]
             score = 1 / (1 + np.exp(-np.clip(np.concatenate(odds) if odds else np.zeros(0), -700, 700)))
             rest = [k for k in names if k != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(names.index(k)) for k in rest] + [pa.array(score, pa.float64())], [*rest, "score"])
@@ -163,7 +198,7 @@ def _scorer(shared):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> tuple[np.ndarray, float, float]:
     """A model from docs(doc_id, text) and labels(doc_id, toxic): n_toxic and n_clean texts, about, at most.
 
     A doc_id with several labels is toxic if any says so; null labels and ids teach nothing.
@@ -180,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cle
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], prior if 0 < prior < 1 else None)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
     """Per row of docs(doc_id, text, and what else it has): its columns but text, and score (0 to 1).
 
     Whole texts are scored.  Null or empty texts, and texts without words, get what the
