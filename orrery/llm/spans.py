@@ -4,8 +4,9 @@
    are equal have equal anchors.  Neighbouring strings with one anchor form a context.
 2. Anchors meet by hash, packed to a few rows per batch.  If all contexts of an anchor are
    alike, they are copies: the least document keeps them.  If not, they are contested.
-3. Contested contexts only, each distinct one once, get suffix arrays by linear grouping
-   (gsaca.py); equal 50-byte strings are neighbours there, compared byte by byte.
+3. Contested contexts only, each distinct one once, and of them the stretches between
+   strings that have an equal by hash, get suffix arrays by linear grouping (gsaca.py);
+   equal 50-byte strings are neighbours there, compared byte by byte.
 4. What each document loses comes back to it as anchors with masks, and its bytes go.
 """
 
@@ -204,18 +205,61 @@ def least_holders(strings: list[bytes], docs: np.ndarray, span: int = SPAN) -> l
     return [held[s : s + max(0, k - span + 1)] for s, k in zip(start, n, strict=True)]
 
 
+def _shared_places(strings: list[bytes], span: int = SPAN) -> list[tuple[int, int] | None]:
+    """For each string the first and last place whose span-byte string, by its hash, has an equal among them all; None without one."""
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    n = np.array([len(s) for s in strings])
+    start, n_places = np.cumsum(n) - n, np.maximum(n - span + 1, 0)
+    owner = np.repeat(np.arange(len(n)), n_places)
+    at = np.arange(len(owner)) - (np.cumsum(n_places) - n_places)[owner]
+    i = start[owner] + at
+    h, inverse = prefix_hash(data), powers(len(data))[1]
+    name = scramble((h[i + span] - h[i]) * inverse[i])
+    order = np.argsort(name)
+    equal = name[order][1:] == name[order][:-1]
+    shared = np.zeros(len(name), bool)
+    shared[order[1:][equal]] = shared[order[:-1][equal]] = True
+    at, owner = at[shared], owner[shared]
+    first = np.searchsorted(owner, np.arange(len(n) + 1))
+    return [(int(at[x]), int(at[y - 1])) if x < y else None for x, y in zip(first[:-1], first[1:], strict=True)]
+
+
 def _arrays(batches):
-    """(k, c, s, d), an anchor's contexts together, to (k, c, held): for each place of s the least document, packed."""
+    """(k, c, s, d, n), an anchor's contexts together, to (k, c, held, n): for each place of s the least document, packed.
+
+    Places without an equal elsewhere are their own document's and stay out of the suffix
+    arrays.  Contexts of one document from which nothing can go are left out of the result.
+    """
     import pyarrow as pa
 
     def done(rows):
-        held = least_holders([r[2] for r in rows], np.array([r[3] for r in rows], np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([h.astype("<i8").tobytes() for h in held], pa.binary())], ["k", "c", "held"])
+        held = [None] * len(rows)
+        todo, size = [], 0
+
+        def decide():
+            found = least_holders([rows[i][2][x : y + SPAN] for i, x, y in todo], np.array([rows[i][3] for i, _, _ in todo], np.int64))
+            for (i, x, y), h in zip(todo, found, strict=True):
+                held[i][x : y + 1] = h
+
+        for i, (r, place) in enumerate(zip(rows, _shared_places([r[2] for r in rows]), strict=True)):
+            if place or r[4] > 1:
+                held[i] = np.full(len(r[2]) - SPAN + 1, r[3], "<i8")
+            if place:
+                if size >= ARRAY_BYTES and rows[todo[-1][0]][0] != r[0]:
+                    decide()
+                    todo, size = [], 0
+                todo.append((i, *place))
+                size += place[1] - place[0] + SPAN
+        if todo:
+            decide()
+        use = [i for i, h in enumerate(held) if h is not None and (rows[i][4] > 1 or (h < rows[i][3]).any())]
+        cols = [[rows[i][0] for i in use], [rows[i][1] for i in use], [held[i].tobytes() for i in use], [rows[i][4] for i in use]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["k", "c", "held", "n"])
 
     rows, size = [], 0
     for batch in batches:
-        for r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if size >= ARRAY_BYTES and r[0] != rows[-1][0]:
+        for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if size >= BLOCK and r[0] != rows[-1][0]:
                 yield done(rows)
                 rows, size = [], 0
             rows.append(r)
@@ -291,16 +335,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     held = cut(rows.mapInArrow(_contested, "k long, c long, s binary, doc_id long"))
     distinct = cut(held.groupBy("k", "c").agg(F.min("doc_id").alias("d"), F.first("s").alias("s"), F.count("*").alias("n")))
     crowded = cut(distinct.groupBy("k").agg(F.count("*").alias("n_contexts")).where(F.col("n_contexts") > CONTEXTS))
-    few = distinct.join(crowded, "k", "left_anti").select("k", "c", "s", "d").repartition("k").sortWithinPartitions("k", "c")
-    found = few.mapInArrow(_arrays, "k long, c long, held binary")
+    few = distinct.join(crowded, "k", "left_anti").select("k", "c", "s", "d", "n").repartition("k").sortWithinPartitions("k", "c")
+    found = few.mapInArrow(_arrays, "k long, c long, held binary, n long")
     # Anchors with very many contexts: their 50-byte strings are counted one by one, over all tasks.
-    many = distinct.join(crowded, "k").select("k", "c", "d", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("s") - (SPAN - 1)), lambda i: F.substring(F.col("s"), i, F.lit(SPAN)))).alias("pos", "w"))
+    many = distinct.join(crowded, "k").select("k", "c", "d", F.col("n").alias("copies"), F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("s") - (SPAN - 1)), lambda i: F.substring(F.col("s"), i, F.lit(SPAN)))).alias("pos", "w"))
     least = many.groupBy("w").agg(F.min("d").alias("low"), F.count("*").alias("n"))
-    many = attach(cut(many), cut(least), ["w"], "n", many.count()).groupBy("k", "c").agg(F.sort_array(F.collect_list(F.struct("pos", "low"))).alias("lows"))
+    many = attach(cut(many), cut(least), ["w"], "n", many.count()).groupBy("k", "c").agg(F.sort_array(F.collect_list(F.struct("pos", "low"))).alias("lows"), F.max("copies").alias("n"), F.min("d").alias("d"), F.min("low").alias("low")).where("n > 1 OR low < d")
     wide = F.transform("lows", lambda x: F.hex(x["low"]))
     flip = lambda h: F.concat(*[F.substring(F.lpad(h, 16, "0"), i, 2) for i in range(15, 0, -2)])
-    found = found.unionByName(many.select("k", "c", F.unhex(F.array_join(F.transform(wide, flip), "")).alias("held")))
-    found = cut(found.join(distinct.select("k", "c", "n"), ["k", "c"]))
+    found = found.unionByName(many.select("k", "c", F.unhex(F.array_join(F.transform(wide, flip), "")).alias("held"), "n"))
+    found = cut(found)
     masks = attach(held.select("k", "c", "doc_id"), found, ["k", "c"], "n", held.count())
     masks = masks.groupBy("doc_id").agg(F.collect_list(F.struct("k", "c", "held")).alias("masks"))
     both = by_doc.join(masks, "doc_id", "left").withColumnRenamed("doc_id", "__id")
