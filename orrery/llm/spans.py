@@ -2,8 +2,9 @@
 
 1. Anchors.  Every 50-byte string has a least-hashed 16-byte gram, its anchor; strings that
    are equal have equal anchors.  Neighbouring strings with one anchor form a context.
-2. Anchors meet by hash, packed to a few rows per batch.  If all contexts of an anchor are
-   alike, they are copies: the least document keeps them.  If not, they are contested.
+2. Anchors meet by hash, packed to a few rows per batch.  Equal contexts of an anchor are
+   copies: all but the least document's go.  If an anchor has different contexts, those of
+   the least documents are contested.
 3. Contested contexts only, each distinct one once, and of them the stretches between
    strings that have an equal by hash, get suffix arrays by linear grouping (gsaca.py);
    equal 50-byte strings are neighbours there, compared byte by byte.
@@ -131,14 +132,16 @@ def _meet(batches):
     doc = np.repeat(np.concatenate(docs), np.concatenate(counts))
     pairs = np.concatenate(pairs)
     key, context = _unpacked(pairs)
-    order = np.argsort(key)
+    order = np.lexsort((context, key))
     key, context, doc, pairs = key[order], context[order], doc[order], pairs[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.flatnonzero(new_key)
     n = np.diff(np.append(first, len(key)))
-    least = np.repeat(np.minimum.reduceat(doc, first), n)
     several = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), n)
     alike = np.repeat(np.minimum.reduceat(context, first) == np.maximum.reduceat(context, first), n)
-    what = np.where(alike, np.where(doc > least, ALL, 0), ASK) * several
+    same = np.flatnonzero(new_key | np.concatenate([[True], context[1:] != context[:-1]]))
+    least = np.repeat(np.minimum.reduceat(doc, same), np.diff(np.append(same, len(key))))
+    what = np.where(doc > least, ALL, np.where(alike, 0, ASK)) * several
     use = np.flatnonzero(what)
     marks = np.zeros(len(use), MARK)
     for f in PAIR.names:
@@ -150,7 +153,7 @@ def _meet(batches):
     new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (context[1:] != context[:-1])
     marks, doc = marks[new], doc[new]
     at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), _binaries(marks, np.append(at, len(doc)))], ["doc_id", "marks"])
+    yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), _binaries(marks, np.append(at, len(doc))), pa.array(np.logical_or.reduceat(marks["what"] == ASK, at) if len(at) else np.zeros(0, bool))], ["doc_id", "marks", "asked"])
 
 
 def _one(row: np.ndarray, key: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -167,7 +170,7 @@ def _marked(blobs: list) -> tuple:
 
 
 def _contested(batches):
-    """(doc_id, text, marks) to (k, c, s, doc_id): each contested context of a document once, with its bytes."""
+    """(doc_id, text, marks) to (k, c, s, d): each contested context of a document once, with its bytes."""
     import pyarrow as pa
 
     for batch in batches:
@@ -183,7 +186,7 @@ def _contested(batches):
             use = once[np.isin(mine[once], _one(m_row[ask], m_key[ask], m_context[ask]))]
             raw = own.tobytes()
             cols = [(key[use] & LOW48).astype(np.int64), (context[use] & LOW48).astype(np.int64), [raw[s : e + SPAN] for s, e in zip(first[use], last[use], strict=True)], [ids[a + r] for r in row[use]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["k", "c", "s", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["k", "c", "s", "d"])
 
 
 def least_holders(strings: list[bytes], docs: np.ndarray, span: int = SPAN) -> list[np.ndarray]:
@@ -225,10 +228,10 @@ def _shared_places(strings: list[bytes], span: int = SPAN) -> list[tuple[int, in
 
 
 def _arrays(batches):
-    """(k, c, s, d, n), an anchor's contexts together, to (k, c, held, n): for each place of s the least document, packed.
+    """(k, c, s, d), an anchor's contexts together, to (k, c, d, held): for each place of s the least document, packed.
 
     Places without an equal elsewhere are their own document's and stay out of the suffix
-    arrays.  Contexts of one document from which nothing can go are left out of the result.
+    arrays.  Contexts from which nothing goes are left out of the result.
     """
     import pyarrow as pa
 
@@ -242,9 +245,8 @@ def _arrays(batches):
                 held[i][x : y + 1] = h
 
         for i, (r, place) in enumerate(zip(rows, _shared_places([r[2] for r in rows]), strict=True)):
-            if place or r[4] > 1:
-                held[i] = np.full(len(r[2]) - SPAN + 1, r[3], "<i8")
             if place:
+                held[i] = np.full(len(r[2]) - SPAN + 1, r[3], "<i8")
                 if size >= ARRAY_BYTES and rows[todo[-1][0]][0] != r[0]:
                     decide()
                     todo, size = [], 0
@@ -252,13 +254,13 @@ def _arrays(batches):
                 size += place[1] - place[0] + SPAN
         if todo:
             decide()
-        use = [i for i, h in enumerate(held) if h is not None and (rows[i][4] > 1 or (h < rows[i][3]).any())]
-        cols = [[rows[i][0] for i in use], [rows[i][1] for i in use], [held[i].tobytes() for i in use], [rows[i][4] for i in use]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["k", "c", "held", "n"])
+        use = [i for i, h in enumerate(held) if h is not None and (h < rows[i][3]).any()]
+        cols = [[rows[i][0] for i in use], [rows[i][1] for i in use], [rows[i][3] for i in use], [held[i].tobytes() for i in use]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["k", "c", "d", "held"])
 
     rows, size = [], 0
     for batch in batches:
-        for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if size >= BLOCK and r[0] != rows[-1][0]:
                 yield done(rows)
                 rows, size = [], 0
@@ -328,25 +330,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = max(1, -(-size // BUCKET_BYTES))
     known = docs.where(F.col("doc_id").isNotNull())
     posted = known.mapInArrow(_post(n), "bucket int, docs binary, counts binary, pairs binary")
-    marks = cut(posted.repartition(n, "bucket").mapInArrow(_meet, "doc_id long, marks binary"))
+    marks = cut(posted.repartition(n, "bucket").mapInArrow(_meet, "doc_id long, marks binary, asked boolean"))
     by_doc = marks.groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    ask = marks.where(F.lit(True)).groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    rows = known.join(ask.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "marks")
-    held = cut(rows.mapInArrow(_contested, "k long, c long, s binary, doc_id long"))
-    distinct = cut(held.groupBy("k", "c").agg(F.min("doc_id").alias("d"), F.first("s").alias("s"), F.count("*").alias("n")))
-    crowded = cut(distinct.groupBy("k").agg(F.count("*").alias("n_contexts")).where(F.col("n_contexts") > CONTEXTS))
-    few = distinct.join(crowded, "k", "left_anti").select("k", "c", "s", "d", "n").repartition("k").sortWithinPartitions("k", "c")
-    found = few.mapInArrow(_arrays, "k long, c long, held binary, n long")
+    asked = marks.where("asked").groupBy("doc_id").agg(F.collect_list("marks").alias("marks")).withColumnRenamed("doc_id", "__id")
+    rows = known.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "marks")
+    held = cut(rows.mapInArrow(_contested, "k long, c long, s binary, d long"))
+    crowded = cut(held.groupBy("k").agg(F.count("*").alias("n_contexts")).where(F.col("n_contexts") > CONTEXTS))
+    few = held.join(crowded, "k", "left_anti").repartition("k").sortWithinPartitions("k", "c")
+    found = few.mapInArrow(_arrays, "k long, c long, d long, held binary")
     # Anchors with very many contexts: their 50-byte strings are counted one by one, over all tasks.
-    many = distinct.join(crowded, "k").select("k", "c", "d", F.col("n").alias("copies"), F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("s") - (SPAN - 1)), lambda i: F.substring(F.col("s"), i, F.lit(SPAN)))).alias("pos", "w"))
+    many = held.join(crowded, "k").select("k", "c", "d", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("s") - (SPAN - 1)), lambda i: F.substring(F.col("s"), i, F.lit(SPAN)))).alias("pos", "w"))
+    many = cut(many.distinct())
     least = many.groupBy("w").agg(F.min("d").alias("low"), F.count("*").alias("n"))
-    many = attach(cut(many), cut(least), ["w"], "n", many.count()).groupBy("k", "c").agg(F.sort_array(F.collect_list(F.struct("pos", "low"))).alias("lows"), F.max("copies").alias("n"), F.min("d").alias("d"), F.min("low").alias("low")).where("n > 1 OR low < d")
+    many = attach(many, cut(least), ["w"], "n", many.count()).groupBy("k", "c", "d").agg(F.sort_array(F.collect_list(F.struct("pos", "low"))).alias("lows"), F.min("low").alias("low")).where("low < d")
     wide = F.transform("lows", lambda x: F.hex(x["low"]))
     flip = lambda h: F.concat(*[F.substring(F.lpad(h, 16, "0"), i, 2) for i in range(15, 0, -2)])
-    found = found.unionByName(many.select("k", "c", F.unhex(F.array_join(F.transform(wide, flip), "")).alias("held"), "n"))
-    found = cut(found)
-    masks = attach(held.select("k", "c", "doc_id"), found, ["k", "c"], "n", held.count())
-    masks = masks.groupBy("doc_id").agg(F.collect_list(F.struct("k", "c", "held")).alias("masks"))
+    found = found.unionByName(many.select("k", "c", "d", F.unhex(F.array_join(F.transform(wide, flip), "")).alias("held")))
+    masks = found.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("k", "c", "held")).alias("masks"))
     both = by_doc.join(masks, "doc_id", "left").withColumnRenamed("doc_id", "__id")
     rows = docs.join(both.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "marks", "masks")
     return rows.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
