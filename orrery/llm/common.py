@@ -24,9 +24,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, where any executor can read it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once and kept in the shared folder, where any executor can read it.
+
+    Shuffle files that only led to it are let go: the cluster deletes them once the driver
+    has collected the plan that used them as garbage, which else can take half an hour.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint()
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def dir_of(spark: SparkSession) -> str:
