@@ -23,10 +23,14 @@ BANDS, PER_BAND = 32, 4
 REGISTERS = BANDS * PER_BAND
 #: Buckets of up to so many nodes are searched for links between any of their parts in the second round.
 SMALL = 16
-#: Leaders of up to so many parts of a bucket meet each other; beyond that each meets the bucket's only.
+#: In the second round leaders of up to so many parts of a bucket meet each other; beyond that each meets the bucket's only.
 PARTS = 64
 #: So many bands together make the finer buckets.
 JOINT = (4, 32)
+#: Texts that meet all others of their large buckets at a time: at first, each time GROWTH times as many, and bytes of their sets.
+LOT, GROWTH, LOT_BYTES = 256, 4, 4 << 20
+#: Up to so many texts of a lot are compared with a text one by one, more by an index of the lot's shingles.
+FEW = 16
 
 
 def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, k: int = SHINGLE):
@@ -168,6 +172,94 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return rows.mapInArrow(_jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= similarity)
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges first:last, one after the other."""
+    size = last - first
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _against(shared, similarity: float):
+    """(node, part, keys, set) to the links (a, b) with texts of the lot: those of other parts with a key in common."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        nodes, parts, keys, sets = shared.value
+        sizes, n_keys = np.array([len(x) // 6 for x in sets]), np.array([len(k) for k in keys])
+        key, owner = np.concatenate(keys), np.repeat(np.arange(len(nodes)), n_keys)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        shingle, holder = _unpack(b"".join(sets)), np.repeat(np.arange(len(nodes)), sizes)
+        order = np.argsort(shingle, kind="stable")
+        shingle, holder = shingle[order], holder[order]
+        for batch in batches:
+            out: dict[str, list] = {"a": [], "b": []}
+            for node, part, own, packed in zip(*(batch.column(i) for i in range(4)), strict=True):
+                node, own = node.as_py(), np.array(own.as_py(), np.int64)
+                met = np.unique(owner[_ranges(np.searchsorted(key, own), np.searchsorted(key, own, "right"))])
+                met = met[parts[met] != part.as_py()]  # not itself either
+                size = packed.as_buffer().size // 6
+                met = met[np.minimum(sizes[met], size) / np.maximum(sizes[met], size) >= similarity]
+                if not len(met):
+                    continue
+                own = _unpack(packed.as_py())
+                if len(met) <= FEW:
+                    common = np.array([np.isin(_unpack(sets[i]), own, assume_unique=True).sum() for i in met])
+                else:
+                    at = _ranges(np.searchsorted(shingle, own), np.searchsorted(shingle, own, "right"))
+                    common = np.bincount(holder[at], minlength=len(nodes))[met]
+                near = nodes[met[common / np.maximum(1, sizes[met] + size - common) >= similarity]]
+                out["a"] += np.maximum(near, node).tolist()
+                out["b"] += np.minimum(near, node).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _settled(shared: DataFrame, parts: DataFrame, links: DataFrame, sets: DataFrame, similarity: float):
+    """links and parts, once no large bucket hides a link between two of its parts.
+
+    In each bucket the part that the largest one at the start has become stands; every text
+    outside it meets all texts of the bucket that were in other parts.  They do so in lots,
+    in order of a hash, each broadcast to all tasks; what a lot links needs no turn any more.
+    """
+    of = parts.withColumnRenamed("node", "__node")
+    big = shared.where(F.col("size") > SMALL).select("key", "node")
+    by_part = big.join(of, big["node"] == of["__node"]).groupBy("key", "part").agg(F.count("*").alias("n"))
+    # The part's name is its least text, so it is a text whose part can be asked for later.
+    tops = cut(by_part.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("top"), F.count("*").alias("n_parts")).where("n_parts > 1").select("key", "top"))
+    big = cut(big.join(tops, "key"))
+    if not big.limit(1).count():
+        return links, parts
+    keys = big.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    members = cut(keys.join(parts, "node").join(sets, "node").select("node", "part", "keys", "set"))
+    turn, last, most = F.xxhash64("node"), -(1 << 63), LOT
+    while True:
+        top = of.select(F.col("__node").alias("top"), F.col("part").alias("top_part"))
+        open_ = big.join(of, big["node"] == of["__node"]).join(top, "top").where("part <> top_part").select("node").distinct().where(turn > last)
+        asked = cut(members.select("node", F.octet_length("set").alias("size")).join(open_, "node").withColumn("turn", turn))
+        lot = asked.orderBy("turn").limit(most).select("turn", "size").collect()  # bounded by `most`
+        if not lot:
+            return links, parts
+        full = np.cumsum([r["size"] for r in lot]) > LOT_BYTES
+        last = lot[max(0, int(full.argmax()) - 1) if full.any() else -1]["turn"]
+        rows = members.join(asked.where(F.col("turn") <= last).select("node"), "node").collect()  # LOT_BYTES, or one text
+        most *= GROWTH
+        lot = (np.array([r["node"] for r in rows]), np.array([r["part"] for r in rows]), [np.array(r["keys"], np.int64) for r in rows], [bytes(r["set"]) for r in rows])
+        del rows
+        lot = shared.sparkSession.sparkContext.broadcast(lot)
+        new = cut(members.mapInArrow(_against(lot, similarity), "a long, b long").distinct())
+        lot.destroy()  # new is cut, so nothing asks for it again
+        if not new.limit(1).count():
+            continue
+        links = cut(links.unionByName(new).distinct())
+        low, high = (parts.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+        joined = cut(new.join(low, "a").join(high, "b").where("part_a <> part_b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct())
+        became = components(parts.select(F.col("part").alias("node")).distinct(), joined).select(F.col("node").alias("part"), F.col("part").alias("became"))
+        parts = cut(parts.join(became, "part").select("node", F.col("became").alias("part")))
+        of = parts.withColumnRenamed("node", "__node")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, same_id, class_id, n_links: one row per distinct doc_id of docs(doc_id, text).
 
@@ -178,7 +270,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Candidates: in each bucket of a band, or of several bands together, every text is compared
     with the bucket's leader, the one in the largest buckets over all bands, as a common
     original is; then the parts that are still apart in a bucket are compared by their leaders
-    and, in buckets of up to SMALL texts, text by text.  Texts without words (null, empty) have classes of their own;
+    and, in buckets of up to SMALL texts, text by text; in larger ones the texts outside the
+    largest part then meet all texts of other parts, until no two parts of a bucket have a
+    pair that is not compared.  Texts without words (null, empty) have classes of their own;
     null ids are left out; of rows with one doc_id the least text in order of `same` stands.
     """
     docs = docs.where(docs["doc_id"].isNotNull()).select("doc_id", "text")
@@ -218,7 +312,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     mates = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["node"] < F.col("x")["node"]) & (y["part"] != F.col("x")["part"]))).alias("y"))
     more = star.unionByName(mates.select(F.col("x")["node"].alias("a"), F.col("y")["node"].alias("b"))).distinct().join(pairs, ["a", "b"], "left_anti")
     links = cut(links.unionByName(_verified(cut(more), sets, similarity).select("a", "b")))
-    parts = components(wanted, links)
+    links, parts = _settled(shared, cut(components(wanted, links)), links, sets, similarity)
     n_links = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     of_node = cut(parts.join(n_links, "node", "left"))
     by_text = by_text.join(of_node, "node", "left").select("same", "n", "node", F.coalesce("part", "node").alias("part"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

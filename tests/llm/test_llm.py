@@ -171,6 +171,31 @@ def test_near_dedup_brute_force(spark, duck, small):
     assert got == links(rows)
 
 
+def test_near_dedup_without_hub(spark):
+    rng = np.random.default_rng(3)
+    n, n_words = 2000, 304
+    changed = np.zeros((n, n_words - 4), bool)
+    rows = []
+    for i in range(n):
+        text = [f"w{j}" for j in range(n_words)]
+        for j in rng.choice(n_words - 8, 4, replace=False) + 4:
+            text[j] = f"own{i}x{j}"
+            changed[i, j - 4 : j + 1] = True
+        rows.append((i, " ".join(text)))
+    kept = (~changed).astype(np.float32)
+    common = kept @ kept.T
+    near = common / (2 * (n_words - 4) - common) >= 0.8
+    want = np.arange(n)
+    while True:
+        new = np.where(near, want[None, :], n).min(1)
+        if (new == want).all():
+            break
+        want = new
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    assert [got[i] for i in range(n)] == want.tolist()
+
+
 def test_near_dedup_odd_rows(spark):
     assert neardup.classes(odd(spark, [])).count() == 0
     got = {r.doc_id: r.class_id for r in neardup.classes(odd(spark)).collect()}
