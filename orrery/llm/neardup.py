@@ -1,11 +1,11 @@
 """MinHash near-dedup (operator 2): ProbMinHash signatures, banding, verification.
 
-The shingles of a text are its runs of five words, weighted by how often they occur.  Each
-is a Poisson process of arrivals, its rate the weight; every arrival falls on a random
-register, which keeps the earliest one.  A shingle stops once its next arrival is later
-than all registers: later ones can't matter.  The share of registers on which two texts
-agree estimates their probability Jaccard similarity.  Bands of registers give candidates,
-whose shingle sets are compared exactly.  Texts with the same words are one node.
+The shingles of a text are its runs of five words, as a set: all have weight 1, however
+often they occur, as links go by sets too.  Each is a Poisson process of arrivals, its rate
+the weight; every arrival falls on a random register, which keeps the earliest one.  A
+shingle stops once its next arrival is later than all registers: later ones can't matter.
+The share of registers on which two texts agree estimates their Jaccard similarity, as the
+weights are equal.  Bands of registers give candidates, whose shingle sets are compared exactly.  Texts with the same words are one node.
 """
 
 from __future__ import annotations
@@ -71,14 +71,13 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows:
     return holder
 
 
-def _weighted(row: np.ndarray, shingle: np.ndarray):
-    """Distinct (row, shingle) in order, with how often each occurs."""
+def _distinct(row: np.ndarray, shingle: np.ndarray):
+    """Distinct (row, shingle) in order."""
     order = np.lexsort((shingle, row))
     r, s = row[order], shingle[order]
     new = np.ones(len(r), bool)
     new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
-    at = np.flatnonzero(new)
-    return r[at], s[at], np.diff(np.append(at, len(r))).astype(np.float64)
+    return r[new], s[new]
 
 
 def _sketch(batches):
@@ -95,8 +94,8 @@ def _sketch(batches):
             _, _, row, h = words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
             at = np.searchsorted(row, np.arange(b - a + 1))
             same += [hashlib.md5(h[at[i] : at[i + 1]].tobytes()).digest() if at[i] < at[i + 1] else None for i in range(b - a)]
-            r, s, w = _weighted(*shingles(h, row, b - a))
-            sig = signatures(r, s, w, b - a).reshape(b - a, BANDS, PER_BAND)
+            r, s = _distinct(*shingles(h, row, b - a))
+            sig = signatures(r, s, np.ones(len(s)), b - a).reshape(b - a, BANDS, PER_BAND)
             key = np.zeros((b - a, BANDS), np.uint64)
             for i in range(PER_BAND):
                 key = scramble(key * np.uint64(31) + sig[:, :, i])
@@ -115,7 +114,7 @@ def _sets(batches):
         for a, b in blocks(offsets):
             _, _, row, h = words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
             r, s = shingles(h, row, b - a)
-            r, s, _ = _weighted(r, s & np.uint64((1 << 48) - 1))
+            r, s = _distinct(r, s & np.uint64((1 << 48) - 1))
             at = np.searchsorted(r, np.arange(b - a + 1))
             packed = s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             out += [packed[at[i] : at[i + 1]].tobytes() for i in range(b - a)]

@@ -196,6 +196,15 @@ def test_near_dedup_without_hub(spark):
     assert [got[i] for i in range(n)] == want.tolist()
 
 
+def test_near_dedup_repeated_passage(spark):
+    rows = []
+    for i in range(12):
+        text = [f"w{i}x{j}" for j in range(104)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:10] + text[10:34] * 50 + text[34:]))]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == links(rows) == {i: i - i % 2 for i in range(24)}
+
+
 def test_near_dedup_odd_rows(spark):
     assert neardup.classes(odd(spark, [])).count() == 0
     got = {r.doc_id: r.class_id for r in neardup.classes(odd(spark)).collect()}
