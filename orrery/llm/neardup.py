@@ -1,11 +1,14 @@
 """MinHash near-dedup (operator 2): ProbMinHash signatures, banding, verification.
 
-The shingles of a text are its runs of five words, as a set: all have weight 1, however
-often they occur, as links go by sets too.  Each is a Poisson process of arrivals, its rate
-the weight; every arrival falls on a random register, which keeps the earliest one.  A
-shingle stops once its next arrival is later than all registers: later ones can't matter.
-The share of registers on which two texts agree estimates their Jaccard similarity, as the
-weights are equal.  Bands of registers give candidates, whose shingle sets are compared exactly.  Texts with the same words are one node.
+The shingles of a text are its runs of five words, with the number of times it has each as
+weight.  Each is a Poisson process of arrivals, its rate the weight; every arrival falls on
+a random register, which keeps the earliest one.  A shingle stops once its next arrival is
+later than all registers: later ones can't matter.  The share of registers on which two
+texts agree estimates their probability Jaccard similarity.  Where no shingle repeats that
+is the Jaccard similarity of their sets; a text in which some do has a second sketch, with
+all weights 1, so that copies are found whose only change is how often a passage occurs.
+Bands of registers give candidates, and the two similarities, computed exactly from the
+shingles, decide: the greater counts.  Texts with the same words are one node.
 """
 
 from __future__ import annotations
@@ -21,16 +24,16 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 4: texts of similarity 0.8 share none with probability (1 - 0.8**4)**32 = 5e-8.
 BANDS, PER_BAND = 32, 4
 REGISTERS = BANDS * PER_BAND
-#: Buckets of up to so many nodes are searched for links between any of their parts in the second round.
+#: Buckets of up to so many texts are compared pair by pair, larger ones block by block.
 SMALL = 16
-#: In the second round leaders of up to so many parts of a bucket meet each other; beyond that each meets the bucket's only.
-PARTS = 64
-#: So many bands together make the finer buckets.
-JOINT = (4, 32)
-#: Texts that meet all others of their large buckets at a time: at first, each time GROWTH times as many, and bytes of their sets.
-LOT, GROWTH, LOT_BYTES = 256, 4, 4 << 20
-#: Up to so many texts of a lot are compared with a text one by one, more by an index of the lot's shingles.
-FEW = 16
+#: Texts, and bytes of their shingles, in a block, about.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 1 << 20
+#: Bytes of text sketched at once; a longer text is a block by itself.
+AT_ONCE = 1 << 18
+#: A shingle (48 bits) and how often a text has it.
+GRAM = np.dtype([("s", "<u4"), ("s2", "<u2"), ("w", "<u4")])
+#: For sums of shares that round off.
+SLACK = 1e-9
 
 
 def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, k: int = SHINGLE):
@@ -71,77 +74,121 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows:
     return holder
 
 
-def _distinct(row: np.ndarray, shingle: np.ndarray):
-    """Distinct (row, shingle) in order."""
+def _weighted(row: np.ndarray, shingle: np.ndarray):
+    """Distinct (row, shingle) in order, and how often each occurs."""
     order = np.lexsort((shingle, row))
     r, s = row[order], shingle[order]
     new = np.ones(len(r), bool)
     new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
-    return r[new], s[new]
+    at = np.flatnonzero(new)
+    return r[at], s[at], np.diff(np.append(at, len(r)))
 
 
-def _sketch(batches):
-    """(doc_id, text) to (doc_id, same, bands): `same` tells texts with the same words, bands are BANDS hashes."""
+def _digests(row: np.ndarray, hashes: np.ndarray, n_rows: int) -> list:
+    """For each row a digest of its words in order, None without words."""
     import hashlib
 
+    at = np.searchsorted(row, np.arange(n_rows + 1))
+    return [hashlib.md5(hashes[x:y].tobytes()).digest() if x < y else None for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def _bands(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
+    """(row, band): a hash of each band's registers, and of which band it is."""
+    sig = signatures(row, shingle, weight, n_rows).reshape(n_rows, BANDS, PER_BAND)
+    key = np.zeros((n_rows, BANDS), np.uint64)
+    for i in range(PER_BAND):
+        key = scramble(key * np.uint64(31) + sig[:, :, i])
+    return scramble(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def _sketch(batches):
+    """(doc_id, text) to (doc_id, same, bands): `same` tells texts with the same words, bands are hashes, BANDS of a sketch."""
     import pyarrow as pa
 
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
-        same: list[bytes] = []
+        same: list = []
         bands: list = []
-        for a, b in blocks(offsets, 1 << 20):
+        for a, b in blocks(offsets, AT_ONCE):
             _, _, row, h = words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
-            at = np.searchsorted(row, np.arange(b - a + 1))
-            same += [hashlib.md5(h[at[i] : at[i + 1]].tobytes()).digest() if at[i] < at[i + 1] else None for i in range(b - a)]
-            r, s = _distinct(*shingles(h, row, b - a))
-            sig = signatures(r, s, np.ones(len(s)), b - a).reshape(b - a, BANDS, PER_BAND)
-            key = np.zeros((b - a, BANDS), np.uint64)
-            for i in range(PER_BAND):
-                key = scramble(key * np.uint64(31) + sig[:, :, i])
-            key = scramble(key + np.arange(BANDS, dtype=np.uint64))
-            bands += [k if at[i] < at[i + 1] else None for i, k in enumerate(key.view(np.int64).tolist())]
+            names = _digests(row, h, b - a)
+            r, s, w = _weighted(*shingles(h, row, b - a))
+            keys = _bands(r, s, w.astype(np.float64), b - a).tolist()
+            twice = np.unique(r[w > 1])
+            if len(twice):
+                use = np.isin(r, twice)
+                plain = _bands(np.searchsorted(twice, r[use]), s[use], np.ones(use.sum()), len(twice)).tolist()
+                for i, k in zip(twice.tolist(), plain, strict=True):
+                    keys[i] = sorted({*keys[i], *k})
+            same += names
+            bands += [k if names[i] else None for i, k in enumerate(keys)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
 
 
 def _sets(batches):
-    """(node, text) to (node, set): sorted distinct shingles, 48 bits each, in one array."""
+    """(node, same, text) to (node, grams): the text's shingles with their numbers; only where its words are those of `same`."""
     import pyarrow as pa
 
     for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        out = []
-        for a, b in blocks(offsets):
+        data, offsets = text_bytes(batch.column(2))
+        nodes, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        out: dict[str, list] = {"node": [], "grams": []}
+        for a, b in blocks(offsets, AT_ONCE):
             _, _, row, h = words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
+            names = _digests(row, h, b - a)
             r, s = shingles(h, row, b - a)
-            r, s = _distinct(r, s & np.uint64((1 << 48) - 1))
+            r, s, w = _weighted(r, s & np.uint64((1 << 48) - 1))
             at = np.searchsorted(r, np.arange(b - a + 1))
-            packed = s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            out += [packed[at[i] : at[i + 1]].tobytes() for i in range(b - a)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "set"])
+            grams = np.zeros(len(s), GRAM)
+            grams["s"], grams["s2"], grams["w"] = s & np.uint64(0xFFFFFFFF), s >> np.uint64(32), w
+            for i in range(b - a):
+                if names[i] == wanted[a + i]:
+                    out["node"].append(nodes[a + i])
+                    out["grams"].append(grams[at[i] : at[i + 1]].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), pa.array(out["grams"], pa.binary())], ["node", "grams"])
+
+
+def _unpack(data: bytes):
+    """Sorted shingles and their shares of the text."""
+    x = np.frombuffer(data, GRAM)
+    w = x["w"].astype(np.float64)
+    return x["s"].astype(np.uint64) | x["s2"].astype(np.uint64) << np.uint64(32), w / w.sum() if len(w) else w
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view("<u8")[:, 0]
+def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two distributions, from their shares x and y of what both hold.
+
+    The sum, over what both hold, of 1 / sum(max(x' / x, y' / y)), the inner sum over all
+    that either holds: in order of x / y those from here on give x' / x, the others y' / y.
+    """
+    if not len(x):
+        return 0.0
+    order = np.argsort(x / y, kind="stable")
+    x, y = x[order], y[order]
+    from_here = np.cumsum(x[::-1])[::-1] + (1 - x.sum())
+    before = np.cumsum(y) - y + (1 - y.sum())
+    return float((1 / (from_here / x + before / y)).sum())
 
 
-def _jaccard(batches):
-    """(a, b, set_a, set_b) to (a, b, jaccard)."""
+def similarity_of(s: np.ndarray, x: np.ndarray, t: np.ndarray, y: np.ndarray) -> float:
+    """The greater of two texts' Jaccard and probability Jaccard similarity, from their shingles s, t and shares x, y."""
+    _, at, own = np.intersect1d(s, t, assume_unique=True, return_indices=True)
+    return max(len(at) / max(1, len(s) + len(t) - len(at)), probability_jaccard(x[at], y[own]))
+
+
+def _similar(batches):
+    """(a, b, grams_a, grams_b) to (a, b, similarity)."""
     import pyarrow as pa
 
     for batch in batches:
         out, kept = [], None
         left, right = batch.column(2), batch.column(3)
         for i in range(len(left)):
-            x, y = left[i].as_py(), right[i].as_py()
-            if kept is None or kept[0] != x:
-                kept = (x, _unpack(x))
-            v = _unpack(y)
-            common = len(np.intersect1d(kept[1], v, assume_unique=True))
-            out.append(common / max(1, len(kept[1]) + len(v) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
+            y = right[i].as_py()
+            if kept is None or kept[0] != y:
+                kept = (y, *_unpack(y))
+            out.append(similarity_of(*_unpack(left[i].as_py()), *kept[1:]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -165,10 +212,21 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-    return rows.mapInArrow(_jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= similarity)
+    """The pairs (a, b) whose texts are similar enough."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b")
+    return rows.mapInArrow(_similar, "a long, b long, similarity double").where(F.col("similarity") >= similarity - SLACK).select("a", "b")
+
+
+def _shares(batches):
+    """(node, grams) to a row for each shingle: (node, s, share, part_of_set)."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            s, w = _unpack(batch.column(1)[i].as_py())
+            columns = [np.full(len(s), batch.column(0)[i].as_py()), s.view(np.int64), w, np.full(len(s), 1 / max(1, len(s)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "s", "share", "part_of_set"])
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -177,147 +235,123 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _against(shared, similarity: float):
-    """(node, part, keys, set) to the links (a, b) with texts of the lot: those of other parts with a key in common."""
+def _block_links(left: list, right: list, similarity: float):
+    """Links (a, b), a > b, between texts (node, part, grams) of two blocks that are in different parts.
+
+    The sum of the lesser shares bounds the probability Jaccard similarity from above, so only pairs that reach it are computed.
+    """
+    sets = [_unpack(m["grams"]) for m in right]
+    nodes, parts = (np.array([m[k] for m in right], np.int64) for k in ("node", "part"))
+    s, w = (np.concatenate([x[k] for x in sets]) for k in (0, 1))
+    sizes = np.array([len(x[0]) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(s, kind="stable")
+    s, w, owner = s[order], w[order], owner[order]
+    for m in left:
+        own, share = _unpack(m["grams"])
+        first, last = np.searchsorted(s, own), np.searchsorted(s, own, "right")
+        at = _ranges(first, last)
+        reach = np.bincount(owner[at], np.minimum(w[at], np.repeat(share, last - first)), minlength=len(sets))
+        common = np.bincount(owner[at], minlength=len(sets))
+        jaccard = common / np.maximum(1, len(own) + sizes - common)
+        for i in np.flatnonzero((np.maximum(reach, jaccard) >= similarity - SLACK) & (parts != m["part"])):
+            if jaccard[i] >= similarity - SLACK or similarity_of(own, share, *sets[i]) >= similarity - SLACK:
+                yield max(m["node"], int(nodes[i])), min(m["node"], int(nodes[i]))
+
+
+def _meet(similarity: float):
+    """(left, right), two blocks, to the links between them."""
 
     def run(batches):
         import pyarrow as pa
 
-        nodes, parts, keys, sets = shared.value
-        sizes, n_keys = np.array([len(x) // 6 for x in sets]), np.array([len(k) for k in keys])
-        key, owner = np.concatenate(keys), np.repeat(np.arange(len(nodes)), n_keys)
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        shingle, holder = _unpack(b"".join(sets)), np.repeat(np.arange(len(nodes)), sizes)
-        order = np.argsort(shingle, kind="stable")
-        shingle, holder = shingle[order], holder[order]
         for batch in batches:
-            out: dict[str, list] = {"a": [], "b": []}
-            for node, part, own, packed in zip(*(batch.column(i) for i in range(4)), strict=True):
-                node, own = node.as_py(), np.array(own.as_py(), np.int64)
-                met = np.unique(owner[_ranges(np.searchsorted(key, own), np.searchsorted(key, own, "right"))])
-                met = met[parts[met] != part.as_py()]  # not itself either
-                size = packed.as_buffer().size // 6
-                met = met[np.minimum(sizes[met], size) / np.maximum(sizes[met], size) >= similarity]
-                if not len(met):
-                    continue
-                own = _unpack(packed.as_py())
-                if len(met) <= FEW:
-                    common = np.array([np.isin(_unpack(sets[i]), own, assume_unique=True).sum() for i in met])
-                else:
-                    at = _ranges(np.searchsorted(shingle, own), np.searchsorted(shingle, own, "right"))
-                    common = np.bincount(holder[at], minlength=len(nodes))[met]
-                near = nodes[met[common / np.maximum(1, sizes[met] + size - common) >= similarity]]
-                out["a"] += np.maximum(near, node).tolist()
-                out["b"] += np.minimum(near, node).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64())], ["a", "b"])
+            for i in range(batch.num_rows):
+                links = list(_block_links(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), similarity))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _settled(shared: DataFrame, parts: DataFrame, links: DataFrame, sets: DataFrame, similarity: float):
-    """links and parts, once no large bucket hides a link between two of its parts.
+def _rest(shared: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All links between texts of a large bucket that are in different parts.
 
-    In each bucket the part that the largest one at the start has become stands; every text
-    outside it meets all texts of the bucket that were in other parts.  They do so in lots,
-    in order of a hash, each broadcast to all tasks; what a lot links needs no turn any more.
+    A text over 1 - similarity of whose shingles, and of whose weight, no other text of such
+    buckets has can't have any, and goes first.  The others are dealt into blocks, by the largest of their buckets
+    and a hash, each text into one; two blocks meet once if they have a bucket in common.
     """
-    of = parts.withColumnRenamed("node", "__node")
-    big = shared.where(F.col("size") > SMALL).select("key", "node")
-    by_part = big.join(of, big["node"] == of["__node"]).groupBy("key", "part").agg(F.count("*").alias("n"))
-    # The part's name is its least text, so it is a text whose part can be asked for later.
-    tops = cut(by_part.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("top"), F.count("*").alias("n_parts")).where("n_parts > 1").select("key", "top"))
-    big = cut(big.join(tops, "key"))
-    if not big.limit(1).count():
-        return links, parts
-    keys = big.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    members = cut(keys.join(parts, "node").join(sets, "node").select("node", "part", "keys", "set"))
-    turn, last, most = F.xxhash64("node"), -(1 << 63), LOT
-    while True:
-        top = of.select(F.col("__node").alias("top"), F.col("part").alias("top_part"))
-        open_ = big.join(of, big["node"] == of["__node"]).join(top, "top").where("part <> top_part").select("node").distinct().where(turn > last)
-        asked = cut(members.select("node", F.octet_length("set").alias("size")).join(open_, "node").withColumn("turn", turn))
-        lot = asked.orderBy("turn").limit(most).select("turn", "size").collect()  # bounded by `most`
-        if not lot:
-            return links, parts
-        full = np.cumsum([r["size"] for r in lot]) > LOT_BYTES
-        last = lot[max(0, int(full.argmax()) - 1) if full.any() else -1]["turn"]
-        rows = members.join(asked.where(F.col("turn") <= last).select("node"), "node").collect()  # LOT_BYTES, or one text
-        most *= GROWTH
-        lot = (np.array([r["node"] for r in rows]), np.array([r["part"] for r in rows]), [np.array(r["keys"], np.int64) for r in rows], [bytes(r["set"]) for r in rows])
-        del rows
-        lot = shared.sparkSession.sparkContext.broadcast(lot)
-        new = cut(members.mapInArrow(_against(lot, similarity), "a long, b long").distinct())
-        lot.destroy()  # new is cut, so nothing asks for it again
-        if not new.limit(1).count():
-            continue
-        links = cut(links.unionByName(new).distinct())
-        low, high = (parts.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
-        joined = cut(new.join(low, "a").join(high, "b").where("part_a <> part_b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct())
-        became = components(parts.select(F.col("part").alias("node")).distinct(), joined).select(F.col("node").alias("part"), F.col("part").alias("became"))
-        parts = cut(parts.join(became, "part").select("node", F.col("became").alias("part")))
-        of = parts.withColumnRenamed("node", "__node")
+    of = shared.where(F.col("size") > SMALL).join(parts, "node")
+    split = of.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    open_ = cut(of.join(split, "key").select("key", "size", "node", "part"))
+    who = cut(open_.groupBy("node", "part").agg(F.max_by("key", F.struct("size", "key")).alias("home")).join(sets, "node"))
+    held_by = who.select("node", "grams").mapInArrow(_shares, "node long, s long, share double, part_of_set double").groupBy("s")
+    alone = held_by.agg(*[F.max(c).alias(c) for c in ("node", "share", "part_of_set")], F.count("*").alias("n")).where("n = 1").groupBy("node")
+    alone = alone.agg(F.least(F.sum("share"), F.sum("part_of_set")).alias("own")).where(F.col("own") > 1 - similarity + SLACK).select("node")
+    who = cut(who.join(alone, "node", "left_anti"))
+    homes = who.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum(F.octet_length("grams")) / BLOCK_BYTES)).cast("long").alias("lots"))
+    who = cut(who.join(homes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("lots")))).select("node", "part", "grams", "block"))
+    held = cut(who.groupBy("block").agg(F.collect_list(F.struct("node", "part", "grams")).alias("m"), F.min("part").alias("low"), F.max("part").alias("high")))
+    keys = open_.select("key", "node").join(who.select("node", "block"), "node").select("key", "block").distinct()
+    ends = held.select("block", "low", "high")
+    two = keys.join(keys.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct()
+    two = two.join(ends, "block").join(ends.toDF("other", "low2", "high2"), "other").where("NOT (low = high AND low2 = high2 AND low = low2)")
+    left, right = held.select("block", F.col("m").alias("left")), held.select(F.col("block").alias("other"), F.col("m").alias("right"))
+    met = two.select("block", "other").join(left, "block").join(right, "other").select("left", "right")
+    return met.mapInArrow(_meet(similarity), "a long, b long")
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (node, part) after links (a, b) between nodes of different parts."""
+    low, high = (parts.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+    between = links.join(low, "a").join(high, "b").where("part_a <> part_b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
+    became = components(parts.select(F.col("part").alias("node")).distinct(), between).select(F.col("node").alias("part"), F.col("part").alias("became"))
+    return cut(parts.join(became, "part").select("node", F.col("became").alias("part")))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, same_id, class_id, n_links: one row per distinct doc_id of docs(doc_id, text).
+    """doc_id, same_id, class_id: one row per distinct doc_id of docs(doc_id, text).
 
     same_id: the least doc_id whose text has the same words in the same order; class_id: the
-    least doc_id that is reached over links.  Links join texts whose sets of five-word
-    shingles (all words, of shorter texts) have a Jaccard similarity of `similarity` or more;
-    n_links: of those compared, the links of the document's text to other texts.
-    Candidates: in each bucket of a band, or of several bands together, every text is compared
-    with the bucket's leader, the one in the largest buckets over all bands, as a common
-    original is; then the parts that are still apart in a bucket are compared by their leaders
-    and, in buckets of up to SMALL texts, text by text; in larger ones the texts outside the
-    largest part then meet all texts of other parts, until no two parts of a bucket have a
-    pair that is not compared.  Texts without words (null, empty) have classes of their own;
-    null ids are left out; of rows with one doc_id the least text in order of `same` stands.
+    least doc_id that is reached over links.  Links join texts whose five-word shingles (all
+    words, of shorter texts) have a probability Jaccard similarity, with their counts as
+    weights, or a Jaccard similarity, as sets, of `similarity` or more.  Candidates are texts with a band in common.  In each bucket
+    every text is compared with the bucket's leader, the text in the largest buckets, as a
+    common original is, then with a leader of those that this left apart; then all pairs of
+    a bucket that are still in different parts are compared, whatever its size.  Texts
+    without words (null, empty) have classes of their own; null ids are left out; of rows
+    with one doc_id the least text in order of `same` stands.  Other columns are ignored.
     """
     docs = docs.where(docs["doc_id"].isNotNull()).select("doc_id", "text")
-    sketch = cut(docs.mapInArrow(_sketch, "doc_id long, same binary, bands array<long>"))
-    one = sketch.groupBy("doc_id").agg(F.min("same").alias("same"))
-    by_text = one.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    by_text = cut(by_text)
-    # One node for each distinct text: its least document.
-    nodes = sketch.join(by_text.select("same", F.col("node").alias("doc_id")), ["same", "doc_id"]).dropDuplicates(["doc_id"])
-    posted = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-    sizes = posted.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    shared = cut(posted.join(sizes, "key"))
+    sketch = docs.mapInArrow(_sketch, "doc_id long, same binary, bands array<long>")
+    one = cut(sketch.groupBy("doc_id").agg(F.min(F.struct("same", "bands")).alias("x")).select("doc_id", "x.same", "x.bands"))
+    nodes = cut(one.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.any_value("bands").alias("bands")))
+    posted = nodes.select("node", F.explode("bands").alias("key"))
+    total = nodes.agg(F.sum(F.size("bands"))).first()[0] or 0
+    sizes = cut(posted.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1))
+    shared = cut(attach(posted, sizes, ["key"], "size", total))
     fame = shared.groupBy("node").agg(F.sum("size").alias("fame"))
-    shared = cut(shared.join(fame, "node"))
-    # Several bands together make finer buckets, whose leaders are nearer: for the texts that share some bucket.
-    joint = [F.transform(F.sequence(F.lit(0), F.lit(BANDS // k - 1)), lambda i, k=k: F.xxhash64(F.lit(k), F.slice("bands", i * k + 1, k))) for k in JOINT]
-    finer = nodes.withColumnRenamed("doc_id", "node").join(fame, "node").select("node", "fame", F.explode(F.concat(*joint)).alias("key"))
-    finer = finer.join(finer.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
-    shared = cut(shared.unionByName(finer.select(*shared.columns)))
-    first = lambda x: F.min_by("node", F.struct(-x, F.col("node")))
-    led = shared.groupBy("key").agg(first(F.col("fame")).alias("leader"), F.count("*").alias("n"))
-    pairs = attach(shared.select("key", "node"), cut(led), ["key"], "n", shared.count()).where("node <> leader")
-    pairs = cut(pairs.select(F.least("node", "leader").alias("b"), F.greatest("node", "leader").alias("a")).distinct())
-    wanted = fame.select("node")
-    texts = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["node"]).select("node", "text")
-    sets = cut(texts.mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]))
-    links = cut(_verified(pairs, sets, similarity).select("a", "b"))
-    parts = cut(components(wanted, links))
-    # Second round: where a bucket has several parts, their leaders meet the bucket's, and in small buckets all meet.
-    apart = shared.join(parts, "node")
-    local = apart.groupBy("key", "part").agg(first(F.col("fame")).alias("head"), F.max("fame").alias("fame"))
-    heads = local.groupBy("key").agg(F.min_by("head", F.struct(-F.col("fame"), F.col("head"))).alias("top"), F.count("*").alias("n_parts")).where("n_parts > 1")
-    star = local.join(heads, "key").where("head <> top").select(F.greatest("head", "top").alias("a"), F.least("head", "top").alias("b"))
-    meet = lambda rows, what: rows.groupBy("key").agg(F.array_sort(F.collect_list(what)).alias("m"))
-    few = meet(apart.join(heads.select("key"), "key").where(F.col("size") <= SMALL), F.struct("node", "part"))
-    few = few.unionByName(meet(local.join(heads.where(F.col("n_parts") <= PARTS).select("key"), "key"), F.struct(F.col("head").alias("node"), "part")))
+    wanted = cut(fame.join(nodes.select("node", "same"), "node"))
+    leaders = shared.join(wanted.select("node", "fame"), "node").groupBy("key").agg(F.min_by("node", F.struct(-F.col("fame"), F.col("node"))).alias("leader"), F.count("*").alias("n"))
+    texts = docs.join(wanted.select("node", "same").hint("shuffle_hash"), docs["doc_id"] == F.col("node")).select("node", "same", "text")
+    sets = cut(texts.mapInArrow(_sets, "node long, grams binary").dropDuplicates(["node"]))
+    of_pair = [F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")]
+    pairs = attach(shared, cut(leaders), ["key"], "n", total).where("node <> leader").select(*of_pair).distinct()
+    parts = cut(components(wanted.select("node"), _verified(pairs, sets, similarity)))
+    # In each bucket of several parts: a leader from outside the leader's part, with all of other parts.
+    of = cut(shared.join(parts, "node"))
+    first = of.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "low")
+    apart = cut(of.join(first, "key"))
+    second = apart.where("part <> low").groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("leader"), F.min_by("part", F.xxhash64("node")).alias("led"))
+    pairs = attach(apart, cut(second.join(apart.groupBy("key").agg(F.count("*").alias("n")), "key")), ["key"], "n", total).where("part <> led").select(*of_pair).distinct()
+    parts = _joined(parts, _verified(pairs, sets, similarity))
+    few = shared.where(F.col("size") <= SMALL).join(parts, "node").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "part"))).alias("m"))
     mates = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["node"] < F.col("x")["node"]) & (y["part"] != F.col("x")["part"]))).alias("y"))
-    more = star.unionByName(mates.select(F.col("x")["node"].alias("a"), F.col("y")["node"].alias("b"))).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = cut(links.unionByName(_verified(cut(more), sets, similarity).select("a", "b")))
-    links, parts = _settled(shared, cut(components(wanted, links)), links, sets, similarity)
-    n_links = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    of_node = cut(parts.join(n_links, "node", "left"))
-    by_text = by_text.join(of_node, "node", "left").select("same", "n", "node", F.coalesce("part", "node").alias("part"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    with_text = attach(one.where(F.col("same").isNotNull()), cut(by_text), ["same"], "n", one.count())
-    with_text = with_text.select("doc_id", F.col("node").alias("same_id"), F.col("part").alias("class_id"), "n_links")
-    bare_ids = one.where(F.col("same").isNull()).select("doc_id", F.col("doc_id").alias("same_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    links = _verified(mates.select(F.col("x")["node"].alias("a"), F.col("y")["node"].alias("b")).distinct(), sets, similarity)
+    parts = _joined(parts, cut(links.unionByName(_rest(shared, parts, sets, similarity))))
+    by_text = cut(nodes.select("same", "n", "node").join(parts, "node", "left").select("same", "n", "node", F.coalesce("part", "node").alias("part")))
+    with_text = attach(one.where(F.col("same").isNotNull()).select("doc_id", "same"), by_text, ["same"], "n", total // BANDS + 1)
+    with_text = with_text.select("doc_id", F.col("node").alias("same_id"), F.col("part").alias("class_id"))
+    bare_ids = one.where(F.col("same").isNull()).select("doc_id", F.col("doc_id").alias("same_id"), F.col("doc_id").alias("class_id"))
     return with_text.unionByName(bare_ids)
 
 
