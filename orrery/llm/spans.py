@@ -2,13 +2,16 @@
 
 1. Anchors.  Every 50-byte string has a least-hashed 16-byte gram, its anchor; strings that
    are equal have equal anchors.  Neighbouring strings with one anchor form a context.
-2. Anchors meet by hash, packed to a few rows per batch.  Equal contexts of an anchor are
-   copies: all but the least document's go.  If an anchor has different contexts, those of
-   the least documents are contested.
+2. Anchors meet by hash, packed to a few rows per batch, equal contexts of a batch as one.
+   Equal contexts of an anchor are copies: all but the least document's go.  If an anchor
+   has different contexts, those of the least documents are contested.
 3. Contested contexts only, each distinct one once, and of them the stretches between
    strings that have an equal by hash, get suffix arrays by linear grouping (gsaca.py);
-   equal 50-byte strings are neighbours there, compared byte by byte.
-4. What each document loses comes back to it as anchors with masks, and its bytes go.
+   equal 50-byte strings are neighbours there, compared byte by byte.  Contexts of an anchor
+   with very many are taken apart first, by the 42 bytes that their strings have in common.
+4. What each document loses comes back to it as names of contexts with masks, and its bytes go.
+
+All is one plan, in which the texts and the marks are shuffled once and read twice.
 """
 
 from __future__ import annotations
@@ -17,28 +20,29 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bare, cut, table
+from .common import bare, table
 from .gsaca import suffix_array
 from .tokens import blocks, powers, prefix_hash, scramble, text_bytes
 
 SPAN, GRAM = 50, 16
 #: Bytes of text for each hash bucket of anchors, about.
 BUCKET_BYTES = 4 << 20
-#: Bytes of contexts in one suffix array, and the distinct contexts of one anchor beyond which its 50-byte strings are dealt out one by one.
+#: Bytes of contexts in one suffix array, and the distinct contexts of one anchor beyond which they are taken apart.
 ARRAY_BYTES, CONTEXTS = 128 << 10, 1000
-BLOCK = 1 << 20
-#: An anchor and its context in 48 bits each, as packed in rows; marks add what happens: all of it goes, or ask the suffix array.
+#: String starts in each piece of a context that is taken apart.
+PIECE = 9
+BLOCK = 1 << 18
+#: An anchor and its context in 48 bits each, as packed in rows; marks name both in 62 bits and add what happens.
 PAIR = np.dtype([("k", "<u4"), ("k2", "<u2"), ("c", "<u4"), ("c2", "<u2")])
-MARK = np.dtype([("k", "<u4"), ("k2", "<u2"), ("c", "<u4"), ("c2", "<u2"), ("what", "u1")])
-ALL, ASK = 1, 2
+ALL, ASK, APART = 1, 2, 3
 LOW48 = np.uint64((1 << 48) - 1)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM):
-    """(row, first, last, key, context) of each run of span-byte strings with one anchor; first, last: string starts."""
+    """(row, first, last, key, context, at) of each run of span-byte strings with one anchor, at `at`; first, last: string starts."""
     none = np.zeros(0, np.int64)
     if len(data) < span:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     x = data.astype(np.uint64)
     x = x[:-1] | x[1:] << np.uint64(8)
     x = x[:-2] | x[2:] << np.uint64(16)
@@ -65,7 +69,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int =
     last = np.flatnonzero(ends)
     hash_at, inverse = prefix_hash(data), powers(len(data))[1]
     context = (hash_at[last + span] - hash_at[first]) * inverse[first] + ((at[first] - first) * 64 + last - first).astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
-    return row[first], first, last, h[at[first]], scramble(context)
+    return row[first], first, last, h[at[first]] & LOW48, scramble(context) & LOW48, at[first]
 
 
 def _binaries(data: np.ndarray, at: np.ndarray):
@@ -76,20 +80,24 @@ def _binaries(data: np.ndarray, at: np.ndarray):
     return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _packed(key: np.ndarray, context: np.ndarray, kind=PAIR) -> np.ndarray:
-    out = np.zeros(len(key), kind)
-    out["k"], out["k2"] = key & np.uint64(0xFFFFFFFF), (key >> np.uint64(32)) & np.uint64(0xFFFF)
-    out["c"], out["c2"] = context & np.uint64(0xFFFFFFFF), (context >> np.uint64(32)) & np.uint64(0xFFFF)
-    return out
-
-
 def _unpacked(x: np.ndarray):
     wide = lambda a, b: x[a].astype(np.uint64) | x[b].astype(np.uint64) << np.uint64(32)
     return wide("k", "k2"), wide("c", "c2")
 
 
+def _name(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """62 bits for an anchor with its context, above two bits that stay free."""
+    return scramble(scramble(key) + context * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(3)
+
+
 def _post(n_buckets: int):
-    """(doc_id, text) to a row per bucket and batch: the documents, how many anchors each has there, the anchors."""
+    """(doc_id, text) to rows (bucket, docs, counts, pairs, gone), at most one per bucket and batch.
+
+    pairs: the bucket's anchors with their contexts, each once, by the least document of the
+    batch that has it; docs, counts: those documents and how many of the anchors each has.
+    gone: the names of contexts that an equal one in the batch already marks, of the
+    documents and counts in a row of their own.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -99,94 +107,150 @@ def _post(n_buckets: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             rows, keys, contexts = [], [], []
             for a, b in blocks(offsets, BLOCK):
-                row, _, _, key, context = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                row, _, _, key, context, _ = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 rows.append((row + a).astype(np.int32))
                 keys.append(key)
-                contexts.append(context & LOW48)
+                contexts.append(context)
+            if not rows:
+                continue
             row, key, context = np.concatenate(rows), np.concatenate(keys), np.concatenate(contexts)
-            bucket = ((key >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")  # and so by document within a bucket
-            row, bucket = row[order], bucket[order]
-            pairs = _packed(key[order], context[order])
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])
-            docs = np.flatnonzero(new)
-            counts = np.diff(np.append(docs, len(row))).astype("<i4")
-            at = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            doc_at = np.searchsorted(docs, at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_buckets), pa.int32()), _binaries(ids[row[docs]], doc_at), _binaries(counts, doc_at), _binaries(pairs, at)], ["bucket", "docs", "counts", "pairs"])
+            del rows, keys, contexts
+            name = _name(key, context)
+            order = np.lexsort((ids[row], name))
+            new = np.ones(len(order), bool)
+            new[1:] = name[order[1:]] != name[order[:-1]]
+            least = ids[row[order]][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            later = order[ids[row[order]] > least]  # copies within the batch
+            kept = order[new]
+            bucket = (key[kept] >> np.uint64(16)) * np.uint64(n_buckets) >> np.uint64(32)
+            by = np.lexsort((row[kept], bucket))
+            kept, bucket = kept[by], bucket[by].astype(np.int64)
+            pairs = np.zeros(len(kept), PAIR)
+            for part, whole in (("k", key), ("c", context)):
+                pairs[part], pairs[f"{part}2"] = whole[kept] & np.uint64(0xFFFFFFFF), whole[kept] >> np.uint64(32)
+            out = _runs(bucket, ids[row[kept]], pairs)
+            yield _rows(*out[:3], pairs=out[3])
+            if len(later):
+                later = later[np.argsort(row[later], kind="stable")]
+                some = np.full(len(later), int(name[later[0]] % np.uint64(n_buckets)), np.int64)
+                out = _runs(some, ids[row[later]], name[later] | np.uint64(ALL))
+                yield _rows(*out[:3], gone=out[3])
 
     return run
 
 
+def _runs(bucket: np.ndarray, doc: np.ndarray, records: np.ndarray):
+    """Buckets, and for each binaries of its documents, of their counts, and of their records; all in order."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
+    at = np.flatnonzero(new)
+    counts = np.diff(np.append(at, len(doc))).astype("<i4")
+    used = np.unique(bucket)
+    ends = np.append(np.searchsorted(bucket, used), len(bucket))
+    doc_ends = np.searchsorted(at, ends)
+    return used, _binaries(doc[at], doc_ends), _binaries(counts, doc_ends), _binaries(records, ends)
+
+
+def _rows(bucket, docs, counts, pairs=None, gone=None):
+    import pyarrow as pa
+
+    none = pa.nulls(len(bucket), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), docs, counts, none if pairs is None else pairs, none if gone is None else gone], ["bucket", "docs", "counts", "pairs", "gone"])
+
+
 def _meet(batches):
-    """All anchors of some buckets to (doc_id, marks): copies that go, and contested ones."""
+    """All anchors of some buckets to (doc_id, marks): contexts that go, and contested ones."""
     import pyarrow as pa
 
-    docs, counts, pairs = [], [], []
+    doc, pairs, gone_doc, gone = [], [], [], []
     for batch in batches:
-        for out, i, kind in ((docs, 1, np.int64), (counts, 2, "<i4"), (pairs, 3, PAIR)):
-            out += [np.frombuffer(x, kind) for x in batch.column(i).to_pylist()]
-    if not pairs or not sum(map(len, pairs)):
-        return
-    doc = np.repeat(np.concatenate(docs), np.concatenate(counts))
-    pairs = np.concatenate(pairs)
-    key, context = _unpacked(pairs)
-    order = np.lexsort((context, key))
-    key, context, doc, pairs = key[order], context[order], doc[order], pairs[order]
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    first = np.flatnonzero(new_key)
-    n = np.diff(np.append(first, len(key)))
-    several = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), n)
-    alike = np.repeat(np.minimum.reduceat(context, first) == np.maximum.reduceat(context, first), n)
-    same = np.flatnonzero(new_key | np.concatenate([[True], context[1:] != context[:-1]]))
-    least = np.repeat(np.minimum.reduceat(doc, same), np.diff(np.append(same, len(key))))
-    what = np.where(doc > least, ALL, np.where(alike, 0, ASK)) * several
-    use = np.flatnonzero(what)
-    marks = np.zeros(len(use), MARK)
-    for f in PAIR.names:
-        marks[f] = pairs[f][use]
-    marks["what"] = what[use]
-    by = np.lexsort((key[use], doc[use]))
-    marks, doc, key, context = marks[by], doc[use][by], key[use][by], context[use][by]
-    new = np.ones(len(doc), bool)  # one mark for equal ones of a document, where neighbours
-    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (context[1:] != context[:-1])
-    marks, doc = marks[new], doc[new]
-    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), _binaries(marks, np.append(at, len(doc))), pa.array(np.logical_or.reduceat(marks["what"] == ASK, at) if len(at) else np.zeros(0, bool))], ["doc_id", "marks", "asked"])
-
-
-def _one(row: np.ndarray, key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """A number for each (row, key, context)."""
-    return scramble(scramble((key & LOW48) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (context & LOW48))
+        for d, n, p, g in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            d = np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, "<i4"))
+            if p is None:
+                gone_doc.append(d)
+                gone.append(np.frombuffer(g, np.uint64))
+            else:
+                doc.append(d)
+                pairs.append(np.frombuffer(p, PAIR))
+    if doc:
+        doc, pairs = np.concatenate(doc), np.concatenate(pairs)
+        key, context = _unpacked(pairs)
+        del pairs
+        order = np.lexsort((context, key))
+        key, context, doc = key[order], context[order], doc[order]
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        new = new_key | np.concatenate([[True], context[1:] != context[:-1]])
+        first = np.flatnonzero(new_key)
+        n = np.diff(np.append(first, len(key)))
+        several = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), n)
+        contexts = np.repeat(np.add.reduceat(new, first), n)
+        same = np.flatnonzero(new)
+        least = np.repeat(np.minimum.reduceat(doc, same), np.diff(np.append(same, len(key))))
+        what = np.where(doc > least, ALL, np.where(contexts > CONTEXTS, APART, np.where(contexts > 1, ASK, 0))) * several
+        use = np.flatnonzero(what)
+        gone_doc.append(doc[use])
+        gone.append(_name(key[use], context[use]) | what[use].astype(np.uint64))
+    if gone:
+        doc, marks = np.concatenate(gone_doc), np.concatenate(gone)
+        by = np.lexsort((marks, doc))
+        doc, marks = doc[by], marks[by]
+        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), _binaries(marks, np.append(at, len(doc)))], ["doc_id", "marks"])
+
+
+def _of_row(row: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """A number for each (row, name)."""
+    return scramble(name ^ scramble(row.astype(np.uint64) + np.uint64(1)))
 
 
 def _marked(blobs: list) -> tuple:
-    """(row, key, context, what) of all marks; blobs: per row a list of binaries or None."""
-    parts = [np.frombuffer(b"".join(x or ()), MARK) for x in blobs]
+    """(numbers, what) of all marks; blobs: per row a list of binaries or None."""
+    parts = [np.frombuffer(b"".join(x or ()), np.uint64) for x in blobs]
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    marks = np.concatenate(parts) if parts else np.zeros(0, MARK)
-    return row, *_unpacked(marks), marks["what"]
+    marks = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return _of_row(row, marks & ~np.uint64(3)), (marks & np.uint64(3)).astype(np.int64)
+
+
+def _pieces(first: int, last: int, at: int):
+    """(number, first, last, start and end of their common bytes) of the runs of strings that a context is taken apart into."""
+    for k, low in enumerate(range(0, SPAN - GRAM + 1, PIECE)):  # bytes of a string before the anchor
+        x, y = max(first, at - low - PIECE + 1), min(last, at - low)
+        if x <= y:
+            yield k, x, y, at - low, at - low - PIECE + 1 + SPAN
 
 
 def _contested(batches):
-    """(doc_id, text, marks) to (k, c, s, d): each contested context of a document once, with its bytes."""
+    """(doc_id, text, marks) to (g, name, at, s, d): each contested context of a document once, or its pieces, with its bytes.
+
+    g: the group that shares a suffix array; at: the first string of s, counted from the context's first.
+    """
     import pyarrow as pa
 
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         ids, blobs = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for a, b in blocks(offsets, BLOCK):
+            if not any(blobs[a:b]):
+                continue
+            number, what = _marked(blobs[a:b])
+            asked = {w: number[what == w] for w in (ASK, APART)}
+            if not any(map(len, asked.values())):
+                continue
             own = data[offsets[a] : offsets[b]]
-            row, first, last, key, context = anchors(own, offsets[a : b + 1] - offsets[a])
-            m_row, m_key, m_context, what = _marked(blobs[a:b])
-            ask = what == ASK
-            mine = _one(row, key, context)
+            row, first, last, key, context, at = anchors(own, offsets[a : b + 1] - offsets[a])
+            name = _name(key, context)
+            mine = _of_row(row, name)
             _, once = np.unique(mine, return_index=True)
-            use = once[np.isin(mine[once], _one(m_row[ask], m_key[ask], m_context[ask]))]
             raw = own.tobytes()
-            cols = [(key[use] & LOW48).astype(np.int64), (context[use] & LOW48).astype(np.int64), [raw[s : e + SPAN] for s, e in zip(first[use], last[use], strict=True)], [ids[a + r] for r in row[use]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["k", "c", "s", "d"])
+            rows = [(int(key[i]), name[i], 0, raw[first[i] : last[i] + SPAN], ids[a + row[i]]) for i in once[np.isin(mine[once], asked[ASK])]]
+            for i in once[np.isin(mine[once], asked[APART])]:
+                for k, x, y, low, high in _pieces(int(first[i]), int(last[i]), int(at[i])):
+                    group = int(prefix_hash(np.frombuffer(raw[low:high], np.uint8))[-1])
+                    rows.append(((group & (1 << 60) - 1) << 2 | k, name[i], x - int(first[i]), raw[x : y + SPAN], ids[a + row[i]]))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+            cols[1] = np.array(cols[1], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["g", "name", "at", "s", "d"])
 
 
 def least_holders(strings: list[bytes], docs: np.ndarray, span: int = SPAN) -> list[np.ndarray]:
@@ -228,25 +292,29 @@ def _shared_places(strings: list[bytes], span: int = SPAN) -> list[tuple[int, in
 
 
 def _arrays(batches):
-    """(k, c, s, d), an anchor's contexts together, to (k, c, d, held): for each place of s the least document, packed.
+    """(g, name, at, s, d), a group's contexts together, to (d, lost): what each context loses, packed.
 
     Places without an equal elsewhere are their own document's and stay out of the suffix
-    arrays.  Contexts from which nothing goes are left out of the result.
+    arrays.  Contexts from which nothing goes are left out.  lost: the name, the first
+    string's place and the number of strings (8, 4 and 4 bytes), then a byte for each string.
     """
     import pyarrow as pa
 
     def done(rows):
-        held = [None] * len(rows)
-        todo, size = [], 0
+        lost: list = [None] * len(rows)
+        todo: list = []
+        size = 0
 
         def decide():
-            found = least_holders([rows[i][2][x : y + SPAN] for i, x, y in todo], np.array([rows[i][3] for i, _, _ in todo], np.int64))
-            for (i, x, y), h in zip(todo, found, strict=True):
-                held[i][x : y + 1] = h
-
-        for i, (r, place) in enumerate(zip(rows, _shared_places([r[2] for r in rows]), strict=True)):
+            found = least_holders([rows[i][3][x : y + SPAN] for i, x, y in todo], np.array([rows[i][4] for i, _, _ in todo], np.int64))
+            for (i, x, _), h in zip(todo, found, strict=True):
+                if (h < rows[i][4]).any():
+                    mask = np.zeros(len(rows[i][3]) - SPAN + 1, np.uint8)
+                    mask[x : x + len(h)] = h < rows[i][4]
+                    lost[i] = rows[i][1].to_bytes(8, "little", signed=True) + rows[i][2].to_bytes(4, "little") + len(mask).to_bytes(4, "little") + mask.tobytes()
+
+        for i, (r, place) in enumerate(zip(rows, _shared_places([r[3] for r in rows]), strict=True)):
             if place:
-                held[i] = np.full(len(r[2]) - SPAN + 1, r[3], "<i8")
                 if size >= ARRAY_BYTES and rows[todo[-1][0]][0] != r[0]:
                     decide()
                     todo, size = [], 0
@@ -254,22 +322,29 @@ def _arrays(batches):
                 size += place[1] - place[0] + SPAN
         if todo:
             decide()
-        use = [i for i, h in enumerate(held) if h is not None and (h < rows[i][3]).any()]
-        cols = [[rows[i][0] for i in use], [rows[i][1] for i in use], [rows[i][3] for i in use], [held[i].tobytes() for i in use]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["k", "c", "d", "held"])
+        use = [i for i, x in enumerate(lost) if x]
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][4] for i in use], pa.int64()), pa.array([lost[i] for i in use], pa.binary())], ["d", "lost"])
 
-    rows, size = [], 0
+    rows: list = []
+    size = 0
     for batch in batches:
-        for r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if size >= BLOCK and r[0] != rows[-1][0]:
                 yield done(rows)
                 rows, size = [], 0
             rows.append(r)
-            size += len(r[2])
+            size += len(r[3])
     if rows:
         yield done(rows)
 
 
+def _losses(blobs: list):
+    """(row, name, first place, mask) of all packed losses."""
+    for row, parts in enumerate(blobs):
+        for x in parts or ():
+            yield row, int.from_bytes(x[:8], "little"), int.from_bytes(x[8:12], "little"), np.frombuffer(x, np.uint8, offset=16)
+
+
 def _remove(batches):
     """(doc_id, text, marks, masks) to the row of the result, and the bytes kept."""
     import hashlib
@@ -285,23 +360,20 @@ def _remove(batches):
             gone = np.zeros(len(own) + 1, np.int64)
             touched = [bool(blobs[i] or masks[i]) for i in range(a, b)]
             if any(touched):
-                row, first, last, key, context = anchors(own, at)
-                mine = _one(row, key, context)
-                m_row, m_key, m_context, what = _marked(blobs[a:b])
-                full = what == ALL
-                use = np.isin(mine, _one(m_row[full], m_key[full], m_context[full]))
+                row, first, last, key, context, _ = anchors(own, at)
+                mine = _of_row(row, _name(key, context))
+                number, what = _marked(blobs[a:b])
+                use = np.isin(mine, number[what == ALL])
                 np.add.at(gone, first[use], 1)
                 np.add.at(gone, last[use] + SPAN, -1)
-                rows = [(i - a, m["k"], m["c"], m["held"]) for i in range(a, b) for m in masks[i] or ()]
-                if rows:
-                    names = _one(*(np.array([r[j] for r in rows], np.int64).astype(np.uint64) for j in range(3)))
-                    by = np.argsort(names)
-                    found = np.minimum(np.searchsorted(names[by], mine), len(by) - 1)
-                    ids = batch.column(0)
-                    for i in np.flatnonzero(names[by][found] == mine):
-                        r = rows[by[found[i]]]
-                        starts = first[i] + np.flatnonzero(np.frombuffer(r[3], "<i8") < ids[a + r[0]].as_py())
-                        gone[starts] += 1
+                losses = list(_losses(masks[a:b]))
+                if losses:
+                    names = _of_row(np.array([r for r, _, _, _ in losses]), np.array([x for _, x, _, _ in losses], np.uint64))
+                    by = np.argsort(mine, kind="stable")
+                    low, high = np.searchsorted(mine[by], names), np.searchsorted(mine[by], names, "right")
+                    for (_, _, place, mask), x, y in zip(losses, low, high, strict=True):
+                        starts = (first[by[x:y], None] + place + np.flatnonzero(mask)).ravel()
+                        np.add.at(gone, starts, 1)
                         np.add.at(gone, starts + SPAN, -1)
             covered = np.cumsum(gone)[:-1] > 0
             for i in range(b - a):
@@ -328,27 +400,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(docs["doc_id"], docs["text"])
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BUCKET_BYTES))
-    known = docs.where(F.col("doc_id").isNotNull())
-    posted = known.mapInArrow(_post(n), "bucket int, docs binary, counts binary, pairs binary")
-    marks = cut(posted.repartition(n, "bucket").mapInArrow(_meet, "doc_id long, marks binary, asked boolean"))
-    by_doc = marks.groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    asked = marks.where("asked").groupBy("doc_id").agg(F.collect_list("marks").alias("marks")).withColumnRenamed("doc_id", "__id")
-    rows = known.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "marks")
-    held = cut(rows.mapInArrow(_contested, "k long, c long, s binary, d long"))
-    crowded = cut(held.groupBy("k").agg(F.count("*").alias("n_contexts")).where(F.col("n_contexts") > CONTEXTS))
-    few = held.join(crowded, "k", "left_anti").repartition("k").sortWithinPartitions("k", "c")
-    found = few.mapInArrow(_arrays, "k long, c long, d long, held binary")
-    # Anchors with very many contexts: their 50-byte strings are counted one by one, over all tasks.
-    many = held.join(crowded, "k").select("k", "c", "d", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("s") - (SPAN - 1)), lambda i: F.substring(F.col("s"), i, F.lit(SPAN)))).alias("pos", "w"))
-    many = cut(many.distinct())
-    least = many.groupBy("w").agg(F.min("d").alias("low"), F.count("*").alias("n"))
-    many = attach(many, cut(least), ["w"], "n", many.count()).groupBy("k", "c", "d").agg(F.sort_array(F.collect_list(F.struct("pos", "low"))).alias("lows"), F.min("low").alias("low")).where("low < d")
-    wide = F.transform("lows", lambda x: F.hex(x["low"]))
-    flip = lambda h: F.concat(*[F.substring(F.lpad(h, 16, "0"), i, 2) for i in range(15, 0, -2)])
-    found = found.unionByName(many.select("k", "c", "d", F.unhex(F.array_join(F.transform(wide, flip), "")).alias("held")))
-    masks = found.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("k", "c", "held")).alias("masks"))
-    both = by_doc.join(masks, "doc_id", "left").withColumnRenamed("doc_id", "__id")
-    rows = docs.join(both.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "marks", "masks")
+    posted = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_post(n), "bucket int, docs binary, counts binary, pairs binary, gone binary")
+    marks = posted.repartition(n, "bucket").mapInArrow(_meet, "doc_id long, marks binary").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("marks").alias("marks"))
+    rows = docs.join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "marks")
+    held = rows.mapInArrow(_contested, "g long, name long, at int, s binary, d long")
+    lost = held.repartition("g").sortWithinPartitions("g", "name").mapInArrow(_arrays, "d long, lost binary")
+    masks = lost.groupBy(F.col("d").alias("__d")).agg(F.collect_list("lost").alias("masks"))
+    rows = rows.join(masks.hint("shuffle_hash"), F.col("doc_id") == F.col("__d"), "left").select("doc_id", "text", "marks", "masks")
     return rows.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
