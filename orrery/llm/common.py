@@ -19,7 +19,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints; a folder of our own only where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -55,6 +58,19 @@ def attach(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total: int
     return hot.unionByName(cold)
 
 
+def share(spark: SparkSession, value):
+    """value for all executors, pickled with its class, so that they need no copy of this package; see shared_value."""
+    from pyspark import cloudpickle
+
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(shared):
+    import pickle
+
+    return pickle.loads(shared.value)
+
+
 def bare(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that extra columns with clashing names stay out."""
     return docs.select(*[docs[c] for c in names])

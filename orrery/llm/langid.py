@@ -1,8 +1,9 @@
 """Language ID (operator 10): rank-order profiles and out-of-place distance.
 
-A profile is a language's most frequent n-grams (of 1 to 3 UTF-8 bytes of lower-cased
-letters, with a blank for whatever lies between words) in order.  A text's own order of
-those n-grams is compared with each profile: the sum of rank differences, K for a miss.
+A profile is a language's most frequent n-grams (of 1 to 3 lower-cased letters, with a blank
+for whatever lies between words) in order.  A text's own most frequent n-grams, in order,
+are compared with each profile: the sum of rank differences, K for an n-gram that the
+profile does not hold.
 """
 
 from __future__ import annotations
@@ -11,18 +12,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bare, table
+from .common import bare, share, shared_value, table
 from .tokens import blocks, text_bytes
 
 K = 400
 #: Training texts per language, about: those of the smallest hashes.
 SAMPLE_DOCS = 600
-#: Most languages that are learned (the commonest): their profiles are collected.
-MAX_LANGS = 1000
-ROWS = 512
-LETTER = np.full(256, 32, np.uint8)
-LETTER[97:123] = np.arange(97, 123)
-LETTER[128:] = np.arange(128, 256)
+#: Bytes of text taken apart at once; a longer text is a block by itself.
+AT_ONCE = 1 << 18
+BLANK = 32
 
 
 def held_out(doc_id, modulus: int, remainder: int) -> F.Column:
@@ -30,24 +28,25 @@ def held_out(doc_id, modulus: int, remainder: int) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def _grams(data: np.ndarray, edge: np.ndarray):
-    """n, places and codes of the n-grams of 1 to 3 bytes: no blank inside, letters at least once, none over an edge."""
-    code = data.astype(np.int64)
-    blank = data == 32
-    one = np.flatnonzero(~blank)
-    yield 1, one, code[one]
-    if len(data) > 1:
-        two = np.flatnonzero(~(blank[:-1] & blank[1:]) & ~edge[1:-1])
-        yield 2, two, code[two] << 8 | code[two + 1]
-    if len(data) > 2:
-        three = np.flatnonzero(~blank[1:-1] & ~edge[1:-2] & ~edge[2:-1])
-        yield 3, three, (code[three] << 16) | (code[three + 1] << 8) | code[three + 2]
+def _characters(data: np.ndarray, offsets: np.ndarray):
+    """Code points of lower-cased UTF-8 texts, whatever is no letter a blank, and where each text starts."""
+    code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    if not len(code):
+        return code, at
+    used = np.flatnonzero(np.bincount(code))
+    letter = np.zeros(used[-1] + 1, bool)
+    letter[used] = [chr(c).isalpha() for c in used.tolist()]
+    return np.where(letter[code], code, BLANK), at
 
 
-def _edges(offsets: np.ndarray) -> np.ndarray:
-    edge = np.zeros(offsets[-1] + 1, bool)
-    edge[offsets] = True
-    return edge
+def _grams(code: np.ndarray) -> np.ndarray:
+    """The n-grams of 1 to 3 characters, 21 bits each: no blank inside, a letter at least, runs of blanks as one."""
+    code = code[np.concatenate([[True], (code[1:] != BLANK) | (code[:-1] != BLANK)])] if len(code) else code
+    blank = code == BLANK
+    pair = code[:-1] | code[1:] << 21
+    inside = ~blank[1:-1]
+    return np.concatenate([code[~blank], pair, (pair[:-1] | code[2:] << 42)[inside]])
 
 
 def lowered(column):
@@ -60,95 +59,80 @@ def _count(batches):
     import pyarrow as pa
 
     for batch in batches:
-        names = batch.schema.names
-        langs = np.array(batch.column(names.index("lang")).to_pylist(), dtype=object)
-        data, offsets = lowered(batch.column(names.index("text")))
-        out: dict[str, list] = {"lang": [], "gram": [], "n": []}
-        for lang in sorted(set(langs)):
-            rows = np.flatnonzero(langs == lang)
-            parts = [data[offsets[r] : offsets[r + 1]] for r in rows]
-            own = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-            for n, _, codes in _grams(LETTER[np.concatenate(parts)], _edges(own)):
-                grams, counts = np.unique(codes, return_counts=True)
-                out["lang"] += [lang] * len(grams)
-                out["gram"] += ((np.int64(n) << 24) | grams).tolist()
-                out["n"] += counts.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["gram"], pa.int64()), pa.array(out["n"], pa.int64())], ["lang", "gram", "n"])
+        langs = batch.column(0).to_pylist()
+        data, offsets = lowered(batch.column(1))
+        held: dict[str, list] = {}
+        for a, b in blocks(offsets, AT_ONCE):
+            code, at = _characters(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for i in range(b - a):
+                held.setdefault(langs[a + i], []).append(_grams(code[at[i] : at[i + 1]]))
+        for lang, parts in held.items():
+            grams, counts = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
 
 def fit_profiles(rows: DataFrame, k: int = K, sample_docs: int = SAMPLE_DOCS) -> dict[str, list[int]]:
     """language -> its k most frequent n-grams, from rows (doc_id, text, lang).
 
-    Learns from sample_docs texts of each language, about, chosen by hash, and counts all
-    their n-grams on the executors; null texts and languages teach nothing.
+    Learns from sample_docs texts of each language, about, chosen by a hash of id and text,
+    and counts all their n-grams on the executors; null texts and languages teach nothing,
+    null ids do.  What comes to the driver is k numbers for each language, however many
+    texts there are.  Ties go to the lesser n-gram.
     """
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return {}
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, sample_docs / r[1]))]), F.col("lang"))
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(F.col("lang").isin([r[0] for r in counts]) & (chance < share)).select("lang", "text")
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("__n"))
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.join(F.broadcast(counts), "lang").where(chance * F.col("__n") < sample_docs).select("lang", "text")
     grams = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    profiles: dict[str, list[int]] = {r[0]: [] for r in sorted(counts, key=lambda r: r[0])}
+    profiles: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "rank").collect():  # k rows a language
-        profiles[r["lang"]].append(r["gram"])
-    return {lang: grams for lang, grams in profiles.items() if grams}
+        profiles.setdefault(r["lang"], []).append(r["gram"])
+    return profiles
 
 
 class Ranker:
-    """Out-of-place distances of texts to profiles."""
+    """Out-of-place distances of texts to profiles, kept as the places of each n-gram in the profiles that hold it."""
 
     def __init__(self, profiles: dict[str, list[int]], k: int):
         self.k, self.langs = k, list(profiles)
-        grams = sorted({g for p in profiles.values() for g in p})
-        number = {g: i for i, g in enumerate(grams)}
-        self.rank = np.full((len(profiles), len(grams)), -1, np.int32)
-        for row, p in zip(self.rank, profiles.values(), strict=True):
-            row[[number[g] for g in p]] = np.arange(len(p))
-        self.n = len(grams)
-        self.number = [np.full(256**i, -1, np.int16 if len(grams) < 1 << 15 else np.int32) for i in (1, 2, 3)]
-        for g, i in number.items():
-            self.number[(g >> 24) - 1][g & 0xFFFFFF] = i
-
-    def scores(self, data: np.ndarray, offsets: np.ndarray):
-        """(index of the nearest language, score) of each row."""
-        rows = len(offsets) - 1
-        if not self.n:
-            return np.zeros(rows, np.int64), np.zeros(rows)
-        row = np.repeat(np.arange(rows), np.diff(offsets))
-        counts = np.zeros(rows * self.n, np.int64)
-        for n, at, codes in _grams(LETTER[data], _edges(offsets)):
-            known = self.number[n - 1][codes].astype(np.int64)
-            ok = known >= 0
-            counts += np.bincount(row[at[ok]] * self.n + known[ok], minlength=rows * self.n)
-        counts = counts.reshape(rows, self.n)
-        top = np.argsort(-counts, axis=1, kind="stable")[:, : self.k]
-        used = np.take_along_axis(counts, top, 1) > 0
-        place = np.arange(top.shape[1])
-        far = np.stack([np.where(used, np.where(p[top] < 0, self.k, np.minimum(np.abs(p[top] - place), self.k)), 0).sum(1) for p in self.rank], axis=1)
-        best = far.argmin(1)
-        most = np.maximum(used.sum(1), 1) * self.k
-        return best, np.where(used.any(1), 1 - far[np.arange(rows), best] / most, 0.0)
+        gram = np.array([g for p in profiles.values() for g in p], np.int64)
+        lang = np.repeat(np.arange(len(profiles)), [len(p) for p in profiles.values()]).astype(np.int32)
+        rank = np.concatenate([np.arange(len(p)) for p in profiles.values()] or [np.zeros(0, np.int64)]).astype(np.int32)
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.lang, self.rank = gram[order], lang[order], rank[order]
+
+    def score(self, code: np.ndarray):
+        """(index of the nearest language, score) of a text."""
+        grams, counts = np.unique(_grams(code), return_counts=True)
+        top = grams[np.argsort(-counts, kind="stable")[: self.k]]  # in order of the n-gram where counts are equal
+        if not len(top) or not self.langs:
+            return 0, 0.0
+        first, last = np.searchsorted(self.gram, top), np.searchsorted(self.gram, top, "right")
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        near = self.k - np.abs(self.rank[at] - np.repeat(np.arange(len(top)), n))
+        near = np.bincount(self.lang[at], near, minlength=len(self.langs))
+        best = int(near.argmax())
+        return best, float(near[best]) / (self.k * len(top))
 
 
 def _predictor(shared, keep_text: bool):
     def run(batches):
         import pyarrow as pa
 
-        ranker = shared.value
+        ranker = shared_value(shared)
         for batch in batches:
             names = batch.schema.names
             data, offsets = lowered(batch.column(names.index("text")))
             langs, scores = [], []
-            for a, b in blocks(offsets):
-                for c in range(a, b, ROWS):
-                    e = min(b, c + ROWS)
-                    best, score = ranker.scores(data[offsets[c] : offsets[e]], offsets[c : e + 1] - offsets[c])
-                    langs += [ranker.langs[i] for i in best] if ranker.langs else [None] * (e - c)
-                    scores += score.tolist()
+            for a, b in blocks(offsets, AT_ONCE):
+                code, at = _characters(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for i in range(b - a):
+                    best, score = ranker.score(code[at[i] : at[i + 1]])
+                    langs.append(ranker.langs[best] if ranker.langs else None)
+                    scores.append(score)
             rest = [k for k in names if k != "text" or keep_text]
             yield pa.RecordBatch.from_arrays([batch.column(names.index(k)) for k in rest] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
 
@@ -164,7 +148,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], k: int = K, keep_te
     Columns of docs named lang_pred or score are replaced.
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "__letter")]
-    shared = docs.sparkSession.sparkContext.broadcast(Ranker(profiles, k))
+    shared = share(docs.sparkSession, Ranker(profiles, k))
     letter = F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False))
     kinds = dict(docs.dtypes)
     kept = [c for c in names if c != "text" or keep_text]

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bare, table
+from .common import bare, share, shared_value, table
 from .tokens import LOWER, blocks, text_bytes, words
 
 WINDOW = 10
@@ -124,18 +124,19 @@ def _matcher(parts, span, rarest, keep_text):
     def run(batches):
         import pyarrow as pa
 
+        own_part = shared_value(parts[0]) if len(parts) == 1 else None
         for batch in batches:
             names = batch.schema.names
             data, offsets = text_bytes(batch.column(names.index("text")))
             cols = {k: [] for k in ("n_words", "n_hit", "items", "spans", "near_items")}
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, 1 << 18):
                 own = offsets[a : b + 1] - offsets[a]
                 _, _, row, hashes = words(LOWER[data[offsets[a] : offsets[b]]], own)
                 hit = np.zeros(len(hashes) + 1, np.int64)
                 items: list[set] = [set() for _ in range(b - a)]
                 close: list[set] = [set() for _ in range(b - a)]
                 for part in parts:
-                    p = part.value
+                    p = shared_value(part) if len(parts) > 1 else own_part
                     shard = Shard(hashes, row, b - a, p.vocabulary)
                     w, start = shard.phrases(p)
                     np.add.at(hit, start, 1)
@@ -190,7 +191,7 @@ def find_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, near:
     parts = []
     for k in range(n):  # each part is bounded by ITEM_BYTES, about; the driver holds one at a time
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        parts.append(spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in rows], window)))
+        parts.append(share(spark, Phrases([(r[0], r[1]) for r in rows], window)))
     results = ("n_words", "n_hit", "items", "spans", "near_items")
     names, kinds = [c for c in docs.columns if c not in results], dict(docs.dtypes)
     own = ", ".join(f"`{c}` {kinds[c]}" for c in names if c != "text" or keep_text)

@@ -26,7 +26,7 @@ from .tokens import blocks, powers, prefix_hash, scramble, text_bytes
 
 SPAN, GRAM = 50, 16
 #: Bytes of text for each hash bucket of anchors, about.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 #: Bytes of contexts in one suffix array, and the distinct contexts of one anchor beyond which they are taken apart.
 ARRAY_BYTES, CONTEXTS = 128 << 10, 1000
 #: String starts in each piece of a context that is taken apart.
@@ -116,12 +116,16 @@ def _post(n_buckets: int):
             row, key, context = np.concatenate(rows), np.concatenate(keys), np.concatenate(contexts)
             del rows, keys, contexts
             name = _name(key, context)
-            order = np.lexsort((ids[row], name))
-            new = np.ones(len(order), bool)
-            new[1:] = name[order[1:]] != name[order[:-1]]
-            least = ids[row[order]][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-            later = order[ids[row[order]] > least]  # copies within the batch
-            kept = order[new]
+            if not len(name):
+                continue
+            order = np.argsort(name)
+            doc, sorted_name = ids[row[order]], name[order]
+            group = np.concatenate([[0], np.cumsum(sorted_name[1:] != sorted_name[:-1])])
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            earliest = doc == np.minimum.reduceat(doc, first)[group]
+            later, kept, group = order[~earliest], order[earliest], group[earliest]  # later: copies within the batch
+            kept = kept[np.concatenate([[True], group[1:] != group[:-1]])]
+            del order, doc, sorted_name, first, earliest, group
             bucket = (key[kept] >> np.uint64(16)) * np.uint64(n_buckets) >> np.uint64(32)
             by = np.lexsort((row[kept], bucket))
             kept, bucket = kept[by], bucket[by].astype(np.int64)
@@ -240,13 +244,18 @@ def _contested(batches):
             row, first, last, key, context, at = anchors(own, offsets[a : b + 1] - offsets[a])
             name = _name(key, context)
             mine = _of_row(row, name)
-            _, once = np.unique(mine, return_index=True)
+            once = {}
+            for w, numbers in asked.items():
+                use = np.flatnonzero(np.isin(mine, numbers)) if len(numbers) else np.zeros(0, np.int64)
+                once[w] = use[np.unique(mine[use], return_index=True)[1]]
             raw = own.tobytes()
-            rows = [(int(key[i]), name[i], 0, raw[first[i] : last[i] + SPAN], ids[a + row[i]]) for i in once[np.isin(mine[once], asked[ASK])]]
-            for i in once[np.isin(mine[once], asked[APART])]:
+            use = once[ASK]
+            ends = zip(first[use].tolist(), (last[use] + SPAN).tolist(), strict=True)
+            rows = list(zip(key[use].tolist(), name[use].tolist(), [0] * len(use), [raw[x:y] for x, y in ends], [ids[a + r] for r in row[use].tolist()], strict=True))
+            for i in once[APART].tolist():
                 for k, x, y, low, high in _pieces(int(first[i]), int(last[i]), int(at[i])):
                     group = int(prefix_hash(np.frombuffer(raw[low:high], np.uint8))[-1])
-                    rows.append(((group & (1 << 60) - 1) << 2 | k, name[i], x - int(first[i]), raw[x : y + SPAN], ids[a + row[i]]))
+                    rows.append(((group & (1 << 60) - 1) << 2 | k, int(name[i]), x - int(first[i]), raw[x : y + SPAN], ids[a + row[i]]))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
             cols[1] = np.array(cols[1], np.uint64).view(np.int64)
@@ -306,8 +315,13 @@ def _arrays(batches):
         size = 0
 
         def decide():
-            found = least_holders([rows[i][3][x : y + SPAN] for i, x, y in todo], np.array([rows[i][4] for i, _, _ in todo], np.int64))
-            for (i, x, _), h in zip(todo, found, strict=True):
+            least: dict[bytes, int] = {}  # equal stretches are one
+            for i, x, y in todo:
+                s, d = rows[i][3][x : y + SPAN], rows[i][4]
+                least[s] = min(d, least.get(s, d))
+            found = dict(zip(least, least_holders(list(least), np.array(list(least.values()), np.int64)), strict=True))
+            for i, x, y in todo:
+                h = found[rows[i][3][x : y + SPAN]]
                 if (h < rows[i][4]).any():
                     mask = np.zeros(len(rows[i][3]) - SPAN + 1, np.uint8)
                     mask[x : x + len(h)] = h < rows[i][4]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of text worked on at once; a longer text is a block by itself.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 
