@@ -32,6 +32,8 @@ BLOCK_TEXTS, BLOCK_BYTES = 256, 1 << 20
 AT_ONCE = 1 << 18
 #: A shingle (48 bits) and how often a text has it.
 GRAM = np.dtype([("s", "<u4"), ("s2", "<u2"), ("w", "<u4")])
+#: Steps from bucket to bucket in which texts find their home.
+STEPS = 3
 #: For sums of shares that round off.
 SLACK = 1e-9
 
@@ -245,6 +247,7 @@ def _block_links(left: list, right: list, similarity: float):
     s, w = (np.concatenate([x[k] for x in sets]) for k in (0, 1))
     sizes = np.array([len(x[0]) for x in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
+    even = np.array([len(x[1]) and x[1].min() == x[1].max() for x in sets], bool)
     order = np.argsort(s, kind="stable")
     s, w, owner = s[order], w[order], owner[order]
     for m in left:
@@ -254,6 +257,8 @@ def _block_links(left: list, right: list, similarity: float):
         reach = np.bincount(owner[at], np.minimum(w[at], np.repeat(share, last - first)), minlength=len(sets))
         common = np.bincount(owner[at], minlength=len(sets))
         jaccard = common / np.maximum(1, len(own) + sizes - common)
+        if len(share) and share.min() == share.max():
+            reach[even] = 0  # no shingle repeats in either text, so the sets say all
         for i in np.flatnonzero((np.maximum(reach, jaccard) >= similarity - SLACK) & (parts != m["part"])):
             if jaccard[i] >= similarity - SLACK or similarity_of(own, share, *sets[i]) >= similarity - SLACK:
                 yield max(m["node"], int(nodes[i])), min(m["node"], int(nodes[i]))
@@ -277,13 +282,18 @@ def _rest(shared: DataFrame, parts: DataFrame, sets: DataFrame, similarity: floa
     """All links between texts of a large bucket that are in different parts.
 
     A text over 1 - similarity of whose shingles, and of whose weight, no other text of such
-    buckets has can't have any, and goes first.  The others are dealt into blocks, by the largest of their buckets
-    and a hash, each text into one; two blocks meet once if they have a bucket in common.
+    buckets has can't have any, and goes first.  The others are dealt into blocks, each text into one: texts that
+    buckets lead to from one another share a home, and a home is dealt by a hash.  Two
+    blocks meet once if they have a bucket in common.
     """
     of = shared.where(F.col("size") > SMALL).join(parts, "node")
     split = of.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     open_ = cut(of.join(split, "key").select("key", "size", "node", "part"))
-    who = cut(open_.groupBy("node", "part").agg(F.max_by("key", F.struct("size", "key")).alias("home")).join(sets, "node"))
+    home = open_.groupBy("node").agg(F.max_by("key", F.struct("size", "key")).alias("home"))
+    for _ in range(STEPS):
+        met = open_.select("key", "node").join(home, "node").groupBy("key").agg(F.min("home").alias("home"))
+        home = cut(open_.select("key", "node").join(met, "key").groupBy("node").agg(F.min("home").alias("home")))
+    who = cut(open_.select("node", "part").distinct().join(home, "node").join(sets, "node"))
     held_by = who.select("node", "grams").mapInArrow(_shares, "node long, s long, share double, part_of_set double").groupBy("s")
     alone = held_by.agg(*[F.max(c).alias(c) for c in ("node", "share", "part_of_set")], F.count("*").alias("n")).where("n = 1").groupBy("node")
     alone = alone.agg(F.least(F.sum("share"), F.sum("part_of_set")).alias("own")).where(F.col("own") > 1 - similarity + SLACK).select("node")
@@ -316,10 +326,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     words, of shorter texts) have a probability Jaccard similarity, with their counts as
     weights, or a Jaccard similarity, as sets, of `similarity` or more.  Candidates are texts with a band in common.  In each bucket
     every text is compared with the bucket's leader, the text in the largest buckets, as a
-    common original is, then with a leader of those that this left apart; then all pairs of
-    a bucket that are still in different parts are compared, whatever its size.  Texts
-    without words (null, empty) have classes of their own; null ids are left out; of rows
-    with one doc_id the least text in order of `same` stands.  Other columns are ignored.
+    common original is; then all pairs of a bucket that are still in different parts are
+    compared, whatever its size.  Texts without words (null, empty) have classes of their
+    own; null ids are left out; of rows with one doc_id the least text in order of `same`
+    stands.  Other columns are ignored.
     """
     docs = docs.where(docs["doc_id"].isNotNull()).select("doc_id", "text")
     sketch = docs.mapInArrow(_sketch, "doc_id long, same binary, bands array<long>")
@@ -337,13 +347,6 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     of_pair = [F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")]
     pairs = attach(shared, cut(leaders), ["key"], "n", total).where("node <> leader").select(*of_pair).distinct()
     parts = cut(components(wanted.select("node"), _verified(pairs, sets, similarity)))
-    # In each bucket of several parts: a leader from outside the leader's part, with all of other parts.
-    of = cut(shared.join(parts, "node"))
-    first = of.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "low")
-    apart = cut(of.join(first, "key"))
-    second = apart.where("part <> low").groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("leader"), F.min_by("part", F.xxhash64("node")).alias("led"))
-    pairs = attach(apart, cut(second.join(apart.groupBy("key").agg(F.count("*").alias("n")), "key")), ["key"], "n", total).where("part <> led").select(*of_pair).distinct()
-    parts = _joined(parts, _verified(pairs, sets, similarity))
     few = shared.where(F.col("size") <= SMALL).join(parts, "node").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "part"))).alias("m"))
     mates = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["node"] < F.col("x")["node"]) & (y["part"] != F.col("x")["part"]))).alias("y"))
     links = _verified(mates.select(F.col("x")["node"].alias("a"), F.col("y")["node"].alias("b")).distinct(), sets, similarity)
