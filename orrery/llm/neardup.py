@@ -30,8 +30,11 @@ SMALL = 16
 BLOCK_TEXTS, BLOCK_BYTES = 256, 1 << 20
 #: Bytes of text sketched at once; a longer text is a block by itself.
 AT_ONCE = 1 << 18
-#: A shingle (48 bits) and how often a text has it.
+#: A shingle (48 bits); and, in texts where some repeat, how often the text has it.
+ONCE = np.dtype([("s", "<u4"), ("s2", "<u2")])
 GRAM = np.dtype([("s", "<u4"), ("s2", "<u2"), ("w", "<u4")])
+#: Rows of links in a task.
+LINKS_A_TASK = 10_000
 #: Steps from bucket to bucket in which texts find their home.
 STEPS = 3
 #: For sums of shares that round off.
@@ -141,19 +144,27 @@ def _sets(batches):
             r, s = shingles(h, row, b - a)
             r, s, w = _weighted(r, s & np.uint64((1 << 48) - 1))
             at = np.searchsorted(r, np.arange(b - a + 1))
-            grams = np.zeros(len(s), GRAM)
-            grams["s"], grams["s2"], grams["w"] = s & np.uint64(0xFFFFFFFF), s >> np.uint64(32), w
             for i in range(b - a):
                 if names[i] == wanted[a + i]:
                     out["node"].append(nodes[a + i])
-                    out["grams"].append(grams[at[i] : at[i + 1]].tobytes())
+                    out["grams"].append(_pack(s[at[i] : at[i + 1]], w[at[i] : at[i + 1]]))
         yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), pa.array(out["grams"], pa.binary())], ["node", "grams"])
 
 
+def _pack(shingle: np.ndarray, n: np.ndarray) -> bytes:
+    """A byte that tells whether some shingle repeats, then the records."""
+    repeats = len(n) and n.max() > 1
+    out = np.zeros(len(shingle), GRAM if repeats else ONCE)
+    out["s"], out["s2"] = shingle & np.uint64(0xFFFFFFFF), shingle >> np.uint64(32)
+    if repeats:
+        out["w"] = n
+    return (b"\1" if repeats else b"\0") + out.tobytes()
+
+
 def _unpack(data: bytes):
     """Sorted shingles and their shares of the text."""
-    x = np.frombuffer(data, GRAM)
-    w = x["w"].astype(np.float64)
+    x = np.frombuffer(data, GRAM if data[0] else ONCE, offset=1)
+    w = x["w"].astype(np.float64) if data[0] else np.ones(len(x))
     return x["s"].astype(np.uint64) | x["s2"].astype(np.uint64) << np.uint64(32), w / w.sum() if len(w) else w
 
 
@@ -197,15 +208,19 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, part) of nodes(node): part is the least node that links (a, b) lead to.
 
     Each round a node takes the least part among itself, its neighbours and its part's part.
+    Tasks that write shuffle files get LINKS_A_TASK rows, about, so that few links make few files.
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    part = cut(both.select(F.col("a").alias("node")).distinct().withColumn("part", F.col("node")))
+    tasks = -(-both.count() // LINKS_A_TASK) or 1
+    both = both.coalesce(tasks)
+    part = cut(both.select(F.col("a").alias("node")).distinct().coalesce(tasks).withColumn("part", F.col("node")))
     while True:
-        near = both.join(part, both["b"] == part["node"]).groupBy("a").agg(F.min("part").alias("near"))
-        step = part.join(near, part["node"] == near["a"]).select("node", "part", F.least("part", "near").alias("low"))
+        near = both.join(part, both["b"] == part["node"]).select("a", "part").coalesce(tasks).groupBy("a").agg(F.min("part").alias("near"))
+        step = part.join(near, part["node"] == near["a"]).select("node", "part", F.least("part", "near").alias("low")).coalesce(tasks)
         # The part's own new part: parts are few, and each node asks for one.
         up = step.groupBy("part").agg(F.min("low").alias("up")).withColumnRenamed("part", "p")
-        new = cut(step.join(up, step["part"] == up["p"]).select("node", F.least("low", "up").alias("part"), (F.least("low", "up") != F.col("part")).alias("moved")))
+        new = step.join(up, step["part"] == up["p"]).select("node", F.least("low", "up").alias("part"), (F.least("low", "up") != F.col("part")).alias("moved"))
+        new = cut(new.coalesce(tasks))
         part = new.select("node", "part")
         if not new.where("moved").limit(1).count():
             break
