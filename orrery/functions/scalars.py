@@ -33,7 +33,8 @@ def basename(path: Column) -> Column:
 
 
 def top_two_segments(path: Column) -> Column:
-    return F.concat_ws("/", F.slice(F.split(path, "/"), 1, 2))
+    """The first two segments that are not empty."""
+    return F.concat_ws("/", F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, 2))
 
 
 def extension(path: Column) -> Column:

@@ -32,3 +32,21 @@ PHASE_FLOOR = {"clone": 1, "scan": 3, "file_analysis": 5, "folder_analysis": 72,
 CONCEPT_KINDS = ("ontology", "business", "capability", "role", "pattern", "domain")
 CONTRACT_KINDS = ("interface", "schema", "event", "config")
 GUIDEPOST_KINDS = ("anomaly", "convention", "history", "warning", "starting-point")
+EDGE_KINDS = {"concept": ("HAS_CONCEPT", "PLAYS_ROLE", "BELONGS_TO_DOMAIN"), "contract": ("DEFINES", "CONSUMES")}
+# Lengths and counts of enrichment.
+NAME_CHARS, RATIONALE_CHARS, NOTE_CHARS = 120, 500, 800
+MOST_CONCEPTS, MOST_CONTRACTS, MOST_GUIDEPOSTS = 20, 20, 10
+
+# Patterns.
+FULLTEXT_SPECIALS = r"""[+\-&|!(){}\[\]^"~*?:\\/]"""
+SLUG = "^[a-z0-9]([a-z0-9-]{0,62}[a-z0-9])?$"
+COMMIT_HASH, BRANCH_NAME = "^[0-9a-f]{40}$", r"^[\w./-]+$"
+REPO_URL = r"^https?://(?:www\.)?github\.com/([^/]+)/([^/]+?)(?:\.git)?(?:/tree/([^?#]+))?/*$"
+
+# Failures that are tried again, and how.
+RETRYABLE = ("llm_rate_limit", "llm_unreachable", "internal")
+ATTEMPTS, BACK_OFF_S, LEASE_S, HEARTBEAT_S = 3, 5, 300, 60
+
+# Limits of answers.
+RESPONSE_CHARS, LEAST_RESULTS, TRIM = 32_000, 5, 0.7
+BRANCHES_FOUND, BRANCHES_SHOWN, COMMITS_DEFAULT, COMMITS_MAX, SECTION_TOKENS = 10, 20, 200, 2_000, 15_000

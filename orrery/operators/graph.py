@@ -24,9 +24,13 @@ def edge_counts(edges: DataFrame) -> DataFrame:
 
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str], order: str, first: tuple[str, ...] = ()) -> DataFrame:
-    """Keyed upsert: of each key the latest row by `order`; columns in `first` keep their earliest value."""
-    both = old.unionByName(new)
-    rest = [c for c in both.columns if c not in keys]
+    """Keyed upsert: of each key the latest row by `order`; columns in `first` keep their earliest value.
+
+    Of rows that are equal in `order` those of new come later, and then the greater in their columns.
+    """
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    rest = [c for c in old.columns if c not in keys]
+    order = F.struct(order, "__new", *[c for c in rest if c != order])
     pick = [F.min_by(c, order).alias(c) if c in first else F.max_by(c, order).alias(c) for c in rest]
     return both.groupBy(*keys).agg(*pick)
 
@@ -81,3 +85,12 @@ def guidepost_targets(rows: DataFrame) -> DataFrame:
 def first_seen(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("__n", nth).where("__n = 1").drop("__n")
+
+
+def key_counts(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Rows and distinct keys of each table: they are equal where the key is unique."""
+    out = None
+    for name, (rows, keys) in tables.items():
+        one = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_keys")).select(F.lit(name).alias("name"), "n_rows", "n_keys")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -69,3 +69,19 @@ def chunks(files: DataFrame, tokens: int = V.CHUNK_TOKENS) -> DataFrame:
     each = files.select(*ID, F.posexplode(F.arrays_zip(costs.alias("cost"), greedy_groups(costs, tokens).alias("chunk"))).alias("pos", "x"))
     n = F.col("pos") + 1
     return each.groupBy(*ID, F.col("x.chunk").alias("chunk")).agg(F.min(n).alias("start_line"), F.max(n).alias("end_line"), F.sum("x.cost").alias("tokens"))
+
+
+def batches(rows: DataFrame, group: str, by: str, size: int) -> DataFrame:
+    """rows in batches of `size` within each group, in order of `by`."""
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(by))
+    return rows.withColumn("batch", F.floor((nth - 1) / size))
+
+
+def call_problems(calls: DataFrame, most: tuple = (("metadata", 10), ("bulk", 50)), tokens: tuple[int, int] = (1_000, 50_000)) -> DataFrame:
+    """calls(op, n_paths, tokens) with what is wrong with each, null where nothing is."""
+    op = F.col("op")
+    many = F.lit(False)
+    for name, n in most:
+        many = many | ((op == name) & (F.col("n_paths") > n))
+    problem = F.when(~op.isin("metadata", "content", "bulk"), "unknown op").when(many, "too many paths").when((op == "content") & ~F.col("tokens").between(*tokens), "tokens out of range")
+    return calls.withColumn("problem", problem)

@@ -37,7 +37,7 @@ def kind(content: Column, max_bytes: int = V.MAX_FILE_BYTES, max_lines: int = V.
 
 def is_binary(content: Column) -> Column:
     """A NUL byte among the first 4096."""
-    return F.instr(F.hex(F.substring(content.cast("binary"), 1, 4096)), "00") > 0
+    return F.coalesce(F.hex(F.substring(content.cast("binary"), 1, 4096)).rlike("^(?:..)*?00"), F.lit(False))
 
 
 def manifest_summary(files: DataFrame, chunk: int = V.CHUNK_TOKENS) -> DataFrame:

@@ -123,10 +123,73 @@ def list_knowledge(knowledge: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_metadata(files: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """Files of paths(relative_path) with their sorted entities: edges are collected first, so nothing fans out."""
-    wanted = files.select(*ID, "language", "purpose").join(paths.select("relative_path").distinct(), "relative_path", "left_semi")
+    """Files of paths(relative_path, and knowledge_id where given) with their sorted entities: edges are collected first, so nothing fans out."""
+    key = [c for c in ID if c in paths.columns]
+    paths = paths.select(*key).distinct()
+    wanted = files.select(*ID, "language", "purpose").join(paths, key, "left_semi")
     kinds = {"HAS_KEYWORD": "keywords", "HAS_CLASS": "classes", "HAS_FUNCTION": "functions", "HAS_IMPORT_INTERNAL": "imports_internal", "HAS_IMPORT_EXTERNAL": "imports_external"}
     text = lambda e: F.array_join(F.array_sort(F.collect_set(F.when(F.col("edge_type") == e, F.col("dst")))), ",").alias(kinds[e])
-    found = edges.join(paths.select("relative_path").distinct(), "relative_path", "left_semi").groupBy(*ID).agg(*map(text, kinds))
+    found = edges.join(paths, key, "left_semi").groupBy(*ID).agg(*map(text, kinds))
     out = wanted.join(found, ID, "left")
     return out.select(*ID, "language", "purpose", *[F.coalesce(c, F.lit("")).alias(c) for c in kinds.values()])
+
+
+def list_projection(knowledge: DataFrame, counts: DataFrame) -> DataFrame:
+    """What a list shows: state, one text for the source, the stored number of files or else the counted one."""
+    source = F.concat(F.col("source_kind"), F.lit(":"), F.col("source_url"), F.lit("@"), F.col("branch"))
+    return knowledge.join(counts, "knowledge_id", "left").select("knowledge_id", "state", source.alias("source"), F.coalesce("total_files", "file_count").alias("total_files"))
+
+
+def suggest(names: DataFrame, asked: DataFrame, found: int = V.BRANCHES_FOUND, shown: int = V.BRANCHES_SHOWN) -> DataFrame:
+    """For each asked text the first names that contain it, or the first of all where none does.
+
+    asked is broadcast and compared with every name: it holds what users typed, a few rows.
+    """
+    first = names.orderBy("name").limit(shown)
+    hit = asked.join(names, F.lower("name").contains(F.lower("asked")))
+    hit = hit.withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy("name"))).where(F.col("n") <= found).drop("n")
+    rest = asked.join(hit.select("asked").distinct(), "asked", "left_anti").crossJoin(F.broadcast(first))
+    return hit.select("asked", "name").unionByName(rest.select("asked", "name"))
+
+
+def with_purpose(found: DataFrame, files: DataFrame) -> DataFrame:
+    return found.join(files.select(*ID, "purpose"), ID, "left")
+
+
+def capped(found: DataFrame, most: int) -> DataFrame:
+    """The first rows by name, knowledge base and path."""
+    return found.orderBy("name", *ID).limit(most)
+
+
+def group_entries(knowledge: DataFrame) -> DataFrame:
+    """Knowledge bases by address, else by path, else by id."""
+    return knowledge.groupBy(F.coalesce("source_url", "source_path", "knowledge_id").alias("entry")).agg(F.count("*").alias("n"))
+
+
+def clamped_page(rows: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
+    """The rows of a page, the last one if there are not so many, with its number and how many pages there are.
+
+    The count is one row; the page itself is a limit over sorted rows.
+    """
+    total = rows.count()
+    pages = max(1, -(-total // size))
+    at = min(max(1, number), pages)
+    return rows.orderBy(*order).offset((at - 1) * size).limit(size).withColumn("page", F.lit(at)).withColumn("pages", F.lit(pages))
+
+
+def commit_limit(asked: Column) -> Column:
+    return F.when(asked.isNull(), V.COMMITS_DEFAULT).otherwise(F.least(F.greatest(asked, F.lit(1)), F.lit(V.COMMITS_MAX)))
+
+
+def trim(rows: DataFrame, order: list[str], chars: Column, most: int = V.RESPONSE_CHARS) -> DataFrame:
+    """A result page, each row of so many characters, cut to 0.7 of its rows until it fits or has LEAST_RESULTS.
+
+    rows is a page: it is bounded by the largest page, so its sizes come in one row.
+    """
+    nth = F.row_number().over(Window.orderBy(*order))
+    sizes = rows.withColumn("n", nth).withColumn("chars", chars)
+    lengths = [r["chars"] for r in sizes.orderBy("n").select("chars").limit(V.PAGE_MAX).collect()]
+    keep = len(lengths)
+    while keep > V.LEAST_RESULTS and sum(lengths[:keep]) > most:
+        keep = int(keep * V.TRIM)
+    return sizes.where(F.col("n") <= keep).drop("chars")

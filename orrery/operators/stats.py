@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -96,3 +96,16 @@ def commit_history(commits: DataFrame) -> DataFrame:
 def fresh_usage(rows: DataFrame) -> DataFrame:
     """Totals less the cached share, never under 0."""
     return rows.agg(F.sum("total").alias("total"), F.sum("cached").alias("cached")).select("total", "cached", F.greatest(F.lit(0), F.col("total") - F.col("cached")).alias("fresh"))
+
+
+def order_folders(folders: DataFrame, by: Column) -> DataFrame:
+    """The place of each folder in its knowledge base, by a measure and then by name."""
+    nth = F.row_number().over(Window.partitionBy("knowledge_id").orderBy(by, "folder_path"))
+    return folders.select("knowledge_id", "folder_path", nth.alias("place"))
+
+
+def narrow_payloads(jobs: DataFrame) -> DataFrame:
+    """id, knowledge_id, branch of jobs(id, payload) whose JSON payload names a knowledge base; empty branches are none."""
+    p = F.from_json("payload", "knowledgeId string, branch string")
+    text = lambda c: F.nullif(F.trim(p[c]), F.lit(""))
+    return jobs.select("id", text("knowledgeId").alias("knowledge_id"), text("branch").alias("branch")).where("knowledge_id IS NOT NULL")

@@ -10,20 +10,9 @@ from ..operators import graph, retrieve, scan, search, stats
 from ..operators.search import Scope
 from ..streaming import usage
 from . import views as v
+from .registry import QUERIES, SQL, query
 
 QUERY = "attion eriner"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = v.with_views(sql)
-        return f
-
-    return put
 
 
 # --- search ---------------------------------------------------------------------------------
@@ -129,7 +118,7 @@ _NAMES = {"HAS_KEYWORD": "keywords", "HAS_CLASS": "classes", "HAS_FUNCTION": "fu
 @query("file_metadata", "SELECT f.knowledge_id, f.relative_path, any_value(f.language) AS language, any_value(f.purpose) AS purpose, " + ", ".join(f"COALESCE(string_agg(DISTINCT dst, ',' ORDER BY dst) FILTER (edge_type = '{e}'), '') AS {n}" for e, n in _NAMES.items()) + " FROM v_file f LEFT JOIN v_edge e USING (knowledge_id, relative_path) GROUP BY 1, 2")
 def file_metadata(spark, d):
     files = v.v_file(spark, d)
-    return search.file_metadata(files, v.v_edge(spark, d), files.select("relative_path"))
+    return search.file_metadata(files, v.v_edge(spark, d), files.select("knowledge_id", "relative_path"))
 
 
 @query("file_not_found", "SELECT concat('src/x/', split_part(relative_path, '/', 4)) AS relative_path FROM v_file WHERE doc_id % 3 = 0")
@@ -393,13 +382,6 @@ def affected_folders(spark, d):
     return stats.affected_folders(_diff(spark, d))
 
 
-@query("diff_union", "SELECT knowledge_id, relative_path FROM v_file WHERE doc_id % 3 = 0 UNION SELECT knowledge_id, relative_path FROM v_file WHERE doc_id % 5 = 0")
-def diff_union(spark, d):
-    f = v.v_file(spark, d)
-    pick = lambda c: f.where(c).select("knowledge_id", "relative_path")
-    return pick("doc_id % 3 = 0").union(pick("doc_id % 5 = 0")).distinct()
-
-
 @query("name_status", "SELECT 'A' AS status, 'a.ts' AS path, NULL::VARCHAR AS old_path UNION ALL SELECT 'R', 'c.ts', 'b.ts' UNION ALL SELECT 'A', 'e.ts', NULL UNION ALL SELECT 'D', 'f.ts', NULL")
 def name_status(spark, d):
     rows = [("A\ta.ts",), ("R087\tb.ts\tc.ts",), ("C100\td.ts\te.ts",), ("D\tf.ts",), ("",)]
@@ -460,3 +442,6 @@ def fixed_facts(spark, d):
     pages = retrieve.greedy_groups(F.array(*map(F.lit, (8, 8, 8, 20, 1))), 20)
     one = spark.range(1)
     return one.select(S.meta_id(F.lit("")).alias("sha_empty"), S.fnv1a(F.lit("abc")).alias("fnv_abc"), F.array_join(pages.cast("array<string>"), ",").alias("pages"), S.language_from_path(F.lit("a/b.TSX")).alias("lang"), S.yes_no(F.lit(" yes, of course")).alias("yes"), S.lenient_json(F.lit('so: {"a":1} it is')).alias("json"), S.parse_number(F.lit("12.5 USD")).alias("number"), S.phase_percent(F.lit("file_analysis"), F.lit(1), F.lit(2)).alias("percent"))
+
+
+from . import flows  # noqa: E402, F401  registers its queries

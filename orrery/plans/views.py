@@ -76,6 +76,13 @@ def v_snapshot_next(spark, d) -> DataFrame:
     return v_file(spark, d).where("doc_id % 9 <> 0").select("knowledge_id", "relative_path", sha.alias("sha"))
 
 
+def v_snapshot_moved(spark, d) -> DataFrame:
+    """The next snapshot with some files moved and some changed."""
+    path = F.when(F.col("doc_id") % 8 == 3, F.concat(F.lit("moved/"), "relative_path")).otherwise(F.col("relative_path"))
+    sha = F.when(F.col("doc_id") % 5 == 0, F.concat("sha", F.lit("x"))).otherwise(F.col("sha"))
+    return v_file(spark, d).where("doc_id % 9 <> 0").select("knowledge_id", path.alias("relative_path"), sha.alias("sha"))
+
+
 _TEXT = {
     "v_file": """SELECT source AS knowledge_id, doc_id, concat('src/',lang,'/mod',cast(doc_id%7 AS varchar),'/doc_',cast(doc_id AS varchar), CASE CAST(doc_id%6 AS INT) WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' WHEN 3 THEN '.md' WHEN 4 THEN '.test.ts' ELSE '.lock' END) AS relative_path, lang AS language, sha256(text) AS sha, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, split_part(text, chr(10), 1) AS purpose, substring(text,1,600) AS summary, substring(text,601,200) AS business_context, text AS content FROM documents""",
     "v_edge": """SELECT DISTINCT 'HAS_KEYWORD' AS edge_type, knowledge_id, relative_path, t AS dst FROM (SELECT *, unnest(regexp_extract_all(lower(purpose),'([a-z]{5,})',1)) AS t FROM v_file)
@@ -90,6 +97,7 @@ _TEXT = {
     "v_job": """SELECT o_orderkey AS id, concat('k',cast(o_custkey AS varchar)) AS knowledge_id, CASE CAST(o_orderkey%4 AS INT) WHEN 0 THEN 'github_index' WHEN 1 THEN 'github_pull' WHEN 2 THEN 'local_ingest' ELSE 'CUSTOM_CONTEXT_PROCESSING' END AS type, CASE substring(o_orderpriority,1,1) WHEN '1' THEN 2 WHEN '2' THEN 2 WHEN '3' THEN 1 ELSE 0 END AS priority, CAST(o_orderkey%5 AS INT) AS attempts, o_orderdate AS created_at FROM orders""",
     "v_activity": """SELECT event_id, concat('u',cast(user_id AS varchar)) AS identity_id, event_type AS tool_name, ts AS created_at, CAST(length(props) AS BIGINT) AS input_tokens, CAST(floor(value) AS BIGINT) AS output_tokens FROM events""",
     "v_snapshot_prev": """SELECT knowledge_id, relative_path, sha FROM v_file WHERE doc_id%10<>0""",
+    "v_snapshot_moved": """SELECT knowledge_id, CASE WHEN doc_id%8=3 THEN concat('moved/',relative_path) ELSE relative_path END AS relative_path, CASE WHEN doc_id%5=0 THEN concat(sha,'x') ELSE sha END AS sha FROM v_file WHERE doc_id%9<>0""",
     "v_snapshot_next": """SELECT knowledge_id, relative_path, CASE WHEN doc_id%4=0 THEN concat(sha,'x') ELSE sha END AS sha FROM v_file WHERE doc_id%9<>0""",
 }
 
@@ -102,6 +110,8 @@ def with_views(sql: str) -> str:
     if not used:
         return sql
     ctes = ",\n".join(f"{v} AS ({t})" for v, t in _TEXT.items() if v in used)
+    if sql.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{sql.lstrip()[15:]}"
     if sql.lstrip().upper().startswith("WITH "):
         return f"WITH {ctes},\n{sql.lstrip()[5:]}"
     return f"WITH {ctes}\n{sql}"
