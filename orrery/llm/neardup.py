@@ -347,9 +347,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     stands.  Other columns are ignored.
     """
     docs = docs.where(docs["doc_id"].isNotNull()).select("doc_id", "text")
-    sketch = docs.mapInArrow(_sketch, "doc_id long, same binary, bands array<long>")
-    one = cut(sketch.groupBy("doc_id").agg(F.min(F.struct("same", "bands")).alias("x")).select("doc_id", "x.same", "x.bands"))
-    nodes = cut(one.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.any_value("bands").alias("bands")))
+    sketch = cut(docs.mapInArrow(_sketch, "doc_id long, same binary, bands array<long>"))
+    one = cut(sketch.groupBy("doc_id").agg(F.min("same").alias("same")))
+    by_text = cut(one.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    # The bands of each distinct text, from its least document; equal rows of that are one.
+    nodes = sketch.join(by_text.select("same", F.col("node").alias("doc_id")), ["same", "doc_id"]).dropDuplicates(["same", "doc_id"])
+    nodes = cut(nodes.select("same", F.col("doc_id").alias("node"), "bands"))
     posted = nodes.select("node", F.explode("bands").alias("key"))
     total = nodes.agg(F.sum(F.size("bands"))).first()[0] or 0
     sizes = cut(posted.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1))
@@ -366,7 +369,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     mates = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["node"] < F.col("x")["node"]) & (y["part"] != F.col("x")["part"]))).alias("y"))
     links = _verified(mates.select(F.col("x")["node"].alias("a"), F.col("y")["node"].alias("b")).distinct(), sets, similarity)
     parts = _joined(parts, cut(links.unionByName(_rest(shared, parts, sets, similarity))))
-    by_text = cut(nodes.select("same", "n", "node").join(parts, "node", "left").select("same", "n", "node", F.coalesce("part", "node").alias("part")))
+    by_text = cut(by_text.join(parts, "node", "left").select("same", "n", "node", F.coalesce("part", "node").alias("part")))
     with_text = attach(one.where(F.col("same").isNotNull()).select("doc_id", "same"), by_text, ["same"], "n", total // BANDS + 1)
     with_text = with_text.select("doc_id", F.col("node").alias("same_id"), F.col("part").alias("class_id"))
     bare_ids = one.where(F.col("same").isNull()).select("doc_id", F.col("doc_id").alias("same_id"), F.col("doc_id").alias("class_id"))

@@ -162,10 +162,43 @@ def _rows(bucket, docs, counts, pairs=None, gone=None):
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), docs, counts, none if pairs is None else pairs, none if gone is None else gone], ["bucket", "docs", "counts", "pairs", "gone"])
 
 
-def _meet(batches):
-    """All anchors of some buckets to (doc_id, marks): contexts that go, and contested ones."""
+def _meet(n_parts: int):
+    """All anchors of some buckets to (part, docs, marks), one row for each part of the documents: contexts that go, and contested ones."""
+
+    def run(batches):
+        doc, marks = _met(batches)
+        part = (scramble(doc.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        doc, marks, part = doc[by], marks[by], part[by]
+        used = np.unique(part)
+        yield _marks_rows(used, doc, marks, np.append(np.searchsorted(part, used), len(part)))
+
+    return run
+
+
+def _marks_rows(part, doc, marks, ends):
     import pyarrow as pa
 
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), _binaries(doc, ends), _binaries(marks, ends)], ["part", "docs", "marks"])
+
+
+def _by_document(batches):
+    """(part, docs, marks), some parts whole, to (doc_id, marks): a row for each document."""
+    import pyarrow as pa
+
+    docs, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for batch in batches:
+        docs += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        marks += [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+    doc, mark = np.concatenate(docs), np.concatenate(marks)
+    by = np.argsort(doc, kind="stable")
+    doc, mark = doc[by], mark[by]
+    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), _binaries(mark, np.append(at, len(doc)))], ["doc_id", "marks"])
+
+
+def _met(batches):
+    """Documents and their marks."""
     doc, pairs, gone_doc, gone = [], [], [], []
     for batch in batches:
         for d, n, p, g in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
@@ -194,12 +227,7 @@ def _meet(batches):
         use = np.flatnonzero(what)
         gone_doc.append(doc[use])
         gone.append(_name(key[use], context[use]) | what[use].astype(np.uint64))
-    if gone:
-        doc, marks = np.concatenate(gone_doc), np.concatenate(gone)
-        by = np.lexsort((marks, doc))
-        doc, marks = doc[by], marks[by]
-        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), _binaries(marks, np.append(at, len(doc)))], ["doc_id", "marks"])
+    return np.concatenate([np.zeros(0, np.int64), *gone_doc]), np.concatenate([np.zeros(0, np.uint64), *gone])
 
 
 def _of_row(row: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -208,8 +236,8 @@ def _of_row(row: np.ndarray, name: np.ndarray) -> np.ndarray:
 
 
 def _marked(blobs: list) -> tuple:
-    """(numbers, what) of all marks; blobs: per row a list of binaries or None."""
-    parts = [np.frombuffer(b"".join(x or ()), np.uint64) for x in blobs]
+    """(numbers, what) of all marks; blobs: per row a binary or None."""
+    parts = [np.frombuffer(x or b"", np.uint64) for x in blobs]
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     marks = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     return _of_row(row, marks & ~np.uint64(3)), (marks & np.uint64(3)).astype(np.int64)
@@ -415,7 +443,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BUCKET_BYTES))
     posted = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_post(n), "bucket int, docs binary, counts binary, pairs binary, gone binary")
-    marks = posted.repartition(n, "bucket").mapInArrow(_meet, "doc_id long, marks binary").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("marks").alias("marks"))
+    marks = posted.repartition(n, "bucket").mapInArrow(_meet(n), "part int, docs binary, marks binary")
+    marks = marks.repartition(n, "part").mapInArrow(_by_document, "doc_id long, marks binary").withColumnRenamed("doc_id", "__id")
     rows = docs.join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "marks")
     held = rows.mapInArrow(_contested, "g long, name long, at int, s binary, d long")
     lost = held.repartition("g").sortWithinPartitions("g", "name").mapInArrow(_arrays, "d long, lost binary")
