@@ -16,13 +16,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is `und` (null texts, texts without letters) go; all others stay as they are."""
+    """Documents whose language is `und` (null texts, texts without letters) go; all others stay as they are.
+
+    Repeated rows and null ids are judged row by row; without documents that teach, all go.
+    """
     profiles = langid.fit_profiles(docs.select("doc_id", "text", "lang"))
     return langid.predict(docs.select(*COLUMNS), profiles, keep_text=True).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated lines, and n_chars follows; every document stays."""
+    """Texts lose their repeated lines, and n_chars follows; every row stays, a null text as one empty line.
+
+    Rows of one id are one document, so a line is not repeated by them; an empty table gives one.
+    """
     out = lines.keep_bitmaps(docs.select(*COLUMNS))
     text = lines.kept_text(F.col("text"))
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
@@ -30,7 +36,7 @@ def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of least doc_id stays; rows with a null id all stay."""
+    """Of each class of near duplicates the document of least doc_id stays, with all rows of that id; rows with a null id all stay."""
     docs = docs.select(*COLUMNS)
     first = neardup.classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__id"))
     kept = docs.join(first.hint("shuffle_hash"), docs["doc_id"] == first["__id"], "left")
@@ -38,13 +44,13 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any passage of a benchmark item go."""
+    """Documents with any passage of a benchmark item go, row by row; null texts have none and stay, as all do without items."""
     found = phrases.find_phrases(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), keep_text=True)
     return found.where("n_hit = 0").select(*COLUMNS)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents of which it takes words, and how many, repeats counted."""
+    """The mix: documents of which it takes words, and how many, repeats counted; null texts have none and are not in it."""
     return mixing.mix(docs.select("doc_id", "source", "text")).where("taken > 0")
 
 
