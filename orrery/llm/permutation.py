@@ -27,13 +27,18 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which change no cosine, so that squares of tiny or huge components stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
 def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
     """n usable vectors of the commonest length, those of smallest hash: (pivot, component), of length 1."""
     size = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not size:
         return np.zeros((0, 0))
     rows = vectors.where(F.size("embedding") == size[0][0]).orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(n).collect()
-    p = np.array([r["embedding"] for r in rows])
+    p = scaled(np.array([r["embedding"] for r in rows]))
     return p / np.linalg.norm(p, axis=1, keepdims=True)
 
 
@@ -51,7 +56,7 @@ def _packer(limit: int):
             flat = batch.column(1)
             x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
             for a in range(0, len(ids), limit):
-                part = (ids[a : a + limit].astype(np.int64).tobytes(), x[a : a + limit].astype(np.float64).tobytes())
+                part = (ids[a : a + limit].astype(np.int64).tobytes(), scaled(x[a : a + limit].astype(np.float64)).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in part], ["q_ids", "qs"] if limit == QUERIES else ["ids", "x"])
 
     return run

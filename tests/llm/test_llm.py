@@ -231,6 +231,32 @@ def test_permutation_recall(spark):
     assert permutation.search(df.limit(0), df).count() == 0
 
 
+def test_permutation_tiny_and_huge(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e-200, 0.0]), (2, [1e200, 0.0]), (3, [0.0, 3e-300]), (4, [-1e300, 1e300]), (5, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in permutation.search(df, df).collect()}
+    angle = {0: 0.0, 1: 0.0, 2: 0.0, 3: 90.0, 4: 135.0, 5: 45.0}
+    assert len(got) == 30 and all(abs(s - np.cos(np.radians(angle[a] - angle[b]))) < 1e-12 for (a, b), s in got.items())
+
+
+def test_near_dedup_weights(spark):
+    base, other = ([f"{c}{i}" for i in range(104)] for c in "xy")
+    rows = [(1, " ".join(["r0 r1 r2 r3 r4"] * 400 + base)), (2, " ".join(["r0 r1 r2 r3 r4"] * 400 + other)), (3, " ".join(["r0 r1 r2 r3 r4"] * 3 + base)), (4, " ".join(other[::-1]))]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_probability_jaccard():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        p, q = (rng.integers(0, 4, 12).astype(float) for _ in range(2))
+        p[0] = q[0] = 1
+        p, q = p / p.sum(), q / q.sum()
+        want = sum(1 / sum(max(a / p[i], b / q[i]) for a, b in zip(p, q)) for i in range(12) if p[i] and q[i])
+        both = (p > 0) & (q > 0)
+        assert abs(neardup.probability_jaccard(p[both], q[both]) - want) < 1e-12
+
+
 def test_warc_round_trip(spark, tmp_path):
     page = "<p>" + "é" * 300
     rows = [(1, "http://a/\r\nX: y", page), (2, None, page), (3, "http://b", None), (4, "http://c", "tiny\r\n\r\n"), (5, "http://c", "tiny\r\n\r\n"), (None, "http://d", page), (6, "http://e", "z" * 1000)]
