@@ -14,99 +14,133 @@ from pyspark.sql import functions as F
 from .common import attach, bare, cut, dir_of, table
 
 CHUNK, LEAST = 1 << 20, 100
+#: Copies of one row that one task writes at a time.
+COPIES = 1024
 DATE = "1970-01-01T00:00:00Z"
-END = b"\r\n\r\n"
+START, END = b"WARC/1.1\r\nWARC-Record-ID: ", b"\r\n\r\n"
 ROW = "record_id string, page_id long, chunk_no int, n_chunks int, payload_bytes long, digest string, data binary"
 
 
-def payload_chunks(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """pages(page_id, url, html) as rows (page_id, url, fp, chunk_no from 1, n_chunks, data), a page's rows together.
+def named(pages: DataFrame) -> DataFrame:
+    """pages(page_id, url, html) with the name of their record: the page_id and a hash of url and html.
 
-    fp tells rows of one page_id apart; the payload is the html in UTF-8 (null: empty, one empty chunk).
+    Rows that are equal in all three have one name.
     """
-    data = F.encode(F.coalesce(pages["html"], F.lit("")), "utf-8")
-    rows = pages.select(pages["page_id"], pages["url"], F.xxhash64(F.lit(7), pages["url"], pages["html"]).alias("fp"), data.alias("payload"))
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk)).cast("int")
-    rows = rows.select("*", n.alias("n_chunks"), F.explode(F.sequence(F.lit(1), n)).alias("chunk_no"))
-    piece = F.substring(F.col("payload"), (F.col("chunk_no") - 1) * chunk + 1, F.lit(chunk))
-    return rows.select("page_id", "url", "fp", "chunk_no", "n_chunks", piece.alias("data"))
+    fp = F.hex(F.xxhash64(F.lit(7), pages["url"], pages["html"]))
+    name = F.concat(F.lit("urn:x-page:"), F.coalesce(pages["page_id"].cast("string"), F.lit("none")), F.lit(":"), F.lower(fp))
+    return pages.select(name.alias("name"), pages["page_id"], pages["url"], pages["html"])
 
 
 def _digests(batches):
-    """Of chunk rows, a record's together and in order: one row per record, with its digest after every chunk."""
+    """Of rows (name, page_id, html): name, page_id, payload_bytes, digest; payloads are read where they lie."""
     import hashlib
 
     import pyarrow as pa
 
-    sha, size, seen = None, 0, []
     for batch in batches:
-        names = batch.schema.names
-        out: list[list] = [[], [], [], [], []]
-        no, n = batch.column(names.index("chunk_no")).to_pylist(), batch.column(names.index("n_chunks")).to_pylist()
-        page, fp, data = (batch.column(names.index(c)) for c in ("page_id", "fp", "data"))
-        for i in range(len(no)):
-            if no[i] == 1:
-                sha, size, seen = hashlib.sha256(), 0, []
-            piece = data[i].as_buffer()
-            sha.update(piece)
-            size += len(piece)
-            seen.append(sha.copy().hexdigest())
-            if no[i] == n[i]:
-                for col, x in zip(out, (page[i].as_py(), fp[i].as_py(), size, seen[-1], seen), strict=True):
-                    col.append(x)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["page_id", "fp", "payload_bytes", "digest", "digests"])
-
-
-def plan_records(pages: DataFrame, chunk: int = CHUNK, least: int = LEAST) -> DataFrame:
-    """One row per (page_id, fp): payload_bytes, digest, digests, refers_to (the response's page_id, or null)."""
-    records = payload_chunks(pages, chunk).select("page_id", "fp", "chunk_no", "n_chunks", "data")
-    seen = records.mapInArrow(_digests, "page_id long, fp long, payload_bytes long, digest string, digests array<string>")
-    seen = cut(seen.dropDuplicates(["page_id", "fp"]))
-    groups = seen.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("refers_to"))
-    repeated = cut(groups.where((F.col("n") > 1) & F.col("refers_to").isNotNull()))
-    revisits = attach(seen.where(F.col("payload_bytes") >= least).select("page_id", "fp", "digest"), repeated, ["digest"], "n", seen.count())
-    later = F.col("page_id").isNull() | (F.col("page_id") > F.col("refers_to"))
-    revisits = revisits.where(later).select(F.col("page_id").alias("__p"), F.col("fp").alias("__f"), "refers_to")
-    on = F.col("page_id").eqNullSafe(F.col("__p")) & (F.col("fp") == F.col("__f"))
-    return seen.join(revisits, on, "left").drop("__p", "__f")
-
+        html = batch.column(2)
+        payloads = [html[i].as_buffer() or b"" for i in range(len(html))]
+        columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in payloads], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in payloads], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["name", "page_id", "payload_bytes", "digest"])
+
+
+def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """One row per name: page_id, payload_bytes, digest, copies (rows of that name), refers_to and its record's name, or nulls."""
+    seen = named(pages).select("name", "page_id", "html").mapInArrow(_digests, "name string, page_id long, payload_bytes long, digest string")
+    seen = cut(seen.groupBy("name").agg(F.first("page_id").alias("page_id"), F.first("payload_bytes").alias("payload_bytes"), F.first("digest").alias("digest"), F.count("*").alias("copies")))
+    large = seen.where(F.col("payload_bytes") >= least).select("name", "page_id", "digest")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "name")))
+    groups = large.groupBy("digest").agg(F.count("*").alias("n"), first.alias("to"))
+    repeated = cut(groups.where((F.col("n") > 1) & F.col("to").isNotNull()))
+    revisits = attach(large, repeated, ["digest"], "n", seen.count())
+    later = F.col("page_id").isNull() | (F.col("page_id") > F.col("to.page_id"))
+    revisits = revisits.where(later).select("name", F.col("to.page_id").alias("refers_to"), F.col("to.name").alias("refers_name"))
+    return seen.join(revisits, "name", "left")
+
+
+def _cutter(chunk: int):
+    """Rows (name, page_id, first, last, html, fields, payload_bytes, revisit) as the chunk rows of their copies first to last."""
+
+    def run(batches):
+        import hashlib
 
-def record_name(page_id, fp) -> F.Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), F.lower(F.hex(fp)), F.lit(">"))
+        import pyarrow as pa
+
+        def pieces(name, page, copy, payload, fields, size, revisit):
+            record = f"<{name}>" if copy == 1 else f"<{name}:{copy}>"
+            body = b"" if revisit else payload
+            n, sha = max(1, -(-len(body) // chunk)), hashlib.sha256()
+            for k in range(n):
+                piece = memoryview(body)[k * chunk : (k + 1) * chunk]
+                sha.update(piece)
+                head = START + record.encode() + b"\r\n" + fields if k == 0 else b""
+                yield record, page, k + 1, n, size, None if revisit else sha.hexdigest(), b"".join((head, piece, END if k == n - 1 else b""))
+
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary())
+        names = [x.split(" ")[0] for x in ROW.split(", ")]
+
+        def packed(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names)
+
+        for batch in batches:
+            html = batch.column(batch.schema.names.index("html"))
+            name, page, first, last, fields, size, revisit = (
+                batch.column(batch.schema.names.index(c)).to_pylist() for c in ("name", "page_id", "first", "last", "fields", "payload_bytes", "revisit")
+            )
+            held, rows = 0, []
+            for i in range(len(html)):
+                payload = html[i].as_buffer() or b""
+                for copy in range(first[i], last[i] + 1):
+                    for row in pieces(name[i], page[i], copy, payload, fields[i].encode(), size[i], revisit[i]):
+                        rows.append(row)
+                        held += len(row[-1])
+                        if held >= chunk:
+                            yield packed(rows)
+                            held, rows = 0, []
+            if rows:
+                yield packed(rows)
+
+    return run
 
 
 def write_archive(pages: DataFrame, path: str, chunk: int = CHUNK, least: int = LEAST, date: str = DATE) -> None:
     """Writes pages(page_id, url, html) as WARC/1.1 records to a Parquet table of chunk rows at path.
 
     Of records with equal payloads of `least` bytes and more, that with the smallest page_id
-    is a response, the others are revisits, which have no payload.  Rows of one page_id with
-    one payload are alike: all response or all revisit.  A null page_id is never referred to;
-    line breaks in urls are percent-coded; a null url leaves its header out.
+    is a response, the others are revisits, which have no payload and name that record in
+    WARC-Refers-To (of several rows of its page_id, that of the smallest name).  Rows of one
+    page_id with one payload are alike: all response or all revisit.  Rows that are equal in
+    all columns are a record each, numbered from 2 on at the end of their ids.  A null page_id
+    is never referred to; line breaks in urls are percent-coded; a null url leaves its header
+    out; a null html is an empty payload; no pages make an empty table.  Other columns of pages stay out.
+
+    A payload is cut in one pass as slices of its column, a chunk in memory besides it.
     """
-    plan = plan_records(pages, chunk, least)
-    right = plan.select(F.col("page_id").alias("__id"), F.col("fp").alias("__fp"), "payload_bytes", "digest", "digests", "refers_to")
-    left = pages.select("page_id", "url", "html", F.xxhash64(F.lit(7), pages["url"], pages["html"]).alias("fp"))
-    rows = left.join(right.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")))
-    name = record_name(F.col("page_id"), F.col("fp"))
+    plan = cut(plan_records(pages, least))
+    repeats = not plan.where("copies > 1").isEmpty()
+    left = named(pages).select("name", "url", "html")
+    if repeats:  # copies go before the shuffle, so that no task gets more than one a map task
+        left = left.dropDuplicates(["name"])
+    rows = left.join(plan.hint("shuffle_hash"), "name")
+    if repeats:
+        many = rows.where("copies > 1").withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), "copies", F.lit(COPIES).cast("long")))).repartition("name", "first")
+        rows = rows.where("copies = 1").withColumn("first", F.lit(1).cast("long")).unionByName(many)
+    else:
+        rows = rows.withColumn("first", F.lit(1).cast("long"))
     revisit = F.col("refers_to").isNotNull()
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     line = lambda key, value: F.coalesce(F.concat(F.lit(f"{key}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
-    header = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", name), line("WARC-Date", F.lit(date)),
+    fields = F.concat(
+        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", url), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")).otherwise(""),
-        line("WARC-Refers-To", F.concat(F.lit("<urn:x-page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+        line("WARC-Refers-To", F.concat(F.lit("<"), F.col("refers_name"), F.lit(">"))),
         line("X-Page-ID", F.col("page_id")), line("X-Payload-Length", F.col("payload_bytes")),
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))), F.lit("\r\n"),
     )
-    n = F.when(revisit, F.lit(1)).otherwise(F.size("digests"))
-    piece = F.substring(F.encode(F.coalesce("html", F.lit("")), "utf-8"), (F.col("chunk_no") - 1) * chunk + 1, F.lit(chunk))
-    rows = rows.select("*", name.alias("record_id"), F.encode(header, "utf-8").alias("header"), n.alias("n_chunks"), F.explode(F.sequence(F.lit(1), n)).alias("chunk_no"))
-    empty = F.lit(bytearray())
-    data = F.concat(F.when(F.col("chunk_no") == 1, F.col("header")).otherwise(empty), F.when(revisit, empty).otherwise(piece), F.when(F.col("chunk_no") == F.col("n_chunks"), F.lit(bytearray(END))).otherwise(empty))
-    so_far = F.when(~revisit, F.get("digests", F.col("chunk_no") - 1))
-    rows.select("record_id", "page_id", "chunk_no", "n_chunks", "payload_bytes", so_far.alias("digest"), data.alias("data")).write.parquet(path)
+    last = F.least(F.col("copies"), F.col("first") + COPIES - 1)
+    html = F.when(~revisit, F.col("html"))  # a revisit's payload needn't go to Python
+    rows.select("name", "page_id", "first", last.alias("last"), html.alias("html"), fields.alias("fields"), "payload_bytes", revisit.alias("revisit")).mapInArrow(_cutter(chunk), ROW).write.parquet(path)
 
 
 class _Reader:
@@ -133,7 +167,7 @@ class _Reader:
         if self.left or (f["WARC-Type"] == "response" and digest != named):
             raise ValueError(f"{f['WARC-Record-ID']}: payload incomplete or unlike its digest")
         page, to = f.get("X-Page-ID"), f.get("WARC-Refers-To")
-        return page and int(page), int(f["X-Payload-Length"]), named, f["WARC-Type"], to and int(to.removeprefix("<urn:x-page:").rstrip(">"))
+        return page and int(page), int(f["X-Payload-Length"]), named, f["WARC-Type"], to and int(to.split(":")[2])
 
 
 def _read(batches):

@@ -268,9 +268,35 @@ def test_warc_round_trip(spark, tmp_path):
         assert got[i][:2] == (len(raw), hashlib.sha256(raw).hexdigest())
     assert {i: g[2:] for i, g in got.items()} == {1: ("response", None), 2: ("revisit", 1), None: ("revisit", 1), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
     chunks = spark.read.parquet(str(tmp_path / "w"))
+    ids = {r.record_id for r in chunks.select("record_id").distinct().collect()}
+    named = [bytes(r.data).split(b"WARC-Refers-To: ")[1].split(b"\r\n")[0].decode() for r in chunks.where(F.contains(F.col("data"), F.lit(b"WARC-Refers-To"))).collect()]
+    assert len(ids) == len(rows) and len(named) == 2 and set(named) <= ids
     assert chunks.where("page_id = 6").count() == 16 and chunks.agg(F.max(F.octet_length("data"))).first()[0] < 800
 
 
+def test_warc_repeated_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 3)
+    long = "".join(chr(97 + i * i % 23) for i in range(1000))
+    rows = [(1, "u", long)] * 8 + [(1, "v", long), (2, "u", long), (2, "u", long), (3, "u", None), (3, "u", None), (None, None, None), (4, None, long[:999])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("name", F.lit("clash")).repartition(5)
+    warc.write_archive(pages, str(tmp_path / "w"), chunk=64)
+    got = collections.Counter(tuple(r) for r in warc.read_archive(spark, str(tmp_path / "w")).collect())
+    sha = lambda x: hashlib.sha256((x or "").encode()).hexdigest()
+    want = collections.Counter((i, len(h or ""), sha(h), "revisit" if i == 2 else "response", 1 if i == 2 else None) for i, _, h in rows)
+    assert got == want
+    chunks = spark.read.parquet(str(tmp_path / "w"))
+    assert chunks.select("record_id").distinct().count() == len(rows) and chunks.select("record_id", "chunk_no").distinct().count() == chunks.count()
+    archive = chunks.where("record_id LIKE '<urn:x-page:4:%'").orderBy("chunk_no").collect()
+    assert archive[0].n_chunks == len(archive) == 16 and b"".join(r.data for r in archive).split(b"\r\n\r\n")[1].decode() == long[:999]
+    running = [hashlib.sha256(long[: min(999, 64 * (k + 1))].encode()).hexdigest() for k in range(16)]
+    assert [r.digest for r in archive] == running
+
+
+def test_warc_empty(spark, tmp_path):
+    warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert warc.read_archive(spark, str(tmp_path / "w")).count() == 0
+
+
 def test_language_held_out(spark, duck):
     got = {r.doc_id: r for r in langid.op10_language_id(spark, "/root/testdata/sf0.01").collect()}
     lang = dict(duck.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
