@@ -239,6 +239,35 @@ def test_permutation_tiny_and_huge(spark):
     assert len(got) == 30 and all(abs(s - np.cos(np.radians(angle[a] - angle[b]))) < 1e-12 for (a, b), s in got.items())
 
 
+def test_permutation_footrule():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8))
+    x[5] = x[9]
+    pivots = x[:20] / np.linalg.norm(x[:20], axis=1, keepdims=True)
+    shard = permutation.Shard(np.arange(400), x, pivots, 6)
+    order = permutation.places(x / shard.norm[:, None], pivots, 6).tolist()
+    place = [{p: i for i, p in enumerate(o)} for o in order]
+    for q in (5, 17, 300):
+        far = [sum(abs(a.get(p, 6) - place[q].get(p, 6)) for p in range(20)) for a in place]
+        last = sorted(f for i, f in enumerate(far) if i != q)[199]
+        cosine = {i: x[i] @ x[q] / (shard.norm[i] * shard.norm[q]) for i in range(400) if i != q and far[i] <= last}
+        want = sorted(cosine, key=lambda i: (-round(cosine[i], 12), i))[:5]
+        assert shard.nearest(x[q], q, np.array(order[q]), 0.1, 5)[0].tolist() == want
+
+
+def test_permutation_recall_on_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    got = collections.defaultdict(set)
+    for r in permutation.op3_permutation_index(spark, "/root/testdata/sf0.1").collect():
+        got[r.query_id].add(r.vec_id)
+    rows = permutation.usable(df).where("vec_id IS NOT NULL").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert set(got) == {int(i) for i in ids if i % 50 == 0}
+    near = [len(found & set(ids[np.argsort(np.where(ids == q, 9, -(x @ x[ids == q][0])), kind="stable")[:5]].tolist())) for q, found in got.items()]
+    assert sum(near) >= 0.9 * 5 * len(got)
+
+
 def test_near_dedup_weights(spark):
     base, other = ([f"{c}{i}" for i in range(104)] for c in "xy")
     rows = [(1, " ".join(["r0 r1 r2 r3 r4"] * 400 + base)), (2, " ".join(["r0 r1 r2 r3 r4"] * 400 + other)), (3, " ".join(["r0 r1 r2 r3 r4"] * 3 + base)), (4, " ".join(other[::-1]))]
