@@ -59,6 +59,28 @@ def test_phrases_odd_rows(spark):
     assert phrases.find_phrases(odd(spark), items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+@pytest.mark.parametrize("part", [16 << 20, 300])
+def test_phrases_near_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(phrases, "ITEM_BYTES", part)
+    random.seed(11)
+    pick = lambda n: " ".join(random.choice(["Ab", "b", "é", "c3", "dd", "e", "f", "g", "h", "kk", "m", "n"]) for _ in range(n))
+    docs = [(i, pick(random.choice([0, 3, 40]))) for i in range(60)] + [(90, None)]
+    items = [(i, pick(random.choice([1, 2, 6]))) for i in range(40)] + [(5, "zz b"), (70, None), (71, "!"), (None, "dd e")]
+    bags = collections.defaultdict(set)
+    for i, t in items:
+        if i is not None and WORD.findall(t or ""):
+            bags[str(i)] |= set(WORD.findall(t.translate(UPPER)))
+    held = collections.Counter(w for bag in bags.values() for w in bag)
+    rare = {i: sorted(bag, key=lambda w: (held[w], w))[:3] for i, bag in bags.items()}
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.near_items for r in phrases.find_phrases(*frames, near=4, rarest=3).collect()}
+    for i, t in docs:
+        words = WORD.findall((t or "").translate(UPPER))
+        close = lambda p, w: w in words[max(0, p - 4) : p + 5]
+        assert got[i] == sorted(x for x, r in rare.items() if any(words[p] == r[0] and all(close(p, w) for w in r) for p in range(len(words))))
+    assert sum(map(len, got.values())) > 50
+
+
 def entropy_spans(text):
     out = []
     for m in re.finditer(secrets.CANDIDATE, text):
