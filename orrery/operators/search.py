@@ -55,21 +55,32 @@ def match_share(columns: tuple[str, ...], terms: list[str]) -> Column:
     return sum((F.when(_has(columns, t), 1.0).otherwise(0.0) for t in terms), F.lit(0.0)) / float(len(terms))
 
 
-def _capped(hits: DataFrame, name: str, cap: int) -> DataFrame:
-    best = hits.where("score > 0").orderBy(F.desc("score"), "relative_path", "knowledge_id").limit(cap)
-    return best.select(F.lit(name).alias("channel"), *ID, "score")
+def matches(files: DataFrame, edges: DataFrame, query: str, scope: Scope, channels: tuple) -> DataFrame:
+    """channel, knowledge_id, relative_path, score of every match: one scan of the files for all text channels, one of the edges for all others."""
+    terms, out = terms_of(query), []
+    texts, entities = [c for c in channels if c in TEXTS], [c for c in channels if c in ENTITY]
+    if texts:
+        columns = sorted({x for c in texts for x in TEXTS[c]} - set(ID))
+        scores = F.array(*[F.struct(F.lit(c).alias("channel"), match_share(TEXTS[c], terms).alias("score")) for c in texts])
+        out.append(scope.on(files.select(*ID, *columns)).select(*ID, F.inline(scores)).where("score > 0"))
+    if entities:
+        names = F.create_map(*[F.lit(x) for c in entities for x in (ENTITY[c][0], c)])
+        flat = [ENTITY[c][0] for c in entities if ENTITY[c][1]]
+        hits = scope.on(edges.where(F.col("edge_type").isin(*[ENTITY[c][0] for c in entities])).where(reduce(or_, [_has(("dst",), t) for t in terms])))
+        score = F.when(F.col("edge_type").isin(*flat), 1.0).otherwise(match_share(("dst",), terms)) if flat else match_share(("dst",), terms)
+        out.append(hits.groupBy(*ID, F.element_at(names, F.col("edge_type")).alias("channel")).agg(F.max(score).alias("score")))
+    return reduce(DataFrame.unionByName, out).select("channel", *ID, "score")
+
+
+def best_of_channels(hits: DataFrame, cap: int = V.CHANNEL_CAP) -> DataFrame:
+    """Each channel's best `cap` files; tasks pass on no more than that of a channel."""
+    order = Window.partitionBy("channel").orderBy(F.desc("score"), "relative_path", "knowledge_id")
+    return hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap).drop("nth")
 
 
 def channel(name: str, files: DataFrame, edges: DataFrame, query: str, scope: Scope = Scope(), cap: int = V.CHANNEL_CAP) -> DataFrame:
     """channel, knowledge_id, relative_path, score: the channel's best `cap` files."""
-    terms = terms_of(query)
-    if name in TEXTS:
-        columns = TEXTS[name]
-        return _capped(scope.on(files.select(*ID, *[c for c in columns if c not in ID])).select(*ID, match_share(columns, terms).alias("score")), name, cap)
-    kind, flat = ENTITY[name]
-    hits = scope.on(edges.where(F.col("edge_type") == kind).where(reduce(or_, [_has(("dst",), t) for t in terms])))
-    score = F.lit(1.0) if flat else match_share(("dst",), terms)
-    return _capped(hits.groupBy(*ID).agg(F.max(score).alias("score")), name, cap)
+    return matches(files, edges, query, scope, (name,)).orderBy(F.desc("score"), "relative_path", "knowledge_id").limit(cap)
 
 
 def fuse(hits: DataFrame, weights: dict = V.CHANNEL_WEIGHTS) -> DataFrame:
@@ -81,7 +92,7 @@ def fuse(hits: DataFrame, weights: dict = V.CHANNEL_WEIGHTS) -> DataFrame:
 
 
 def fused_search(files: DataFrame, edges: DataFrame, query: str, scope: Scope = Scope(), channels: tuple = tuple(V.CHANNEL_WEIGHTS)) -> DataFrame:
-    return fuse(reduce(DataFrame.unionByName, [channel(c, files, edges, query, scope) for c in channels]))
+    return fuse(best_of_channels(matches(files, edges, query, scope, channels)))
 
 
 def with_repo_names(results: DataFrame, knowledge: DataFrame) -> DataFrame:
