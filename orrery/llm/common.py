@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: The six white space characters that the text contracts name, as a regex class body.
 SPACES = r"\x20\x09-\x0D"
-#: Most rows that `attach` ever broadcasts: keys holding over 1/HEAVY of all rows.
-HEAVY = 512
+#: Keys are heavy that hold over 1/HEAVY of all rows, in large tables over ROWS_OF_A_KEY of them, which a
+#: task can take; as these hold over 1/MOST_HEAVY of all rows, no more than MOST_HEAVY are ever broadcast.
+HEAVY, ROWS_OF_A_KEY, MOST_HEAVY = 512, 100_000, 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,14 +45,19 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]+")), F.lit(0)).cast("long")
 
 
+def heavy_from(total: int) -> float:
+    """Rows above which a key of a table of so many rows is heavy: total / MOST_HEAVY at least."""
+    return min(total / HEAVY, max(total / MOST_HEAVY, ROWS_OF_A_KEY))
+
+
 def attach(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
     """Inner join of rows to one row per group, where one group may hold most of the rows.
 
     groups: unique in `on`, with the group's number of rows in `n`; total: of all rows.
-    Groups of over 1/HEAVY of the rows, HEAVY at most, are broadcast; the others, none of
-    them large, meet their rows in a shuffle.  rows is used twice: pass a cut one.
+    Groups of over heavy_from(total) rows, MOST_HEAVY at most, are broadcast; the others, none
+    of them large, meet their rows in a shuffle.  rows is used twice: pass a cut one.
     """
-    least = total / HEAVY
+    least = heavy_from(total)
     heavy, light = groups.where(F.col(n) > least), groups.where(F.col(n) <= least)
     hot = rows.join(F.broadcast(heavy), on)
     cold = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on)

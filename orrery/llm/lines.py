@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY, SPACES, bare, cut, table
+from .common import SPACES, bare, cut, heavy_from, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -45,8 +45,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     """
     rows = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"], fingerprint(docs["text"]).alias("fp"), F.posexplode(line_hashes(docs["text"], min_chars)).alias("pos", "h"))
     rows = cut(rows.where(F.col("h") != ""))
-    # Keys with over 1/HEAVY of all rows, so HEAVY at most, are decided by partial sums and broadcast.
-    heavy = rows.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") > max(rows.count() / HEAVY, min_docs))
+    # Heavy keys, of which there are few, are decided by partial sums and broadcast.
+    heavy = rows.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") > max(heavy_from(rows.count()), min_docs))
     heavy = cut(heavy.select("h", "keeper"))
     holders = rows.join(F.broadcast(heavy), "h").groupBy("h", "doc_id").agg(F.lit(1)).groupBy("h").agg(F.count("*").alias("n_docs"))
     decided = heavy.join(F.broadcast(holders), "h").where(F.col("n_docs") >= min_docs)

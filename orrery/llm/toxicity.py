@@ -15,13 +15,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bare, table
+from .common import bare, cut, table
 from .langid import held_out
 from .tokens import LOWER, blocks, powers, prefix_hash, scramble, text_bytes, words
 
 BUCKETS, SIZES, WIDTH = 1 << 18, (3, 5, 7), 4
 #: Labelled texts that are learned from, about, of each class: those of the smallest hashes.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 1500
+#: Bytes of the sample's texts at most; a text that goes beyond is left out, the next smaller ones stay.
+SAMPLE_BYTES = 32 << 20
 STEPS, RATE, TOP_RATE, MOMENTUM = 300, 30.0, 0.1, 0.8
 #: Bytes of sample texts that are taken apart at once.
 FIT_BYTES = 256 << 10
@@ -198,10 +200,11 @@ def _scorer(shared):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> tuple[np.ndarray, float, float]:
-    """A model from docs(doc_id, text) and labels(doc_id, toxic): n_toxic and n_clean texts, about, at most.
+def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, n_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float, float]:
+    """A model from docs(doc_id, text) and labels(doc_id, toxic): n_toxic and n_clean texts, about, of n_bytes together at most.
 
     A doc_id with several labels is toxic if any says so; null labels and ids teach nothing.
+    A doc_id with several rows teaches by its least text, once; null texts are empty.
     """
     marks = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = dict(marks.groupBy("toxic").count().collect())
@@ -210,7 +213,16 @@ def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cle
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxic")), F.lit(1 << 30)) / float(1 << 30)
     most = F.when(F.col("toxic") == 1, F.lit(n_toxic / sizes.get(1, 1))).otherwise(F.lit(n_clean / sizes.get(0, 1)))
     sample = marks.where(chance < most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id").collect()  # bounded by n_toxic and n_clean
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = cut(texts)
+    sizes_of = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").collect()
+    chosen, held = [], 0
+    for r in sizes_of:  # a row for each sample text
+        if held + r["size"] <= n_bytes:
+            chosen.append((r["doc_id"],))
+            held += r["size"]
+    chosen = docs.sparkSession.createDataFrame(chosen, f"doc_id {dict(docs.dtypes)['doc_id']}")
+    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
     prior = sizes.get(1, 0) / sum(sizes.values())
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], prior if 0 < prior < 1 else None)
 

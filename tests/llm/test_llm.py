@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 from conftest import rows_of
-from orrery.llm import gsaca, langid, lines, mixing, neardup, permutation, phrases, queries, secrets, spans, toxicity, warc
+from orrery.llm import common, gsaca, langid, lines, mixing, neardup, permutation, phrases, queries, secrets, spans, toxicity, warc
 from pyspark.sql import functions as F
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -374,6 +374,32 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(rows, toxicity.train(rows, labels.limit(0))).collect()} == {0.5}
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, prior=None: seen.append((texts, labels)))
+    docs = spark.createDataFrame([(i % 20, f"text {i % 20} " * (1000 if i == 3 else 1)) for i in range(400)] + [(30, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(30, 1)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    toxicity.train(docs, labels, n_bytes=60)
+    assert len(seen[0][0]) == 21 and sum(len(t or "") for t in seen[1][0]) <= 60 and len(seen[1][0]) >= 6
+    assert all(y == int(t.split()[1]) % 2 for t, y in zip(*seen[1], strict=True) if t)
+
+
+def test_toxicity_query(spark, duck):
+    got = {r.doc_id: r for r in toxicity.op4_toxicity(spark, "/root/testdata/sf0.1").collect()}
+    marked = dict(duck.sql("SELECT doc_id, max(toxic) FROM '/root/testdata/sf0.1/labels.parquet' WHERE toxic IS NOT NULL GROUP BY doc_id").fetchall())
+    held = [(r.predicted, marked[i]) for i, r in got.items() if r.held_out and i in marked]
+    right = sum(a == b == 1 for a, b in held)
+    assert right >= 0.6 * sum(b for _, b in held) and right >= 0.6 * sum(a for a, _ in held)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+
+
+def test_heavy_keys():
+    for total in (0, 10**3, 10**6, 10**9, 10**12):
+        limit = common.heavy_from(total)
+        assert total / common.MOST_HEAVY <= limit <= max(total / common.HEAVY, 1) and (total > 6 * 10**9 or limit <= common.ROWS_OF_A_KEY)
+
+
 def test_pipeline_brute_force(spark, duck, small):
     import corpus_pipeline
 
