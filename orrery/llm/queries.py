@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, neardup, permutation, phrases, secrets, spans, toxicity, warc
+from . import bpe, langid, lines, mixing, neardup, permutation, phrases, secrets, spans, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_suffix_dedup": spans.op9_suffix_dedup,
     "op10_language_id": langid.op10_language_id,
+    "op11_byte_bpe": bpe.op11_byte_bpe,
 }
 
 SQL = {
