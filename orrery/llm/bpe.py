@@ -18,7 +18,7 @@ from .common import bare, table
 #: Characters of a long text that are encoded at once, about.
 PIECE = 1 << 16
 #: What the pattern's \s takes (Unicode's White_Space), as a regex class body.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: No match holds white space behind anything else, so one ends here whatever follows.
 BOUNDARY = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
@@ -103,7 +103,7 @@ def _coder(shared) -> Coder:
 
 
 def _adds(rows: DataFrame, source: str, name: str, kind: str, work, keep: bool) -> DataFrame:
-    """rows with a column `name`, made from `source` by work(its Arrow scalars); source goes unless kept."""
+    """rows with a column `name`, made from `source` by work(its Arrow array); source goes unless kept."""
     names = [c for c in rows.columns if c not in (name, "__in") and (keep or c != source)]
     kinds = dict(rows.dtypes)
 
@@ -111,8 +111,7 @@ def _adds(rows: DataFrame, source: str, name: str, kind: str, work, keep: bool)
         import pyarrow as pa
 
         for batch in batches:
-            made = pa.array(work(batch.column(0)), pa.list_(pa.int32()) if kind == "array<int>" else pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], [*batch.schema.names[1:], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], work(batch.column(0))], [*batch.schema.names[1:], name])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{name}` {kind}"])
     return rows.select(rows[source].alias("__in"), *[rows[c] for c in names]).mapInArrow(run, schema)
@@ -128,8 +127,12 @@ def encode(docs: DataFrame, shared, keep_text: bool = False) -> DataFrame:
     """
 
     def work(column):
-        own = _coder(shared)
-        return [own.encode(x.as_buffer().to_pybytes().decode("utf-8", "replace")) if x.is_valid else [] for x in column]
+        import numpy as np
+        import pyarrow as pa
+
+        own = _coder(shared)  # a text's ids are packed at once, as Python's integers take eight times the room
+        ids = [np.array(own.encode(x.as_buffer().to_pybytes().decode("utf-8", "replace")) if x.is_valid else [], np.int32) for x in column]
+        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), np.concatenate([np.zeros(0, np.int32), *ids]))
 
     return _adds(docs, "text", "ids", "array<int>", work, keep_text)
 
@@ -142,8 +145,10 @@ def decode(rows: DataFrame, shared) -> DataFrame:
     """
 
     def work(column):
+        import pyarrow as pa
+
         own = _coder(shared)
-        return [own.decode(x) if x is not None else None for x in column.to_pylist()]
+        return pa.array([own.decode(x.as_py()) if x.is_valid else None for x in column], pa.binary())
 
     return _adds(rows, "ids", "decoded", "binary", work, True)
 
