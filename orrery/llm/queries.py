@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lines, merkle, mixing, neardup, permutation, phrases, secrets, spans, toxicity, warc
+from . import bpe, collocations, langid, lines, merkle, mixing, neardup, permutation, phrases, secrets, spans, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": spans.op9_suffix_dedup,
     "op10_language_id": langid.op10_language_id,
     "op11_byte_bpe": bpe.op11_byte_bpe,
+    "op12_collocations": collocations.op12_collocations,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
@@ -24,5 +25,6 @@ SQL = {
     "op5_line_dedup": lines.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
     "op7_decontaminate": phrases.OP7_SQL,
+    "op12_collocations": collocations.OP12_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
