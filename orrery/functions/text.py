@@ -93,14 +93,20 @@ def numbered(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
 
 
-def json_set(doc: Column, schema: str, **fields: Column) -> Column:
-    """The JSON object with fields set; text that is no object counts as empty."""
-    whole = F.coalesce(F.from_json(doc, schema), F.from_json(F.lit("{}"), schema))
+def json_set(doc: Column, **fields: Column) -> Column:
+    """The JSON object with fields set, in their place or else at the end; all others stay as they are.  Text that is no object counts as empty."""
+    kind = "map<string,variant>"
+    whole = F.coalesce(F.from_json(doc, kind), F.create_map().cast(kind))
     for name, value in fields.items():
-        whole = whole.withField(name, value)
+        whole = _put(whole, name, value.cast("variant"))
     return F.to_json(whole)
 
 
+def _put(whole: Column, name: str, value: Column) -> Column:
+    inside = F.transform_values(whole, lambda k, x: F.when(k == name, value).otherwise(x))
+    return F.when(F.map_contains_key(whole, name), inside).otherwise(F.map_concat(whole, F.create_map(F.lit(name), value)))
+
+
 def model_chain(primary: Column, fallbacks: Column) -> Column:
     """The first model and its non-empty fallbacks, each once, in order."""
     return F.array_distinct(nonempty(F.concat(F.array(primary), fallbacks)))

@@ -20,11 +20,38 @@ LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx":
 # Ignored directories and files.
 IGNORED_DIRECTORIES = (".git", "node_modules", "dist", "build", ".next", ".turbo", ".cache", "coverage")
 IGNORED_FILENAMES = (".DS_Store", "package-lock.json", "yarn.lock", "bun.lockb", "Cargo.lock", "Pipfile.lock", "poetry.lock")
-IGNORED_EXTENSIONS = (".lock", ".png", ".jpg", ".pdf", ".zip", ".gz", ".exe", ".so", ".bin")
+IGNORED_EXTENSIONS = (
+    ".lock", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".webp", ".bmp", ".tiff", ".svg", ".pdf", ".zip", ".tar", ".gz", ".tgz", ".bz2", ".xz", ".7z", ".rar", ".mp4", ".mov", ".avi", ".mkv", ".webm",
+    ".mp3", ".wav", ".flac", ".ogg", ".ttf", ".otf", ".woff", ".woff2", ".eot", ".class", ".jar", ".exe", ".dll", ".so", ".dylib", ".wasm", ".bin",
+)
+
+# Mirrored keywords: the analysed column and the type of each channel.
+MIRROR_CHANNELS = {
+    "keywords": "HAS_KEYWORD",
+    "classes": "HAS_CLASS",
+    "functions": "HAS_FUNCTION",
+    "imports_internal": "HAS_IMPORT_INTERNAL",
+    "imports_external": "HAS_IMPORT_EXTERNAL",
+    "ontology_concepts": "HAS_ONTOLOGY_CONCEPT",
+    "business_entities": "HAS_BUSINESS_ENTITY",
+    "system_capabilities": "HAS_SYSTEM_CAPABILITY",
+    "side_effects": "HAS_SIDE_EFFECT",
+    "config_dependencies": "HAS_CONFIG_DEPENDENCY",
+    "integration_surface": "HAS_INTEGRATION_SURFACE",
+    "contracts_provided": "PROVIDES_CONTRACT",
+    "contracts_consumed": "CONSUMES_CONTRACT",
+    "data_flow_direction": "HAS_DATA_FLOW_DIRECTION",
+}
+# White space that is trimmed from names.
+BLANKS = "".join(map(chr, (*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 # Operating limits.
 MAX_FILE_BYTES, MAX_LINES, CONTEXT_TOKENS, CHUNK_TOKENS, PAGE_CHARS = 52_428_800, 2_000, 15_000, 6_000, 20_000
 
+# Characters of a content that a verdict is asked on; outcomes of a scan.
+VERDICT_CHARS = 4_000
+OUTCOMES = ("accept", "accept-llm", "reject-static", "reject-llm", "oversized", "binary")
+
 # Progress floors by phase; the file analysis spans 5 to 70.
 PHASE_FLOOR = {"clone": 1, "scan": 3, "file_analysis": 5, "folder_analysis": 72, "indexing": 82, "enrichment": 92, "spec_generation": 95}
 
@@ -39,9 +66,9 @@ MOST_CONCEPTS, MOST_CONTRACTS, MOST_GUIDEPOSTS = 20, 20, 10
 
 # Patterns.
 FULLTEXT_SPECIALS = r"""[+\-&|!(){}\[\]^"~*?:\\/]"""
-SLUG = "^[a-z0-9]([a-z0-9-]{0,62}[a-z0-9])?$"
-COMMIT_HASH, BRANCH_NAME = "^[0-9a-f]{40}$", r"^[\w./-]+$"
-REPO_URL = r"^https?://(?:www\.)?github\.com/([^/]+)/([^/]+?)(?:\.git)?(?:/tree/([^?#]+))?/*$"
+SLUG = r"^[a-z0-9]([a-z0-9-]{0,62}[a-z0-9])?\z"
+COMMIT_HASH, BRANCH_NAME = r"^[0-9a-f]{40}\z", r"^[\w./-]+\z"
+REPO_URL = r"^https?://(?:www\.)?github\.com/([^/]+)/([^/]+?)(?:\.git)?(?:/tree/([^?#]+))?/*\z"
 
 # Failures that are tried again, and how.
 RETRYABLE = ("llm_rate_limit", "llm_unreachable", "internal")

@@ -9,9 +9,21 @@ from ..functions import text as X
 from ..functions import values as V
 
 
-def update(table: DataFrame, changes: DataFrame, key: str, **fields: Column) -> DataFrame:
-    """The rows whose key is in changes with those fields set; all others as they are, keys that are missing ignored."""
-    hit = changes.withColumn("__hit", F.lit(True))
+def last_change(changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One change of each key: the last by `order`, of equal ones the greatest row; without an order the greatest row.  Null keys are left out."""
+    rest = [c for c in changes.columns if c != key]
+    if not rest:
+        return changes.where(F.col(key).isNotNull()).distinct()
+    rank = F.struct(*([order] if order else []), *[c for c in rest if c != order])
+    return changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(rank).alias("__last")).select(key, "__last.*")
+
+
+def update(table: DataFrame, changes: DataFrame, key: str, order: str | None = None, **fields: Column) -> DataFrame:
+    """The rows whose key is in changes with those fields set; all others as they are, keys that are missing ignored.
+
+    Of several changes of a key one counts; see `last_change`.
+    """
+    hit = last_change(changes, key, order).withColumn("__hit", F.lit(True))
     rows = table.join(hit, key, "left")
     return rows.select(*[F.when(F.col("__hit"), fields[c]).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in table.columns])
 
@@ -22,12 +34,12 @@ def missing(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def advance_branches(knowledge: DataFrame, heads: DataFrame) -> DataFrame:
-    """knowledge(knowledge_id, branches) after heads(knowledge_id, name, commit, at): one head for each knowledge base.
+    """knowledge(knowledge_id, branches) after heads(knowledge_id, name, commit, at): one head for each knowledge base, the last by `at` if there are more.
 
     branches: array of (name, head, commits).  A branch that is there moves on to the commit
     and takes it into its commits, once; one that is not is appended.
     """
-    rows = knowledge.join(heads, "knowledge_id", "left")
+    rows = knowledge.join(last_change(heads, "knowledge_id", "at" if "at" in heads.columns else None), "knowledge_id", "left")
     old, name, commit = F.coalesce("branches", F.array().cast(knowledge.schema["branches"].dataType)), F.col("name"), F.col("commit")
     moved = F.transform(old, lambda b: F.when(b["name"] == name, F.struct(b["name"].alias("name"), commit.alias("head"), F.array_union(b["commits"], F.array(commit)).alias("commits"))).otherwise(b))
     fresh = F.array(F.struct(name.alias("name"), commit.alias("head"), F.array(commit).alias("commits")))

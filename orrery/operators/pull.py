@@ -90,21 +90,3 @@ def commit_indexed(knowledge: DataFrame, versions: DataFrame, files: DataFrame)
     count = lambda rows, name: rows.groupBy("knowledge_id").agg(F.count("*").alias(name))
     out = knowledge.select("knowledge_id").join(count(versions, "n_versions"), "knowledge_id", "left").join(count(files, "n_files"), "knowledge_id", "left")
     return out.na.fill(0).withColumn("indexed", (F.col("n_versions") > 0) | (F.col("n_files") > 0))
-
-
-def reachable(commits: DataFrame, start: DataFrame) -> DataFrame:
-    """(start, commit_hash, depth): all ancestors of start(commit_hash) over commits(commit_hash, parent_hash), by recursion in SQL."""
-    return commits.sparkSession.sql(
-        """WITH RECURSIVE up(start, commit_hash, depth) AS (
-          SELECT commit_hash, commit_hash, 0 FROM {start}
-          UNION ALL SELECT up.start, c.parent_hash, up.depth + 1 FROM up JOIN {commits} c ON c.commit_hash = up.commit_hash WHERE c.parent_hash IS NOT NULL)
-        SELECT start, commit_hash, min(depth) AS depth FROM up GROUP BY start, commit_hash""",
-        commits=commits, start=start,
-    )
-
-
-def merge_base(up: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) the nearest commit that both reach, from `reachable`; none where there is none."""
-    left, right = up.toDF("a", "commit_hash", "depth_a"), up.toDF("b", "commit_hash", "depth_b")
-    both = pairs.join(left, "a").join(right, ["b", "commit_hash"])
-    return both.groupBy("a", "b").agg(F.min_by("commit_hash", F.struct(F.col("depth_a") + F.col("depth_b"), F.col("commit_hash"))).alias("base"))

@@ -14,6 +14,12 @@ def effective(base: tuple, add: tuple = (), remove: tuple = ()) -> list[str]:
     return sorted((set(base) | set(add)) - set(remove))
 
 
+def overlaid(base: tuple, add: Column, remove: Column) -> Column:
+    """Like `effective`, with additions and removals as columns; null ones change nothing."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_except(F.array_union(F.array(*map(F.lit, base)), F.coalesce(add, none)), F.coalesce(remove, none)))
+
+
 def admission(path: Column, directories=V.IGNORED_DIRECTORIES, filenames=V.IGNORED_FILENAMES, extensions=V.IGNORED_EXTENSIONS, globs=(), gate: bool = True, verdict: Column | None = None) -> Column:
     """reject-static, accept, accept-llm, reject-llm, or null where a cached verdict is still wanting.
 

@@ -175,9 +175,11 @@ def content_dedupe(spark, d):
     return scan.content_decisions(v.v_file(spark, d))
 
 
-@query("ignore_overlay", "SELECT unnest(['.bin','.exe','.gz','.jpg','.min.js','.pdf','.png','.so','.zip']) AS extension")
+@query("ignore_overlay", f"SELECT knowledge_id, unnest(list_distinct(list_filter(list_concat([{', '.join(repr(x) for x in V.IGNORED_EXTENSIONS)}], ['.min.js', concat('.', knowledge_id)]), lambda x: NOT (updated_seq % 2 = 0 AND x IN ('.lock', '.png'))))) AS extension FROM v_knowledge")
 def ignore_overlay(spark, d):
-    return spark.createDataFrame([(x,) for x in scan.effective(V.IGNORED_EXTENSIONS, (".min.js",), (".lock",))], "extension string")
+    even = F.col("updated_seq") % 2 == 0
+    rules = scan.overlaid(V.IGNORED_EXTENSIONS, F.array(F.lit(".min.js"), F.concat(F.lit("."), "knowledge_id")), F.when(even, F.array(F.lit(".lock"), F.lit(".png"))))
+    return v.v_knowledge(spark, d).select("knowledge_id", F.explode(rules).alias("extension"))
 
 
 # --- graph ------------------------------------------------------------------------------------
@@ -382,10 +384,12 @@ def affected_folders(spark, d):
     return stats.affected_folders(_diff(spark, d))
 
 
-@query("name_status", "SELECT 'A' AS status, 'a.ts' AS path, NULL::VARCHAR AS old_path UNION ALL SELECT 'R', 'c.ts', 'b.ts' UNION ALL SELECT 'A', 'e.ts', NULL UNION ALL SELECT 'D', 'f.ts', NULL")
+@query("name_status", """SELECT CASE CAST(doc_id % 5 AS INT) WHEN 1 THEN 'R' WHEN 3 THEN 'D' WHEN 4 THEN 'M' ELSE 'A' END AS status, CASE WHEN doc_id % 5 IN (1, 2) THEN concat('to/', relative_path) ELSE relative_path END AS path, CASE WHEN doc_id % 5 = 1 THEN relative_path END AS old_path FROM v_file WHERE doc_id % 11 <> 0""")
 def name_status(spark, d):
-    rows = [("A\ta.ts",), ("R087\tb.ts\tc.ts",), ("C100\td.ts\te.ts",), ("D\tf.ts",), ("",)]
-    return stats.parse_name_status(spark.createDataFrame(rows, "line string"))
+    i, path, tab = F.col("doc_id"), F.col("relative_path"), F.lit("\t")
+    two = lambda code: F.concat(F.lit(code), tab, path, tab, F.lit("to/"), path)
+    line = F.when(i % 11 == 0, F.when(i % 2 == 0, "").otherwise(F.concat(F.lit("X\t"), path))).when(i % 5 == 0, F.concat(F.lit("A\t"), path)).when(i % 5 == 1, two("R087")).when(i % 5 == 2, two("C100")).when(i % 5 == 3, F.concat(F.lit("D\t"), path)).otherwise(F.concat(F.lit("M\t"), path))
+    return stats.parse_name_status(v.v_file(spark, d).select(line.alias("line")))
 
 
 @query("commit_history", "SELECT knowledge_key, count(*) AS n_commits, arg_max(commit_hash, (committed_at, commit_hash)) AS head, string_agg(commit_hash, ',' ORDER BY committed_at, commit_hash) AS history FROM v_commit GROUP BY 1")
@@ -437,11 +441,19 @@ def repo_name_from_url(spark, d):
     return v.v_knowledge(spark, d).select("knowledge_id", S.repo_name_from_url(F.col("source_url")).alias("name"))
 
 
-@query("fixed_facts", "SELECT sha256('') AS sha_empty, 440920331::BIGINT AS fnv_abc, '1,1,2,3,4' AS pages, 'typescript' AS lang, true AS yes, '{\"a\":1}' AS json, 12.5::DOUBLE AS number, 37.5::DOUBLE AS percent")
+@query("fixed_facts", """SELECT doc_id, sha256(sha) AS meta_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(relative_path) + 1), lambda i: ord(substr(relative_path, i, 1))::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS fnv,
+CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN false END AS yes, CASE WHEN doc_id % 4 <> 0 THEN concat('{"a":', CAST(doc_id AS VARCHAR), '}') END AS json, CASE WHEN doc_id % 2 = 0 THEN doc_id + 0.5::DOUBLE ELSE 0.0::DOUBLE END AS number, round(5 + least(1.0, (doc_id % 9) / 6.0) * 65, 6)::DOUBLE AS percent,
+concat(replace(relative_path, '/', '__'), '_') AS slug, lower(split_part(relative_path, '.', -1)) AS ext, relative_path AS decoded FROM v_file""")
 def fixed_facts(spark, d):
-    pages = retrieve.greedy_groups(F.array(*map(F.lit, (8, 8, 8, 20, 1))), 20)
-    one = spark.range(1)
-    return one.select(S.meta_id(F.lit("")).alias("sha_empty"), S.fnv1a(F.lit("abc")).alias("fnv_abc"), F.array_join(pages.cast("array<string>"), ",").alias("pages"), S.language_from_path(F.lit("a/b.TSX")).alias("lang"), S.yes_no(F.lit(" yes, of course")).alias("yes"), S.lenient_json(F.lit('so: {"a":1} it is')).alias("json"), S.parse_number(F.lit("12.5 USD")).alias("number"), S.phase_percent(F.lit("file_analysis"), F.lit(1), F.lit(2)).alias("percent"))
-
-
-from . import flows  # noqa: E402, F401  registers its queries
+    """Scalar functions for which the reference has fixed values, over columns of files."""
+    i, text, path = F.col("doc_id"), F.col("doc_id").cast("string"), F.col("relative_path")
+    answer = F.when(i % 3 == 0, F.concat(F.lit(" yes, "), path)).when(i % 3 == 1, F.concat(F.lit("No: "), path)).otherwise(path)
+    raw = F.when(i % 4 == 0, F.concat(F.lit("{"), text)).when(i % 4 == 1, F.concat(F.lit('```json\n{"a":'), text, F.lit("}\n```"))).otherwise(F.concat(F.lit('so: {"a":'), text, F.lit("} it is")))
+    number = F.when(i % 2 == 0, F.concat(text, F.lit(".5 USD"))).otherwise(F.concat(F.lit("$"), text))
+    return v.v_file(spark, d).select(
+        "doc_id", S.meta_id(F.col("sha")).alias("meta_id"), S.fnv1a(path).alias("fnv"), S.yes_no(answer).alias("yes"), S.lenient_json(raw).alias("json"), S.parse_number(number).alias("number"), F.round(S.phase_percent(F.lit("file_analysis"), i % 9, F.lit(6)), 6).alias("percent"),
+        S.file_slug(F.concat(F.lit("/"), path, F.lit("!"))).alias("slug"), F.regexp_replace(S.normalize_ext(F.element_at(F.split(path, r"\."), -1)), "^[.]", "").alias("ext"), S.decode_meta_path(S.encode_meta_path(path)).alias("decoded"),
+    )
+
+
+from . import deep, flows  # noqa: E402, F401  register their queries

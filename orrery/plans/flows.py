@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import analyse, enrich, graph, lifecycle, pull, retrieve, search, stats
+from ..operators import analyse, ancestry, enrich, graph, lifecycle, pull, retrieve, search, stats
 from . import views as v
 from .registry import query
 
@@ -150,10 +150,10 @@ def _parents(spark, d):
     return rows.select("commit_hash", F.lag("commit_hash").over(w.orderBy("committed_at", "commit_hash")).alias("parent_hash"), F.row_number().over(w.orderBy(F.desc("committed_at"), F.desc("commit_hash"))).alias("back"), "knowledge_key")
 
 
-@query("commit_ancestors", f"WITH RECURSIVE c AS ({_PARENTS}), up AS (SELECT commit_hash AS start, commit_hash, 0 AS depth FROM c WHERE back = 1 UNION ALL SELECT up.start, c.parent_hash, up.depth + 1 FROM up JOIN c ON c.commit_hash = up.commit_hash WHERE c.parent_hash IS NOT NULL) SELECT start, commit_hash, min(depth) AS depth FROM up GROUP BY 1, 2")
+@query("commit_ancestors", f"WITH RECURSIVE c AS ({_PARENTS}), up AS (SELECT commit_hash AS start, commit_hash, 0 AS depth FROM c WHERE back = 1 UNION ALL SELECT up.start, c.parent_hash, up.depth + 1 FROM up JOIN c ON c.commit_hash = up.commit_hash WHERE c.parent_hash IS NOT NULL) SELECT start, commit_hash, min(depth)::BIGINT AS depth FROM up GROUP BY 1, 2")
 def commit_ancestors(spark, d):
     c = _parents(spark, d)
-    return pull.reachable(c, c.where("back = 1").select("commit_hash"))
+    return ancestry.history(c).ancestors(c.where("back = 1"))
 
 
 @query("merge_bases", f"WITH c AS ({_PARENTS}) SELECT a.commit_hash AS a, b.commit_hash AS b, b.commit_hash AS base FROM c a JOIN c b ON a.knowledge_key = b.knowledge_key AND a.back = 1 AND b.back = 3")
@@ -161,7 +161,7 @@ def merge_bases(spark, d):
     c = _parents(spark, d)
     ends = c.where("back IN (1, 3)")
     pairs = ends.where("back = 1").select("knowledge_key", F.col("commit_hash").alias("a")).join(ends.where("back = 3").select("knowledge_key", F.col("commit_hash").alias("b")), "knowledge_key").select("a", "b")
-    return pull.merge_base(pull.reachable(c, ends.select("commit_hash")), pairs)
+    return ancestry.history(c).merge_base(pairs)
 
 
 # --- lifecycle ------------------------------------------------------------------------------
@@ -562,7 +562,7 @@ def json_predicate(spark, d):
 @query("json_mutate", """SELECT relative_path, concat('{"state":"FAILED","n":', CAST(doc_id % 4 AS VARCHAR), '}') AS doc FROM v_file""")
 def json_mutate(spark, d):
     doc = F.to_json(F.struct(F.lit("QUEUED").alias("state"), (F.col("doc_id") % 4).alias("n")))
-    return v.v_file(spark, d).select("relative_path", X.json_set(doc, "state string, n long", state=F.lit("FAILED")).alias("doc"))
+    return v.v_file(spark, d).select("relative_path", X.json_set(doc, state=F.lit("FAILED")).alias("doc"))
 
 
 @query("job_payloads", "SELECT id, knowledge_id, CASE WHEN id % 3 = 0 THEN 'main' END AS branch FROM v_job WHERE id % 4 <> 3")

@@ -2,7 +2,8 @@
 
 import pytest
 from conftest import rows_of
-from orrery.operators import scan
+from orrery.functions import text as X
+from orrery.operators import lifecycle, scan
 from orrery.plans.catalogue import QUERIES, SQL
 from orrery.sources import files as sources
 from orrery.streaming import usage
@@ -50,3 +51,24 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = usage.metered(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     got = usage.run_available(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     assert rows_of(got.collect(), got.columns) == rows_of((b := usage.metered(rows)).collect(), b.columns)
+
+
+def test_one_change_of_a_key_counts(spark):
+    table = spark.createDataFrame([("k", "A"), ("m", "B"), (None, "C")], "key string, state string")
+    changes = spark.createDataFrame([("k", "late", 2), ("k", "early", 1), ("z", "none", 1), (None, "null", 1)], "key string, to_state string, at int")
+    got = lifecycle.update(table, changes, "key", order="at", state=F.col("to_state"))
+    assert sorted(map(tuple, got.collect()), key=repr) == [("k", "late"), ("m", "B"), (None, "C")]
+    assert lifecycle.update(table, changes, "key", state=F.col("to_state")).count() == 3
+
+
+def test_patterns_end_at_the_end(spark):
+    rows = spark.createDataFrame([("abc",), ("abc\n",), ("abc\r\n",)], "t string")
+    assert [tuple(r) for r in rows.select(X.is_slug(F.col("t")), X.is_branch_name(F.col("t"))).collect()] == [(True, True), (False, False), (False, False)]
+
+
+def test_json_set_keeps_what_it_does_not_name(spark):
+    docs = ['{"state":"A","n":1,"other":"keep","deep":{"x":[1,2.5,null]}}', "[1]", "nonsense", None, "{}"]
+    rows = spark.createDataFrame([(d,) for d in docs], "d string")
+    got = [r[0] for r in rows.select(X.json_set(F.col("d"), state=F.lit("B"), m=F.lit(2))).collect()]
+    assert got[0] == '{"state":"B","n":1,"other":"keep","deep":{"x":[1,2.5,null]},"m":2}'
+    assert got[1:] == ['{"state":"B","m":2}'] * 4
