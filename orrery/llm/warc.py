@@ -26,7 +26,8 @@ def named(pages: DataFrame) -> DataFrame:
 
     Rows that are equal in all three have one name.
     """
-    fp = F.hex(F.xxhash64(F.lit(7), pages["url"], pages["html"]))
+    # A hash passes nulls over, so which of the two are null goes into it.
+    fp = F.hex(F.xxhash64(F.lit(7), pages["url"].isNull(), pages["html"].isNull(), pages["url"], pages["html"]))
     name = F.concat(F.lit("urn:x-page:"), F.coalesce(pages["page_id"].cast("string"), F.lit("none")), F.lit(":"), F.lower(fp))
     return pages.select(name.alias("name"), pages["page_id"], pages["url"], pages["html"])
 

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 from conftest import rows_of
-from orrery.llm import common, gsaca, langid, lines, mixing, neardup, permutation, phrases, queries, secrets, spans, toxicity, warc
+from orrery.llm import common, gsaca, langid, lines, mixing, neardup, permutation, phrases, queries, spans, toxicity, warc
 from pyspark.sql import functions as F
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -81,38 +81,6 @@ def test_phrases_near_brute_force(spark, monkeypatch, part):
     assert sum(map(len, got.values())) > 50
 
 
-def entropy_spans(text):
-    out = []
-    for m in re.finditer(secrets.CANDIDATE, text):
-        s = m[0]
-        if any(re.search(p, s) for p in secrets.ALLOW):
-            continue
-        least = secrets.BITS["hex" if re.fullmatch("[0-9A-Fa-f]+", s) else "base64"]
-        for i in range(len(s) - secrets.WINDOW + 1):
-            n = collections.Counter(s[i : i + secrets.WINDOW]).values()
-            if -sum(c / secrets.WINDOW * np.log2(c / secrets.WINDOW) for c in n) >= least - 1e-9:
-                a, b = m.start() + i, m.start() + i + secrets.WINDOW
-                if out and out[-1][0] >= m.start() and out[-1][1] >= a:
-                    out[-1] = (out[-1][0], b)
-                else:
-                    out.append((a, b))
-    return out
-
-
-def test_secrets_brute_force(spark):
-    random.seed(5)
-    alphabet = "abcdef0123456789ABCXYZ+/_=- :\n"
-    texts = ["".join(random.choice(alphabet) for _ in range(400)) for _ in range(15)] + ["secret: abc token=\"abcdefg\" PASSWORD=x1y2z3w4 é AKIA" + "A1" * 9, None, "", "deadbeef" * 4 + " " + hashlib.sha256(b"x").hexdigest()]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in secrets.scan(rows).collect():
-        t = texts[r.doc_id] or ""
-        want = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m[2]) >= 6]
-        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
-        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
-        want += [(a, 3, b) for a, b in entropy_spans(t)]
-        assert [(x["start"], x["rank"], x["end"]) for x in r.found] == sorted(want)
-
-
 def test_suffix_array():
     random.seed(3)
     for t in range(800):
@@ -343,6 +311,14 @@ def test_warc_repeated_rows(spark, tmp_path, monkeypatch):
     assert [r.digest for r in archive] == running
 
 
+def test_warc_nulls_tell_rows_apart(spark, tmp_path):
+    """A null url beside a null html: two rows of one page_id, each with its own payload."""
+    rows = [(1, None, "X" * 200), (1, "X" * 200, None), (1, None, None)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = sorted((r.payload_bytes, r.payload_digest) for r in warc.read_archive(spark, str(tmp_path / "w")).collect())
+    assert got == sorted((len(h or ""), hashlib.sha256((h or "").encode()).hexdigest()) for _, _, h in rows)
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_archive(spark, str(tmp_path / "w")).count() == 0
