@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from .functions import values as V
-from .operators import retrieve, search, stats
+from .operators import answer, retrieve, search, stats
 from .operators.search import Scope
 
 
@@ -25,6 +25,9 @@ class Engine:
         found = search.fused_search(self.files, self.edges, query, scope)
         return search.page(search.with_repo_names(found, self.knowledge), page, page_size)
 
+    def answer(self, query: str, scope: Scope = Scope(), page: int = 1, page_size: int = V.PAGE_SIZE) -> DataFrame:
+        return answer.answer(self.files, self.edges, self.knowledge, query, scope, page, page_size, self.concept_edges)
+
     def folder_clusters(self, query: str, scope: Scope = Scope()) -> DataFrame:
         return search.folder_clusters(search.fused_search(self.files, self.edges, query, scope))
 

@@ -60,6 +60,18 @@ CONCEPT_KINDS = ("ontology", "business", "capability", "role", "pattern", "domai
 CONTRACT_KINDS = ("interface", "schema", "event", "config")
 GUIDEPOST_KINDS = ("anomaly", "convention", "history", "warning", "starting-point")
 EDGE_KINDS = {"concept": ("HAS_CONCEPT", "PLAYS_ROLE", "BELONGS_TO_DOMAIN"), "contract": ("DEFINES", "CONSUMES")}
+# States of a knowledge base that may follow each, None being the begin: this library's own rule.
+TRANSITIONS = {
+    None: ("CREATED", "QUEUED"),
+    "CREATED": ("QUEUED", "PROCESSING", "FAILED"),
+    "QUEUED": ("PROCESSING", "HALTED", "FAILED", "CORRUPTED"),
+    "PROCESSING": ("INGESTED", "PROCESSED", "HALTED", "FAILED", "CORRUPTED"),
+    "INGESTED": ("PROCESSING", "PROCESSED", "HALTED", "FAILED"),
+    "PROCESSED": ("QUEUED", "PROCESSING", "CORRUPTED"),
+    "HALTED": ("QUEUED", "PROCESSING", "FAILED"),
+    "FAILED": ("QUEUED",),
+    "CORRUPTED": ("QUEUED",),
+}
 # Lengths and counts of enrichment.
 NAME_CHARS, RATIONALE_CHARS, NOTE_CHARS = 120, 500, 800
 MOST_CONCEPTS, MOST_CONTRACTS, MOST_GUIDEPOSTS = 20, 20, 10

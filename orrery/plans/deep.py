@@ -240,3 +240,95 @@ SELECT run_id, at_ms, done, total FROM p JOIN w USING (run_id, pos) WHERE stored
 def progress_writes(spark, d):
     rows = v.base(spark, d, "events").select(F.concat(F.lit("r"), (F.col("user_id") % 5).cast("string")).alias("run_id"), (F.col("event_id") * 40).alias("at_ms"), F.col("event_id").alias("done"), F.lit(777).cast("long").alias("total"))
     return chains.throttled(rows)
+
+
+# --- the whole answer ---------------------------------------------------------------------------
+
+_ANSWER = "attion eriner"
+
+
+def _answer_sql(page: int, size: int) -> str:
+    from .catalogue import _fused_sql
+
+    return f"""WITH {_fused_sql(search.terms_of(_ANSWER))}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, relative_path, knowledge_id) AS rank, count(*) OVER () AS total FROM fused),
+u AS (SELECT string_agg(DISTINCT channel, ',' ORDER BY channel) AS used FROM hits),
+p AS (SELECT r.*, COALESCE(k.repo_name, '') AS repo_name, array_to_string(list_filter(string_split(relative_path, '/'), lambda s: s <> '')[1:2], '/') AS folder, used FROM u, r LEFT JOIN v_knowledge k USING (knowledge_id) WHERE rank BETWEEN {(page - 1) * size + 1} AND {page * size}),
+c AS (SELECT DISTINCT rank, p.relative_path, kind, slug, total, used FROM p JOIN v_concept_edge e ON e.knowledge_id = p.knowledge_id AND e.relative_path = p.relative_path WHERE kind IN ('role', 'pattern', 'domain')),
+k AS (SELECT kind, slug, count(DISTINCT rank) AS n, array_to_string(list_sort(list(DISTINCT relative_path))[1:5], ',') AS paths, any_value(total) AS total, any_value(used) AS used FROM c GROUP BY 1, 2 HAVING count(DISTINCT rank) >= 2 ORDER BY n DESC, kind, slug LIMIT 20)
+SELECT 'hit' AS section, rank::INT AS pos, knowledge_id, relative_path, score, channels, repo_name AS name, NULL::VARCHAR AS kind, NULL::BIGINT AS n, total::BIGINT AS total_matches, used AS channels_used FROM p
+UNION ALL SELECT 'repo', row_number() OVER (ORDER BY min(rank)), NULL, NULL, NULL, NULL, repo_name, NULL, count(*), any_value(total), any_value(used) FROM p WHERE repo_name <> '' GROUP BY repo_name
+UNION ALL SELECT 'folder', row_number() OVER (ORDER BY count(*) DESC, folder, knowledge_id), knowledge_id, arg_min(relative_path, rank), NULL, NULL, folder, NULL, count(*), any_value(total), any_value(used) FROM p GROUP BY knowledge_id, folder HAVING count(*) >= 2
+UNION ALL SELECT 'concept', row_number() OVER (ORDER BY n DESC, kind, slug), NULL, paths, NULL, NULL, slug, kind, n, total, used FROM k"""
+
+
+def _register_answer(name: str, page: int, size: int) -> None:
+    @query(name, _answer_sql(page, size))
+    def run(spark, d):
+        from ..operators import answer
+
+        return answer.answer(v.v_file(spark, d), v.v_edge(spark, d), v.v_knowledge(spark, d), _ANSWER, page=page, size=size, concepts=v.v_concept_edge(spark, d))
+
+
+_register_answer("search_answer", 1, 30)
+_register_answer("search_answer_page2", 2, 25)
+
+
+# --- artifacts ----------------------------------------------------------------------------------
+
+
+def _folder_docs(spark, d):
+    """Folder summaries as an analysis leaves them: some malformed, some with fields of other types."""
+    i, keys = F.col("doc_id"), F.regexp_extract_all("purpose", F.lit("([a-z]{5,})"), F.lit(1))
+    whole = F.to_json(F.struct(F.col("relative_path").alias("folderPath"), F.col("purpose"), F.lit("").alias("summary"), keys.alias("keywords"), F.lit("text").alias("classes"), F.array(F.lit("f"), F.lit("")).alias("functions")))
+    odd = F.to_json(F.struct(F.col("relative_path").alias("folderPath"), i.alias("purpose"), F.array(F.lit(1), F.lit(2)).alias("keywords")))
+    doc = F.when(i % 7 == 0, F.concat(F.lit('{"folderPath": "'), "relative_path")).when(i % 7 == 1, "[1, 2]").when(i % 7 == 2, odd).otherwise(whole)
+    return v.v_file(spark, d).select("knowledge_id", doc.alias("doc"))
+
+
+def _written(spark, rows):
+    from ..sources import artifacts
+
+    at = _folder(spark)
+    artifacts.write_documents(rows, at, ["knowledge_id"])
+    return artifacts.read_documents(spark, at)
+
+
+@query("artifact_folders", """SELECT knowledge_id, relative_path AS folder_path, CASE WHEN doc_id % 7 = 2 THEN '' ELSE purpose END AS purpose, CASE WHEN doc_id % 7 = 2 THEN '' ELSE array_to_string(regexp_extract_all(purpose, '([a-z]{5,})', 1), ',') END AS keywords, '' AS classes, CASE WHEN doc_id % 7 = 2 THEN '' ELSE 'f' END AS functions FROM v_file WHERE doc_id % 7 NOT IN (0, 1)""")
+def artifact_folders(spark, d):
+    from ..sources import artifacts
+
+    out = artifacts.folder_summaries(_written(spark, _folder_docs(spark, d)))
+    return out.select("knowledge_id", "folder_path", "purpose", *[F.array_join(c, ",").alias(c) for c in ("keywords", "classes", "functions")])
+
+
+@query("artifact_health", "SELECT count(*) FILTER (doc_id % 7 NOT IN (0, 1)) AS n_read, count(*) FILTER (doc_id % 7 IN (0, 1)) AS n_malformed FROM v_file")
+def artifact_health(spark, d):
+    from ..sources import artifacts
+
+    return artifacts.health(_written(spark, _folder_docs(spark, d)))
+
+
+@query("artifact_enrichment", """WITH f AS (SELECT knowledge_id, unnest(regexp_extract_all(purpose, '([a-z]{5,})', 1)) AS keyword FROM v_file),
+c AS (SELECT concat('o', CAST(updated_seq % 3 AS VARCHAR)) AS org_id, keyword, count(*) AS n FROM f JOIN v_knowledge USING (knowledge_id) GROUP BY ALL),
+t AS (SELECT org_id, string_agg(concat(keyword, '=', CAST(n AS VARCHAR)), ',' ORDER BY n DESC, keyword) AS top FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY org_id ORDER BY n DESC, keyword) <= 50) GROUP BY 1)
+SELECT knowledge_id, CASE WHEN updated_seq % 4 = 3 THEN '' ELSE repo_name END AS repo_architecture, CASE WHEN updated_seq % 4 = 3 THEN '' ELSE concat('s', branch) END AS subsystems, COALESCE(top, '') AS top_keywords, 0 AS n_effects FROM v_knowledge LEFT JOIN t ON t.org_id = concat('o', CAST(updated_seq % 3 AS VARCHAR))""")
+def artifact_enrichment(spark, d):
+    """Envelopes and bare records of repository summaries, and registries of an organisation, written and merged."""
+    from ..sources import artifacts
+
+    k = v.v_knowledge(spark, d).withColumn("org_id", F.concat(F.lit("o"), (F.col("updated_seq") % 3).cast("string")))
+    system = F.array(F.struct(F.concat(F.lit("s"), "branch").alias("name"), F.lit(1).alias("responsibility")), F.struct(F.lit("").alias("name"), F.lit(2).alias("responsibility")))
+    record = F.struct(F.col("repo_name").alias("architecture"), system.alias("majorSubsystems"))
+    q = F.col("updated_seq") % 4
+    doc = F.when(q == 0, F.to_json(F.struct(record.alias("repoSummary")))).when(q == 3, "nonsense").otherwise(F.to_json(record))
+    summaries = artifacts.repo_summaries(_written(spark, k.select("knowledge_id", doc.alias("doc"))))
+    words = v.v_file(spark, d).select("knowledge_id", F.explode(F.regexp_extract_all("purpose", F.lit("([a-z]{5,})"), F.lit(1))).alias("keyword"))
+    counts = words.join(k.select("knowledge_id", "org_id"), "knowledge_id").groupBy("org_id", "keyword").agg(F.count("*").alias("n"))
+    doc = F.to_json(F.map_concat(F.map_from_entries(F.collect_list(F.struct("keyword", F.col("n").cast("string")))), F.create_map(F.lit("not counted"), F.lit("many"))))
+    lines = counts.groupBy("org_id").agg(F.regexp_replace(doc, r'":"(\d+)"', '":$1').alias("doc")).select("org_id", F.lit("keywords").alias("registry"), "doc")
+    at = _folder(spark)
+    artifacts.write_documents(lines, at, ["org_id", "registry"])
+    registries = artifacts.registry_counts(artifacts.read_documents(spark, at), ["org_id", "registry"])
+    out = artifacts.enrichment(k.select("knowledge_id", "org_id"), summaries, registries)
+    top = F.array_join(F.transform("top_keywords", lambda x: F.concat_ws("=", x["keyword"], x["count"].cast("long").cast("string"))), ",")
+    return out.select("knowledge_id", "repo_architecture", F.array_join(F.transform("major_subsystems", lambda x: x["name"]), ",").alias("subsystems"), top.alias("top_keywords"), F.size("side_effects").alias("n_effects"))

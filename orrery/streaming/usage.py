@@ -41,11 +41,13 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is now and returns the last state of its sink (in memory in complete mode)."""
-    name = "q" + str(abs(hash((path, checkpoint))))
+    """Runs a stream over what there is now and returns what its table at `path` has then.
+
+    A complete result replaces the table, an appended one adds to it; neither passes through the driver.
+    """
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "complete":
-        writer.format("memory").queryName(name).start().awaitTermination()
-        return df.sparkSession.table(name)
-    writer.format("parquet").start(path).awaitTermination()
-    return df.sparkSession.read.parquet(path)
+        writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    else:
+        writer.format("parquet").start(path).awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
