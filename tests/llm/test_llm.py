@@ -234,7 +234,8 @@ def test_permutation_footrule():
     x = rng.normal(size=(400, 8))
     x[5] = x[9]
     pivots = x[:20] / np.linalg.norm(x[:20], axis=1, keepdims=True)
-    shard = permutation.Shard(np.arange(400), x, pivots, 6)
+    built = permutation.Shard.build(np.arange(400), x, pivots, 6)
+    shard = permutation.Shard.of(*built.parts(), 8, 6)
     order = permutation.places(x / shard.norm[:, None], pivots, 6).tolist()
     place = [{p: i for i, p in enumerate(o)} for o in order]
     for q in (5, 17, 300):
@@ -245,6 +246,26 @@ def test_permutation_footrule():
         assert shard.nearest(x[q], q, np.array(order[q]), 0.1, 5)[0].tolist() == want
 
 
+def test_permutation_reads_a_part_of_the_postings(spark):
+    """Files of a query's own pivots only: a tenth of what is posted."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64))
+    pivots = x[:1024] / np.linalg.norm(x[:1024], axis=1, keepdims=True)
+    shard = permutation.Shard.build(np.arange(4000), x, pivots, permutation.PLACES)
+    assert len(shard.rows) == 4000 * permutation.PLACES
+    read = [shard.closeness(permutation.places(x[i : i + 1] / shard.norm[i], pivots, permutation.PLACES)[0])[1] for i in range(0, 4000, 50)]
+    assert np.mean(read) < 0.12 * len(shard.rows)
+
+
+def test_permutation_odd_rows(spark):
+    """Repeated ids are candidates each time and asked once, null ids take no part, other columns change nothing."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [0.0, 1.0]), (None, [1.0, 0.0]), (3, [-1.0, 0.0]), (3, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("rows", F.lit("x"))
+    got = [(r.query_id, r["rank"], r.vec_id) for r in permutation.search(df, df).orderBy("query_id", "rank").collect()]
+    assert [g for g in got if g[0] == 1] == [(1, 1, 2), (1, 2, 2), (1, 3, 3), (1, 4, 3)] and {g[0] for g in got} == {1, 2, 3}
+    assert permutation.search(df, df.limit(0)).count() == 0
+
+
 def test_permutation_recall_on_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     got = collections.defaultdict(set)
