@@ -253,7 +253,7 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _block_links(left: list, right: list, similarity: float):
-    """Links (a, b), a > b, between texts (node, part, grams) of two blocks that are in different parts.
+    """Links (a, b), a > b, between texts (node, part, grams) of two blocks that join their parts: those that all links would join, by one link less than parts.
 
     The sum of the lesser shares bounds the probability Jaccard similarity from above, so only pairs that reach it are computed.
     """
@@ -265,8 +265,12 @@ def _block_links(left: list, right: list, similarity: float):
     even = np.array([len(x[1]) and x[1].min() == x[1].max() for x in sets], bool)
     order = np.argsort(s, kind="stable")
     s, w, owner = s[order], w[order], owner[order]
+    # Parts as numbers, and by number what they are joined to so far.
+    known = np.unique(np.concatenate([parts, [m["part"] for m in left]]))
+    parts, joined = np.searchsorted(known, parts), np.arange(len(known))
     for m in left:
         own, share = _unpack(m["grams"])
+        part = int(np.searchsorted(known, m["part"]))
         first, last = np.searchsorted(s, own), np.searchsorted(s, own, "right")
         at = _ranges(first, last)
         reach = np.bincount(owner[at], np.minimum(w[at], np.repeat(share, last - first)), minlength=len(sets))
@@ -274,8 +278,11 @@ def _block_links(left: list, right: list, similarity: float):
         jaccard = common / np.maximum(1, len(own) + sizes - common)
         if len(share) and share.min() == share.max():
             reach[even] = 0  # no shingle repeats in either text, so the sets say all
-        for i in np.flatnonzero((np.maximum(reach, jaccard) >= similarity - SLACK) & (parts != m["part"])):
+        for i in np.flatnonzero((np.maximum(reach, jaccard) >= similarity - SLACK) & (joined[parts] != joined[part])):
+            if joined[parts[i]] == joined[part]:
+                continue
             if jaccard[i] >= similarity - SLACK or similarity_of(own, share, *sets[i]) >= similarity - SLACK:
+                joined[joined == joined[parts[i]]] = joined[part]
                 yield max(m["node"], int(nodes[i])), min(m["node"], int(nodes[i]))
 
 
@@ -294,7 +301,7 @@ def _meet(similarity: float):
 
 
 def _rest(shared: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """All links between texts of a large bucket that are in different parts.
+    """Links that join the parts of a large bucket's texts as all links would: of each two blocks as many as they have parts, at most.
 
     A text over 1 - similarity of whose shingles, and of whose weight, no other text of such
     buckets has can't have any, and goes first.  The others are dealt into blocks, each text into one: texts that

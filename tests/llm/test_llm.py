@@ -279,6 +279,21 @@ def test_permutation_recall_on_table(spark):
     assert sum(near) >= 0.9 * 5 * len(got)
 
 
+def test_near_dedup_spanning_links():
+    """Mutually similar texts of two blocks, each in a part of its own: as many links as join them, not a link a pair; other texts stay apart."""
+    rng = np.random.default_rng(6)
+    base = np.sort(rng.integers(0, 2**48, 200, dtype=np.uint64))
+    grams = lambda own: neardup._pack(np.sort(np.concatenate([base[:195], own])), np.ones(200, np.int64))
+    members = [{"node": i, "part": i, "grams": grams(rng.integers(0, 2**48, 5, dtype=np.uint64))} for i in range(60)]
+    members += [{"node": 100 + i, "part": 100 + i, "grams": neardup._pack(np.sort(rng.integers(0, 2**48, 200, dtype=np.uint64)), np.ones(200, np.int64))} for i in range(5)]
+    links = list(neardup._block_links(members[:30] + members[60:], members[30:60], 0.8))
+    root = {m["node"]: m["node"] for m in members}
+    for a, b in links:
+        assert a > b and root[a] != root[b]
+        root = {k: root[a] if r == root[b] else r for k, r in root.items()}
+    assert len(links) == 59 and len({root[i] for i in range(60)}) == 1 and len(set(root.values())) == 6
+
+
 def test_near_dedup_weights(spark):
     base, other = ([f"{c}{i}" for i in range(104)] for c in "xy")
     rows = [(1, " ".join(["r0 r1 r2 r3 r4"] * 400 + base)), (2, " ".join(["r0 r1 r2 r3 r4"] * 400 + other)), (3, " ".join(["r0 r1 r2 r3 r4"] * 3 + base)), (4, " ".join(other[::-1]))]
