@@ -145,6 +145,27 @@ def file_metadata(files: DataFrame, edges: DataFrame, paths: DataFrame) -> DataF
     return out.select(*ID, "language", "purpose", *[F.coalesce(c, F.lit("")).alias(c) for c in kinds.values()])
 
 
+def metadata_answer(files: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """Per row of asked(knowledge_id, relative_path, ord), in that order by ord: found, all columns of files, and the sorted entities as arrays.
+
+    What isn't there has found false and nulls.  asked is joined first, so only its files and edges are grouped.
+    """
+    kinds = {"keywords": "HAS_KEYWORD", "classes": "HAS_CLASS", "functions": "HAS_FUNCTION", "imports_internal": "HAS_IMPORT_INTERNAL", "imports_external": "HAS_IMPORT_EXTERNAL"}
+    keys = asked.select(*ID).distinct()
+    found = edges.join(keys, ID, "left_semi").groupBy(*ID).agg(*[F.array_sort(F.collect_set(F.when(F.col("edge_type") == e, F.col("dst")))).alias(c) for c, e in kinds.items()])
+    rows = files.drop(*kinds).join(keys, ID, "left_semi").withColumn("found", F.lit(True)).join(found, ID, "left")
+    out = asked.select("ord", *ID).join(rows, ID, "left")
+    none = F.array().cast("array<string>")
+    rest = [c for c in files.columns if c not in (*ID, *kinds, "found", "ord")]
+    return out.select("ord", *ID, F.coalesce("found", F.lit(False)).alias("found"), *rest, *[F.when(F.col("found"), F.coalesce(c, none)).alias(c) for c in kinds])
+
+
+def lookup_answer(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Looked-up files with their purpose and summary, "" where a file has none."""
+    texts = files.select(*ID, F.coalesce("purpose", F.lit("")).alias("purpose"), F.coalesce("summary", F.lit("")).alias("summary"))
+    return found.join(texts, ID, "left").na.fill("", ["purpose", "summary"])
+
+
 def list_projection(knowledge: DataFrame, counts: DataFrame) -> DataFrame:
     """What a list shows: state, one text for the source, the stored number of files or else the counted one."""
     source = F.concat(F.col("source_kind"), F.lit(":"), F.col("source_url"), F.lit("@"), F.col("branch"))

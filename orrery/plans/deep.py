@@ -332,3 +332,56 @@ def artifact_enrichment(spark, d):
     out = artifacts.enrichment(k.select("knowledge_id", "org_id"), summaries, registries)
     top = F.array_join(F.transform("top_keywords", lambda x: F.concat_ws("=", x["keyword"], x["count"].cast("long").cast("string"))), ",")
     return out.select("knowledge_id", "repo_architecture", F.array_join(F.transform("major_subsystems", lambda x: x["name"]), ",").alias("subsystems"), top.alias("top_keywords"), F.size("side_effects").alias("n_effects"))
+
+
+# --- retrieved answers --------------------------------------------------------------------------
+
+
+@query("content_range", """WITH f AS (SELECT knowledge_id, relative_path, regexp_split_to_array(content, '\\r?\\n') AS s FROM v_file),
+l AS (SELECT knowledge_id, relative_path, len(s) AS total, i, s[i] AS line, length(CAST(i AS VARCHAR)) + 3 + length(s[i]) AS cost FROM (SELECT *, unnest(range(2, greatest(2, least(len(s), 40)) + 1)) AS i FROM f) WHERE i <= len(s)),
+u AS (SELECT *, sum(cost) OVER (PARTITION BY knowledge_id, relative_path ORDER BY i) AS used FROM l),
+k AS (SELECT *, min(CASE WHEN used > 800 AND i > 2 THEN i END) OVER (PARTITION BY knowledge_id, relative_path) AS stop FROM u),
+t AS (SELECT knowledge_id, relative_path, max(i) AS last, length(CAST(max(i) AS VARCHAR)) AS width FROM k WHERE i < COALESCE(stop, 1000000) GROUP BY 1, 2),
+c AS (SELECT k.knowledge_id, k.relative_path, string_agg(lpad(CAST(i AS VARCHAR), CAST(width AS INT), ' ') || ' | ' || line, chr(10) ORDER BY i) AS content FROM k JOIN t USING (knowledge_id, relative_path) WHERE i <= last GROUP BY 1, 2)
+SELECT f.knowledge_id, f.relative_path, len(s)::INT AS total_lines, 2 AS from_line, COALESCE(last, 1)::INT AS to_line, COALESCE(last, 1) < greatest(2, least(len(s), 40)) AS truncated, COALESCE(last, 1) < len(s) AS has_more, CASE WHEN COALESCE(last, 1) < len(s) THEN COALESCE(last, 1) + 1 END::INT AS next_from_line, COALESCE(content, '') AS content
+FROM f LEFT JOIN t USING (knowledge_id, relative_path) LEFT JOIN c USING (knowledge_id, relative_path)""")
+def content_range(spark, d):
+    from ..operators import retrieve
+
+    return retrieve.content_range(v.v_file(spark, d), 2, 40, 200)
+
+
+_ASKED = "(SELECT knowledge_id, CASE WHEN doc_id % 6 = 0 THEN concat('gone/', relative_path) ELSE relative_path END AS relative_path, doc_id AS ord FROM v_file WHERE doc_id % 2 = 0)"
+
+
+def _asked(spark, d):
+    path = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("gone/"), "relative_path")).otherwise(F.col("relative_path"))
+    return v.v_file(spark, d).where("doc_id % 2 = 0").select("knowledge_id", path.alias("relative_path"), F.col("doc_id").alias("ord"))
+
+
+@query("bulk_answer", f"""WITH m AS (SELECT knowledge_id, relative_path, len(list_filter(regexp_split_to_array(content, '\\r?\\n'), lambda x: contains(lower(x), 'tion')))::INT AS n FROM v_file),
+r AS (SELECT a.*, n, CASE WHEN n IS NULL THEN 'errored' WHEN n = 0 THEN 'no_match' ELSE 'matched' END AS section FROM {_ASKED} a LEFT JOIN m USING (knowledge_id, relative_path))
+SELECT knowledge_id, relative_path, section, row_number() OVER (PARTITION BY knowledge_id, section ORDER BY CASE WHEN section = 'matched' THEN -n ELSE 0 END, ord)::INT AS pos, COALESCE(n, 0)::INT AS match_count, CASE WHEN section = 'matched' THEN n END AS n_contexts FROM r""")
+def bulk_answer(spark, d):
+    from ..operators import retrieve
+
+    out = retrieve.bulk_answer(v.v_file(spark, d), _asked(spark, d), "tion", 2)
+    return out.select(*search.ID, "section", "pos", "match_count", F.when(F.col("matches").isNotNull(), F.size(F.filter("matches", lambda m: m["context"].contains(m["text"])))).alias("n_contexts"))
+
+
+@query("metadata_answer", f"""WITH e AS (SELECT knowledge_id, relative_path, string_agg(DISTINCT dst, ',' ORDER BY dst) FILTER (edge_type = 'HAS_KEYWORD') AS keywords, count(DISTINCT dst) FILTER (edge_type = 'HAS_FUNCTION') AS n_functions FROM v_edge GROUP BY 1, 2)
+SELECT ord, a.knowledge_id, a.relative_path, f.sha IS NOT NULL AS found, language, size_bytes, summary, CASE WHEN f.sha IS NOT NULL THEN COALESCE(keywords, '') END AS keywords, CASE WHEN f.sha IS NOT NULL THEN COALESCE(n_functions, 0) END::INT AS n_functions
+FROM {_ASKED} a LEFT JOIN v_file f USING (knowledge_id, relative_path) LEFT JOIN e USING (knowledge_id, relative_path)""")
+def metadata_answer(spark, d):
+    out = search.metadata_answer(v.v_file(spark, d), v.v_edge(spark, d), _asked(spark, d))
+    return out.select("ord", *search.ID, "found", "language", "size_bytes", "summary", F.array_join("keywords", ",").alias("keywords"), F.size("functions").alias("n_functions"))
+
+
+@query("lookup_answer", """WITH n AS (SELECT DISTINCT dst FROM v_edge WHERE edge_type = 'HAS_KEYWORD' AND contains(lower(dst), 'er') ORDER BY dst LIMIT 20),
+r AS (SELECT DISTINCT e.dst, e.knowledge_id, e.relative_path FROM v_edge e JOIN n USING (dst) WHERE edge_type = 'HAS_KEYWORD'),
+k AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY knowledge_id, relative_path) AS nth FROM r)
+SELECT k.dst AS name, k.knowledge_id, k.relative_path, repo_name, nth::INT AS nth, f.purpose, f.summary FROM k JOIN v_knowledge USING (knowledge_id) JOIN v_file f ON f.knowledge_id = k.knowledge_id AND f.relative_path = k.relative_path WHERE nth <= 20""")
+def lookup_answer(spark, d):
+    f = v.v_file(spark, d)
+    found = search.keyword_lookup(v.v_edge(spark, d), v.v_knowledge(spark, d), "er")
+    return search.lookup_answer(found, f)
