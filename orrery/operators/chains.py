@@ -52,6 +52,18 @@ def greedy(rows: DataFrame, keys: list[str], order: list, cost: Column, budget:
     return out.withColumn("group", F.sum(F.coalesce("__start", F.lit(0))).over(Window.partitionBy(*keys).orderBy("pos"))).drop("__start", "__cost", "__upto")
 
 
+def page(rows: DataFrame, order: list, number: int = 1, chars: int = 20_000) -> DataFrame:
+    """The rows of a page of so many characters of JSON, one row at least, with page and pages; past the last page the last one.
+
+    For lists that a user turns over: their rows have one order, so they are one key.
+    """
+    names = rows.columns
+    cost = F.char_length(F.to_json(F.struct(*names)))
+    out = greedy(rows.withColumn("__all", F.lit(0)), ["__all"], order, cost, chars)
+    out = out.withColumn("pages", F.max("group").over(Window.partitionBy("__all")))
+    return out.where(F.col("group") == F.least(F.lit(max(number, 1)), F.col("pages"))).select(*names, F.col("group").alias("page"), "pages")
+
+
 def throttled(progress: DataFrame, every: int = 250) -> DataFrame:
     """Of progress(run_id, at_ms, done, total) the rows that are stored: the first of a run, then each that comes over `every` ms after the last stored one or completes the run."""
     keys = ["run_id"]

@@ -50,10 +50,10 @@ def advance_branches(knowledge: DataFrame, heads: DataFrame) -> DataFrame:
 def record_failures(knowledge: DataFrame, errors: DataFrame) -> DataFrame:
     """State and failure(category, reason) of the knowledge bases in errors(knowledge_id, error, status_code).
 
-    Failures worth another try halt, all others fail.
+    A source that is gone makes them CORRUPTED, failures worth another try HALTED, all others FAILED.
     """
     kind = X.failure_category(F.col("error"), F.col("status_code"))
-    told = errors.select("knowledge_id", kind.alias("category"), F.when(X.is_retryable(kind), "HALTED").otherwise("FAILED").alias("new_state"))
+    told = errors.select("knowledge_id", kind.alias("category"), F.when(kind == "repo_unavailable", "CORRUPTED").when(X.is_retryable(kind), "HALTED").otherwise("FAILED").alias("new_state"))
     return update(knowledge, told, "knowledge_id", state=F.col("new_state"), failure=F.struct("category", F.concat(F.lit("failed: "), "category").alias("reason")))
 
 

@@ -62,6 +62,17 @@ def fork_archive(archive: DataFrame, previous: str, commit: str, changes: DataFr
     return kept.withColumn("commit_hash", F.lit(commit))
 
 
+def push_archive(archive: DataFrame, commit: str, files: DataFrame) -> DataFrame:
+    """The archive with files(knowledge_id, relative_path, …) put over those of a commit; other commits and files stay."""
+    old = archive.join(files.select(*PATH).withColumn("commit_hash", F.lit(commit)), [*PATH, "commit_hash"], "left_anti")
+    return old.unionByName(files.withColumn("commit_hash", F.lit(commit)).select(*archive.columns))
+
+
+def remove_from_archive(archive: DataFrame, commit: str, paths: DataFrame) -> DataFrame:
+    """The archive without paths(knowledge_id, relative_path) of a commit; ones that it hasn't are passed over."""
+    return archive.join(paths.select(*PATH).withColumn("commit_hash", F.lit(commit)), [*PATH, "commit_hash"], "left_anti")
+
+
 def pending(files: DataFrame, completed: DataFrame) -> DataFrame:
     """Files that a run has not completed yet."""
     return files.join(completed.select(*PATH), PATH, "left_anti")

@@ -21,6 +21,32 @@ def stats_rollup(commits: DataFrame) -> DataFrame:
     return commit_stats(commits).rollup("knowledge_key").agg(F.count("*").alias("n_commits"), total("input_tokens"), total("output_tokens"), total("cost_usd"))
 
 
+def commit_entries(knowledge: DataFrame) -> DataFrame:
+    """(knowledge_id, pos, commit_hash, input_tokens, output_tokens, cost_usd) of knowledge(knowledge_id, source: JSON text).
+
+    Of source's list commitHashes the objects whose hash is a string; amounts that aren't
+    strings count as 0, of strings the numeric prefix counts.
+    """
+    from ..sources import artifacts as A
+
+    doc = F.try_parse_json("source")
+    rows = knowledge.select("knowledge_id", F.posexplode(A.items(doc, "$.commitHashes")).alias("pos", "x"))
+    is_text = lambda path: F.schema_of_variant(F.try_variant_get("x", path, "variant")) == "STRING"
+    amount = lambda name: F.when(is_text(f"$.{name}"), S.parse_number(F.try_variant_get("x", f"$.{name}", "string"))).otherwise(0.0)
+    kept = rows.where(F.schema_of_variant("x").startswith("OBJECT") & F.coalesce(is_text("$.hash"), F.lit(False)))
+    return kept.select("knowledge_id", "pos", F.try_variant_get("x", "$.hash", "string").alias("commit_hash"), F.coalesce(amount("inputTokens"), F.lit(0.0)).alias("input_tokens"), F.coalesce(amount("outputTokens"), F.lit(0.0)).alias("output_tokens"), F.coalesce(amount("costUsd"), F.lit(0.0)).alias("cost_usd"))
+
+
+def repo_stats(knowledge: DataFrame, entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Per row of knowledge(knowledge_id, repo_name, source_kind) type, file_count, n_commits and sums of its commits, 0 where there are none; with a row of totals (knowledge_id null)."""
+    sums = entries.groupBy("knowledge_id").agg(F.count("*").alias("n_commits"), *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cost_usd")])
+    counts = files.groupBy("knowledge_id").agg(F.count("*").alias("file_count"))
+    kind = F.when(F.col("source_kind") == "github", "GITHUB").otherwise("LOCAL")
+    rows = knowledge.join(counts, "knowledge_id", "left").join(sums, "knowledge_id", "left").select("knowledge_id", "repo_name", kind.alias("type"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("file_count", "n_commits", "input_tokens", "output_tokens", "cost_usd")])
+    out = rows.rollup(F.struct("knowledge_id", "repo_name", "type").alias("k")).agg(F.count("*").alias("n_repos"), F.sum("file_count").alias("file_count"), F.sum("n_commits").alias("n_commits"), *[F.round(F.sum(c), 6).alias(c) for c in ("input_tokens", "output_tokens", "cost_usd")])
+    return out.select("k.knowledge_id", "k.repo_name", "k.type", "n_repos", "file_count", "n_commits", "input_tokens", "output_tokens", "cost_usd")
+
+
 def monthly_usage(activity: DataFrame) -> DataFrame:
     t = F.col("created_at")
     return activity.groupBy("identity_id", F.year(t).alias("year"), F.month(t).alias("month")).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
@@ -28,7 +54,8 @@ def monthly_usage(activity: DataFrame) -> DataFrame:
 
 def global_usage(activity: DataFrame) -> DataFrame:
     """One row of sums; none where there is no activity."""
-    return activity.agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")).where("calls > 0")
+    tokens = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
+    return activity.agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(tokens).alias("total_tokens")).where("calls > 0")
 
 
 def folder_rollup(files: DataFrame) -> DataFrame:

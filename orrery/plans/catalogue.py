@@ -316,7 +316,7 @@ def stats_rollup(spark, d):
     return stats.stats_rollup(v.v_commit(spark, d))
 
 
-@query("usage_global", "SELECT count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM v_activity")
+@query("usage_global", "SELECT count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(input_tokens + output_tokens)::BIGINT AS total_tokens FROM v_activity")
 def usage_global(spark, d):
     return stats.global_usage(v.v_activity(spark, d))
 

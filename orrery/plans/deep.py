@@ -385,3 +385,60 @@ def lookup_answer(spark, d):
     f = v.v_file(spark, d)
     found = search.keyword_lookup(v.v_edge(spark, d), v.v_knowledge(spark, d), "er")
     return search.lookup_answer(found, f)
+
+
+# --- plugged analysis, statistics, archives -------------------------------------------------------
+
+
+def count_words(row: dict) -> str | None:
+    """An analysis for tests: none of every fifth length, else how many blanks a content has."""
+    n = len(row["content"])
+    return None if n % 5 == 0 else str(row["content"].count(" "))
+
+
+@query("plugged_analysis", "SELECT knowledge_id, relative_path, CASE WHEN length(content) % 5 <> 0 THEN CAST(length(content) - length(replace(content, ' ', '')) AS VARCHAR) END AS answer, length(content) % 5 <> 0 AS cached FROM v_file")
+def plugged_analysis(spark, d):
+    """Two runs over one log: the second finds what the first was answered."""
+    from ..operators import plugged
+
+    log, rows = _folder(spark), v.v_file(spark, d).select(*search.ID, F.col("sha").alias("cache_key"), "content")
+    plugged.answered(rows, count_words, log).count()
+    return plugged.answered(rows, count_words, log).select(*search.ID, "answer", "cached")
+
+
+def merge_counts(records: list[str]) -> str:
+    """A roll-up for tests: sums of numbers and the least name."""
+    parts = [r.split("|") for r in records]
+    return f"{sum(int(p[0]) for p in parts)}|{min(p[1] for p in parts)}"
+
+
+@query("rolled_folders", "SELECT knowledge_id, regexp_replace(relative_path, '/[^/]*$', '') AS folder_path, count(*) AS n, concat(CAST(sum(length(content)) AS VARCHAR), '|', min(relative_path)) AS record FROM v_file GROUP BY 1, 2")
+def rolled_folders(spark, d):
+    from ..functions import scalars as S
+    from ..operators import plugged
+
+    rows = v.v_file(spark, d).select("knowledge_id", S.direct_folder(F.col("relative_path")).alias("folder_path"), "relative_path", F.concat_ws("|", F.char_length("content").cast("string"), "relative_path").alias("record"))
+    return plugged.rolled_up(rows, ["knowledge_id", "folder_path"], "relative_path", "record", merge_counts, 4)
+
+
+@query("stats_repos", """WITH e AS (SELECT knowledge_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE size_bytes END AS input_tokens, 2.5 AS output_tokens FROM v_file WHERE doc_id % 7 <> 0),
+s AS (SELECT knowledge_id, count(*) AS n_commits, sum(input_tokens)::DOUBLE AS input_tokens, sum(output_tokens)::DOUBLE AS output_tokens FROM e GROUP BY 1),
+r AS (SELECT k.knowledge_id, repo_name, 'GITHUB' AS type, 1 AS n_repos, (SELECT count(*) FROM v_file f WHERE f.knowledge_id = k.knowledge_id) AS file_count, COALESCE(n_commits, 0) AS n_commits, COALESCE(input_tokens, 0) AS input_tokens, COALESCE(output_tokens, 0) AS output_tokens, 0.0::DOUBLE AS cost_usd FROM v_knowledge k LEFT JOIN s USING (knowledge_id))
+SELECT * FROM r UNION ALL SELECT NULL, NULL, NULL, count(*), sum(file_count)::BIGINT, sum(n_commits)::BIGINT, sum(input_tokens), sum(output_tokens), 0.0::DOUBLE FROM r""")
+def stats_repos(spark, d):
+    """Commit entries out of each source's JSON: some have a hash that is no text, some amounts that are none."""
+    from ..operators import stats
+
+    i, f = F.col("doc_id"), v.v_file(spark, d)
+    entry = F.when(i % 7 == 0, F.to_json(F.struct(i.alias("hash")))).when(i % 5 == 0, F.to_json(F.struct(F.col("sha").alias("hash"), F.col("size_bytes").alias("inputTokens"), F.lit("2.5x").alias("outputTokens")))).otherwise(F.to_json(F.struct(F.col("sha").alias("hash"), F.col("size_bytes").cast("string").alias("inputTokens"), F.lit("2.5").alias("outputTokens"), F.lit("-").alias("costUsd"))))
+    source = f.groupBy("knowledge_id").agg(F.concat(F.lit('{"commitHashes":['), F.array_join(F.collect_list(entry), ","), F.lit(',null,"text"]}')).alias("source"))
+    return stats.repo_stats(v.v_knowledge(spark, d), stats.commit_entries(source), f)
+
+
+@query("archive_push_remove", "SELECT knowledge_id, relative_path, CASE WHEN doc_id % 3 = 1 THEN 'new' ELSE sha END AS sha, 'c1' AS commit_hash FROM v_file WHERE doc_id % 3 <> 0 UNION ALL SELECT knowledge_id, relative_path, sha, 'c0' FROM v_file")
+def archive_push_remove(spark, d):
+    f = v.v_file(spark, d)
+    rows = f.select(*search.ID, "sha")
+    archive = rows.withColumn("commit_hash", F.lit("c0")).unionByName(rows.withColumn("commit_hash", F.lit("c1")))
+    pushed = pull.push_archive(archive, "c1", f.where("doc_id % 3 = 1").select(*search.ID, F.lit("new").alias("sha")))
+    return pull.remove_from_archive(pushed, "c1", f.where("doc_id % 3 = 0").select(*search.ID))

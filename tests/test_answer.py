@@ -50,6 +50,13 @@ def test_engine(tables):
     assert 0 < found.count() <= 10
     assert e.answer("tion").where("section = 'hit'").count() <= 30
     assert e.keyword_lookup("tion").select("name").distinct().count() <= 20
+    assert {r.page for r in e.list_knowledge(1).collect()} == {1} and {r.page for r in e.keyword_lookup("e", page=99).collect()} == {r.pages for r in e.keyword_lookup("e", page=2).collect()}
+    asked = tables["file"].orderBy("relative_path").limit(3).selectExpr("knowledge_id", "relative_path", "doc_id ord").unionByName(tables["file"].limit(1).selectExpr("knowledge_id", "'none' relative_path", "-1L ord"))
+    assert sorted(r.found for r in e.retrieve_file("metadata", asked).collect()) == [False, True, True, True]
+    assert e.retrieve_file("content", asked, first=1, last=2).count() == 3 and e.retrieve_file("content", asked, search="the").count() == 3
+    assert {r.section for r in e.retrieve_file("bulk_search", asked, search="zzzqqq").collect()} == {"no_match", "errored"}
+    with pytest.raises(ValueError):
+        e.retrieve_file("erase", asked)
     paths = tables["file"].select("relative_path").limit(3)
     assert e.metadata(paths).count() >= 3
     assert e.read(1, 2).groupBy(*search.ID).count().where("count > 2").count() == 0
