@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,50 @@ def attach(files: DataFrame, entities: DataFrame, edges: DataFrame, old: DataFra
     return rows.groupBy(*KEY, "slug", "edge").agg(F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
 
 
+SCOPE = ["org_id", "knowledge_id"]
+
+
+def _merged_edges(rows: DataFrame, keys: list[str], old: DataFrame | None) -> DataFrame:
+    """Edges by key with the run that named each last, when it was made, and when it was last named again: null if it wasn't."""
+    known = rows.select(*keys, "run", F.col("at").alias("created_at"), F.lit(None).cast(rows.schema["at"].dataType).alias("updated_at"))
+    if old is not None:
+        known = known.unionByName(old.select(*known.columns))
+    seen = F.coalesce("updated_at", "created_at")
+    again = F.when((F.count("*") > 1) | F.max("updated_at").isNotNull(), F.max(seen))
+    return known.groupBy(*keys).agg(F.max_by("run", F.struct(seen.alias("s"), "run")).alias("run"), F.min("created_at").alias("created_at"), again.alias("updated_at"))
+
+
+def contract_edges(files: DataFrame, contracts: DataFrame, edges: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """DEFINES and CONSUMES edges of edges(org_id, knowledge_id, relative_path, slug, edge, run, at) between files and contracts(org_id, knowledge_id, slug) of one knowledge base that are both there; other kinds are left out."""
+    rows = edges.where(F.col("edge").isin(*V.EDGE_KINDS["contract"])).join(files.select(*KEY), KEY, "left_semi")
+    rows = rows.join(contracts.select(*SCOPE, "slug"), [*SCOPE, "slug"], "left_semi")
+    return _merged_edges(rows, [*SCOPE, "relative_path", "slug", "edge"], old)
+
+
+#: What a guidepost can be about: the column that names it.
+TARGETS = {"file": "file_path", "concept": "concept_slug", "contract": "contract_slug"}
+
+
+def guidepost_edges(guideposts: DataFrame, ends: dict[str, DataFrame], asked: DataFrame, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """ABOUT edges of asked(org_id, knowledge_id, slug, file_path, concept_slug, contract_slug, run, at), and the rows refused.
+
+    A row must name exactly one target; others are refused, with how many they name.  An
+    edge needs its guidepost and, in the same knowledge base, its target: ends by kind
+    (file: by relative_path, in any organisation; concept and contract: by slug).
+    """
+    n = sum((F.col(c).isNotNull().cast("int") for c in TARGETS.values()), F.lit(0))
+    rows = asked.withColumn("n_targets", n)
+    kind = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(k)) for k, c in TARGETS.items()])
+    good = rows.where("n_targets = 1").withColumn("kind", kind).withColumn("target", F.coalesce(*TARGETS.values()))
+    good = good.join(guideposts.select(*SCOPE, "slug"), [*SCOPE, "slug"], "left_semi")
+    parts = []
+    for k, end in ends.items():
+        name = "relative_path" if k == "file" else "slug"
+        on = ["knowledge_id"] if k == "file" else SCOPE
+        parts.append(good.where(F.col("kind") == k).join(end.select(*on, F.col(name).alias("target")), [*on, "target"], "left_semi").select(*SCOPE, "slug", "kind", "target", "run", "at"))
+    return _merged_edges(reduce(DataFrame.unionByName, parts), [*SCOPE, "slug", "kind", "target"], old), rows.where("n_targets <> 1")
+
+
 def upsert(old: DataFrame, new: DataFrame, first: tuple[str, ...], last: tuple[str, ...]) -> DataFrame:
     """Entities by slug: columns in `first` keep their earliest value, those in `last` take the latest, in order of `at`.
 

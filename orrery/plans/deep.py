@@ -442,3 +442,58 @@ def archive_push_remove(spark, d):
     archive = rows.withColumn("commit_hash", F.lit("c0")).unionByName(rows.withColumn("commit_hash", F.lit("c1")))
     pushed = pull.push_archive(archive, "c1", f.where("doc_id % 3 = 1").select(*search.ID, F.lit("new").alias("sha")))
     return pull.remove_from_archive(pushed, "c1", f.where("doc_id % 3 = 0").select(*search.ID))
+
+
+# --- edges of enrichment --------------------------------------------------------------------------
+
+_CONTRACTS = "(SELECT DISTINCT 'o' AS org_id, knowledge_id, concat('api-', CAST(doc_id % 3 AS VARCHAR)) AS slug FROM v_file)"
+_NAMED = """(SELECT 'o' AS org_id, knowledge_id, CASE WHEN doc_id % 11 = 0 THEN 'gone' ELSE relative_path END AS relative_path, concat('api-', CAST((doc_id + t) % 4 AS VARCHAR)) AS slug, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'DEFINES' WHEN 1 THEN 'CONSUMES' ELSE 'USES' END AS edge, concat('run', CAST(t AS VARCHAR)) AS run, doc_id + t AS seq FROM v_file, (VALUES (0), (4), (9)) v(t))"""
+
+
+def _scoped(spark, d, slugs: int):
+    return v.v_file(spark, d).select(F.lit("o").alias("org_id"), "knowledge_id", F.concat(F.lit("api-"), (F.col("doc_id") % slugs).cast("string")).alias("slug")).distinct()
+
+
+@query("contract_edges", f"""SELECT n.org_id, n.knowledge_id, n.relative_path, n.slug, n.edge, arg_max(run, (seq, run)) AS run, min(seq) AS created_at, CASE WHEN count(*) > 1 THEN max(seq) END AS updated_at
+FROM {_NAMED} n JOIN v_file f ON f.knowledge_id = n.knowledge_id AND f.relative_path = n.relative_path JOIN {_CONTRACTS} c ON c.org_id = n.org_id AND c.knowledge_id = n.knowledge_id AND c.slug = n.slug WHERE edge <> 'USES' GROUP BY 1, 2, 3, 4, 5""")
+def contract_edges(spark, d):
+    """Edges named in three runs, the first of which is what is there already."""
+    from ..operators import enrich
+
+    i, f = F.col("doc_id"), v.v_file(spark, d)
+
+    def named(t):
+        edge = F.when(i % 3 == 0, "DEFINES").when(i % 3 == 1, "CONSUMES").otherwise("USES")
+        return f.select(F.lit("o").alias("org_id"), "knowledge_id", F.when(i % 11 == 0, "gone").otherwise(F.col("relative_path")).alias("relative_path"), F.concat(F.lit("api-"), ((i + t) % 4).cast("string")).alias("slug"), edge.alias("edge"), F.lit(f"run{t}").alias("run"), (i + t).alias("at"))
+
+    contracts = _scoped(spark, d, 3)
+    old = enrich.contract_edges(f, contracts, named(0))
+    return enrich.contract_edges(f, contracts, named(4).unionByName(named(9)), old)
+
+
+_ABOUT = """(SELECT 'o' AS org_id, knowledge_id, concat('api-', CAST(doc_id % 4 AS VARCHAR)) AS slug, CASE WHEN doc_id % 5 IN (0, 1) THEN relative_path END AS file_path, CASE WHEN doc_id % 5 IN (1, 2) THEN concat('api-', CAST(doc_id % 3 AS VARCHAR)) END AS concept_slug, CASE WHEN doc_id % 5 = 3 THEN 'api-0' END AS contract_slug, doc_id AS seq FROM v_file)"""
+
+
+def _about(spark, d):
+    from ..operators import enrich
+
+    i, f = F.col("doc_id"), v.v_file(spark, d)
+    slug = lambda n: F.concat(F.lit("api-"), (i % n).cast("string"))
+    asked = f.select(F.lit("o").alias("org_id"), "knowledge_id", slug(4).alias("slug"), F.when((i % 5).isin(0, 1), F.col("relative_path")).alias("file_path"), F.when((i % 5).isin(1, 2), slug(3)).alias("concept_slug"), F.when(i % 5 == 3, "api-0").alias("contract_slug"), F.lit("run").alias("run"), i.alias("at"))
+    ends = {"file": f, "concept": _scoped(spark, d, 2), "contract": _scoped(spark, d, 3)}
+    return enrich.guidepost_edges(_scoped(spark, d, 3), ends, asked)
+
+
+@query("guidepost_edges", f"""WITH a AS (SELECT *, CASE WHEN file_path IS NOT NULL THEN 'file' WHEN concept_slug IS NOT NULL THEN 'concept' ELSE 'contract' END AS kind, COALESCE(file_path, concept_slug, contract_slug) AS target FROM {_ABOUT} WHERE doc_id_n = 1),
+s AS (SELECT DISTINCT knowledge_id, CAST(doc_id % 2 AS VARCHAR) AS two, CAST(doc_id % 3 AS VARCHAR) AS three FROM v_file)
+SELECT org_id, a.knowledge_id, slug, kind, target, 'run' AS run, min(seq) AS created_at, CASE WHEN count(*) > 1 THEN max(seq) END AS updated_at FROM a
+WHERE EXISTS (SELECT 1 FROM s WHERE s.knowledge_id = a.knowledge_id AND a.slug = concat('api-', three))
+  AND (kind = 'file' OR EXISTS (SELECT 1 FROM s WHERE s.knowledge_id = a.knowledge_id AND a.target = concat('api-', CASE WHEN kind = 'concept' THEN two ELSE three END)))
+GROUP BY 1, 2, 3, 4, 5""".replace("WHERE doc_id_n = 1", "WHERE (file_path IS NOT NULL)::INT + (concept_slug IS NOT NULL)::INT + (contract_slug IS NOT NULL)::INT = 1"))
+def guidepost_edges(spark, d):
+    return _about(spark, d)[0]
+
+
+@query("guidepost_refused", f"SELECT knowledge_id, slug, seq, ((file_path IS NOT NULL)::INT + (concept_slug IS NOT NULL)::INT + (contract_slug IS NOT NULL)::INT) AS n_targets FROM {_ABOUT} WHERE (file_path IS NOT NULL)::INT + (concept_slug IS NOT NULL)::INT + (contract_slug IS NOT NULL)::INT <> 1")
+def guidepost_refused(spark, d):
+    return _about(spark, d)[1].select("knowledge_id", "slug", F.col("at").alias("seq"), "n_targets")
