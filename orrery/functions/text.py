@@ -93,6 +93,46 @@ def numbered(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
 
 
+def _number(value: Column) -> Column:
+    """A double as text, whole ones without a fraction."""
+    return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(value.cast("string"))
+
+
+def counted_lines(entries: Column) -> Column:
+    """`  keyword (count)` lines of an array of (keyword, count)."""
+    return F.array_join(F.transform(entries, lambda e: F.concat(F.lit("  "), e["keyword"], F.lit(" ("), _number(e["count"]), F.lit(")"))), "\n")
+
+
+def enrichment_text(focus: str = "shared", most: int = V.SECTION_TOKENS) -> Column:
+    """The sections of an enrichment row (see artifacts.enrichment) for product, technical or shared focus, those with nothing left out, capped in tokens."""
+    parts = []
+    for title, column, kind in V.SECTIONS:
+        if focus not in (kind, "shared"):
+            continue
+        c = F.col(column)
+        if column == "major_subsystems":
+            body, has = F.array_join(F.transform(c, lambda s: F.concat(F.lit("  "), s["name"], F.lit(": "), s["responsibility"])), "\n"), F.size(c) > 0
+        elif column == "repo_key_patterns":
+            body, has = F.concat(F.lit("  "), F.array_join(c, ", ")), F.size(c) > 0
+        elif column.startswith("repo_"):
+            body, has = c, c != ""
+        else:
+            body, has = counted_lines(c), F.size(c) > 0
+        parts.append(F.when(has, F.concat(F.lit(f"{title}:\n"), body)))
+    return cap_tokens(F.array_join(F.array_compact(F.array(*parts)), "\n\n"), most)
+
+
+def folder_lines(folders: Column) -> Column:
+    """Folders (folder_path, purpose, summary, keywords) as a prompt lists them, the root as <root>."""
+    one = lambda f: F.concat(F.lit("- "), F.when(f["folder_path"] == "", "<root>").otherwise(f["folder_path"]), F.lit("\n  purpose: "), f["purpose"], F.lit("\n  summary: "), f["summary"], F.lit("\n  keywords: "), F.to_json(f["keywords"]))
+    return F.concat(F.lit("Folder count: "), F.size(folders).cast("string"), F.lit("\n\nFolder summaries (sorted shallowest-first):\n\n"), F.array_join(F.transform(folders, one), "\n\n"))
+
+
+def partial_lines(partials: Column) -> Column:
+    """Partial summaries as a prompt to merge them lists them."""
+    return F.array_join(F.transform(partials, lambda p, i: F.concat(F.lit("--- Partial "), (i + 1).cast("string"), F.lit(" ---\n"), p)), "\n\n")
+
+
 def json_set(doc: Column, **fields: Column) -> Column:
     """The JSON object with fields set, in their place or else at the end; all others stay as they are.  Text that is no object counts as empty."""
     kind = "map<string,variant>"

@@ -48,6 +48,24 @@ BLANKS = "".join(map(chr, (*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x2
 # Operating limits.
 MAX_FILE_BYTES, MAX_LINES, CONTEXT_TOKENS, CHUNK_TOKENS, PAGE_CHARS = 52_428_800, 2_000, 15_000, 6_000, 20_000
 
+# Categories of ignore patterns.
+PATTERN_CATEGORIES = ("directories", "filenames", "extensions", "globs")
+# Sections of enrichment texts: title, column, and for which focus; shared is both.
+SECTIONS = (
+    ("TOP REPOSITORY KEYWORDS (by frequency)", "top_keywords", "product"),
+    ("TOP BUSINESS ENTITIES", "top_business_entities", "product"),
+    ("TOP ONTOLOGY CONCEPTS", "top_ontology_concepts", "product"),
+    ("MAJOR SUBSYSTEMS", "major_subsystems", "product"),
+    ("REPOSITORY ARCHITECTURE", "repo_architecture", "technical"),
+    ("DATA FLOW", "repo_data_flow", "technical"),
+    ("KEY PATTERNS", "repo_key_patterns", "technical"),
+    ("INTEGRATION SURFACE", "integration_surface", "technical"),
+    ("CONTRACTS PROVIDED", "contracts_provided", "technical"),
+    ("CONTRACTS CONSUMED", "contracts_consumed", "technical"),
+    ("SIDE EFFECTS", "side_effects", "technical"),
+    ("CONFIG DEPENDENCIES", "config_dependencies", "technical"),
+    ("SYSTEM CAPABILITIES", "top_system_capabilities", "technical"),
+)
 # Characters of a content that a verdict is asked on; outcomes of a scan.
 VERDICT_CHARS = 4_000
 OUTCOMES = ("accept", "accept-llm", "reject-static", "reject-llm", "oversized", "binary")

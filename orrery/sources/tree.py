@@ -148,3 +148,34 @@ def scan(spark: SparkSession, root: str, **options) -> DataFrame:
     for k, x in options.items():
         reader = reader.option(k, json.dumps(list(x)) if isinstance(x, (list, tuple, set)) else x)
     return reader.load()
+
+
+def copy(spark: SparkSession, root: str, to: str, **options) -> DataFrame:
+    """Copies the files below root, ignored folders and file names left out, to another folder: relative_path, copied.
+
+    Each file is written beside its place and then moved there, so a task that runs again
+    does no harm; extensions are no reason to leave a file out.  A file that can't be read is
+    not copied.  Both folders must be shared.
+    """
+    files = scan(spark, root, extensions=["no extension"], maxBytes=0, **options).where("outcome <> 'reject-static'").select("relative_path")
+
+    def run(batches):
+        import shutil
+
+        import pyarrow as pa
+
+        for batch in batches:
+            done = []
+            for path in batch.column(0).to_pylist():
+                target = os.path.join(to, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{target}.{os.getpid()}.part"
+                try:
+                    shutil.copyfile(os.path.join(root, path), part, follow_symlinks=False)
+                    os.replace(part, target)
+                    done.append(True)
+                except OSError:
+                    done.append(False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.bool_())], ["relative_path", "copied"])
+
+    return files.mapInArrow(run, "relative_path string, copied boolean")

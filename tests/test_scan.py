@@ -91,3 +91,15 @@ def test_verdicts(spark, tmp_path):
     assert [r.decision for r in admission.two_passes(files, never, gate=False).collect()] == ["accept"]
     assert [r.decision for r in admission.two_passes(files, never, str(log)).collect()] == ["accept-llm"]
     assert admission.two_passes(files.limit(0), never).count() == 0
+
+
+def test_copy(spark, tmp_path):
+    root, to = tmp_path / "r", tmp_path / "to"
+    put(root, "a/b.bin", b"\0binary")
+    put(root, "a/.DS_Store")
+    put(root, "dist/x.q")
+    put(root, "c.txt", b"text")
+    put(to, "c.txt", b"old")
+    assert sorted(tuple(r) for r in tree.copy(spark, str(root), str(to)).collect()) == [("a/b.bin", True), ("c.txt", True)]
+    found = {os.path.relpath(os.path.join(d, f), to) for d, _, names in os.walk(to) for f in names}
+    assert found == {"a/b.bin", "c.txt"} and (to / "c.txt").read_bytes() == b"text" and (to / "a/b.bin").read_bytes() == b"\0binary"
