@@ -68,15 +68,15 @@ class Block:
     """Codes of texts, 0 where a piece ends, and the words that they stand for."""
 
     def __init__(self):
-        self.langs, self.words, self.codes, self.size, self.skip, self.by_lang = [], [], [np.zeros(1, np.int32)], 0, 0, {}
+        self.lang_of, self.words, self.codes, self.size, self.skip, self.by_lang = [], [], [np.zeros(1, np.int32)], 0, 0, {}
 
     def number(self, lang: str) -> dict:
         if lang not in self.by_lang:
-            block = self
+            block, nth = self, len(self.by_lang)
 
             class Numbers(dict):
                 def __missing__(self, word):
-                    block.langs.append(lang)
+                    block.lang_of.append(nth)
                     block.words.append(word)
                     self[word] = len(block.words)
                     return len(block.words)
@@ -94,7 +94,8 @@ class Block:
     def row(self) -> dict:
         codes = np.concatenate(self.codes)
         n = np.bincount(codes[1 + self.skip :], minlength=len(self.words) + 1)[1:]
-        return {"langs": self.langs, "words": self.words, "counts": n, "codes": packed(codes), "n_codes": len(codes), "skip": 1 + self.skip}
+        # No word has a line end, so one text holds them all; arrays of texts would take several times the room.
+        return {"langs": list(self.by_lang), "lang_of": self.lang_of, "words": b"\n".join(self.words), "counts": n, "codes": packed(codes), "n_codes": len(codes), "skip": 1 + self.skip}
 
     def next(self, lang: str) -> Block:
         """A block that goes on in the middle of a piece: it has its last two words once more, not to be counted again."""
@@ -106,13 +107,13 @@ class Block:
         return new
 
 
-SHAPE = "langs array<string>, words array<binary>, counts array<long>, codes binary, n_codes long, skip int"
+SHAPE = "langs array<string>, lang_of array<int>, words binary, counts array<int>, codes binary, n_codes long, skip int"
 
 
 def _blocks(batches):
     import pyarrow as pa
 
-    kinds = pa.schema([("langs", pa.list_(pa.string())), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("n_codes", pa.int64()), ("skip", pa.int32())])
+    kinds = pa.schema([("langs", pa.list_(pa.string())), ("lang_of", pa.list_(pa.int32())), ("words", pa.binary()), ("counts", pa.list_(pa.int32())), ("codes", pa.binary()), ("n_codes", pa.int64()), ("skip", pa.int32())])
     block = Block()
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -222,7 +223,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     """
     spark = docs.sparkSession
     blocks = cut(docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), docs["text"]).mapInArrow(_blocks, SHAPE).withColumn("block", F.monotonically_increasing_id()))
-    pairs = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.langs").alias("lang"), F.col("x.words").cast("string").alias("word"), F.col("x.counts").alias("n"))
+    words = F.split(F.col("words").cast("string"), "\n", -1).alias("word")
+    pairs = blocks.select("block", "langs", F.posexplode(F.arrays_zip(words, "lang_of", "counts")).alias("pos", "x")).select("block", "pos", F.get("langs", F.col("x.lang_of")).alias("lang"), "x.word", F.col("x.counts").alias("n"))
     totals = cut(pairs.groupBy("lang").agg(F.sum("n").alias("n")))
     words = pairs.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     words = cut(numbered(cut(words.withColumn("row", F.monotonically_increasing_id()))).select("id", "lang", "word", "f"))

@@ -91,7 +91,7 @@ w AS (SELECT *, ((pos - 1) % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS c
 l AS (SELECT *, cap / w AS ratio FROM w),
 v AS (SELECT *, (total - COALESCE(sum(cap) OVER (ORDER BY ratio, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
          / sum(w) OVER (ORDER BY ratio, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
-f AS (SELECT arg_min(level, ratio * 1000 + pos) AS final FROM v WHERE ratio > level),
+f AS (SELECT arg_min(level, (ratio, pos)) AS final FROM v WHERE ratio > level),
 t AS (SELECT source, source_size, CASE WHEN ratio <= level THEN cap ELSE w * COALESCE(final, 0.0) END AS target FROM v, f),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS LAST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
