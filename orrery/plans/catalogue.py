@@ -56,7 +56,7 @@ _EXCLUDED = " AND NOT (" + " OR ".join([f"ends_with(lower(relative_path), '{s}')
 
 
 def _fused(spark, d, scope=Scope()):
-    return search.fused_search(v.v_file(spark, d), v.v_edge(spark, d), QUERY, scope)
+    return search.fused_search(v.v_file(spark, d), v.v_edges(spark, d), QUERY, scope)
 
 
 @query("smart_search_fused", f"WITH {_fused_sql(_TERMS)} SELECT f.*, COALESCE(k.repo_name, '') AS repo_name FROM fused f LEFT JOIN v_knowledge k USING (knowledge_id)")
@@ -118,7 +118,7 @@ _NAMES = {"HAS_KEYWORD": "keywords", "HAS_CLASS": "classes", "HAS_FUNCTION": "fu
 @query("file_metadata", "SELECT f.knowledge_id, f.relative_path, any_value(f.language) AS language, any_value(f.purpose) AS purpose, " + ", ".join(f"COALESCE(string_agg(DISTINCT dst, ',' ORDER BY dst) FILTER (edge_type = '{e}'), '') AS {n}" for e, n in _NAMES.items()) + " FROM v_file f LEFT JOIN v_edge e USING (knowledge_id, relative_path) GROUP BY 1, 2")
 def file_metadata(spark, d):
     files = v.v_file(spark, d)
-    return search.file_metadata(files, v.v_edge(spark, d), files.select("knowledge_id", "relative_path"))
+    return search.file_metadata(files, v.v_edges(spark, d), files.select("knowledge_id", "relative_path"))
 
 
 @query("file_not_found", "SELECT concat('src/x/', split_part(relative_path, '/', 4)) AS relative_path FROM v_file WHERE doc_id % 3 = 0")
@@ -192,7 +192,7 @@ def graph_edges_keyword(spark, d):
 
 @query("graph_edge_counts", "SELECT edge_type, count(*) AS n_edges, count(DISTINCT dst) AS n_entities FROM v_edge GROUP BY 1")
 def graph_edge_counts(spark, d):
-    return graph.edge_counts(v.v_edge(spark, d))
+    return graph.edge_counts(v.v_edges(spark, d))
 
 
 @query("folder_tree", """WITH p AS (SELECT knowledge_id, string_split(relative_path, '/') AS s FROM v_file),

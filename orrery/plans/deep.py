@@ -173,7 +173,7 @@ def store_pull_swept(spark, d):
 def bulk_file_edges(spark, d):
     """Files and their edges from bucketed tables: grouped and joined without an exchange."""
     root = _folder(spark)
-    bulk.load_tables(spark, root, {"file": v.v_file(spark, d).select(*search.ID, "language", "sha"), "edge": v.v_edge(spark, d)}, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bulk.load_tables(spark, root, {"file": v.v_file(spark, d).select(*search.ID, "language", "sha"), "edge": v.v_edges(spark, d)}, int(spark.conf.get("spark.sql.shuffle.partitions")))
     t = bulk.open_tables(spark, root)
     n = t["edge"].groupBy(*search.ID).agg(F.count("*").alias("n_edges"), F.countDistinct("edge_type").alias("n_kinds"))
     out = t["file"].join(n.hint("merge"), search.ID, "left")
@@ -266,7 +266,7 @@ def _register_answer(name: str, page: int, size: int) -> None:
     def run(spark, d):
         from ..operators import answer
 
-        return answer.answer(v.v_file(spark, d), v.v_edge(spark, d), v.v_knowledge(spark, d), _ANSWER, page=page, size=size, concepts=v.v_concept_edge(spark, d))
+        return answer.answer(v.v_file(spark, d), v.v_edges(spark, d), v.v_knowledge(spark, d), _ANSWER, page=page, size=size, concepts=v.v_concept_edge(spark, d))
 
 
 _register_answer("search_answer", 1, 30)
@@ -373,7 +373,7 @@ def bulk_answer(spark, d):
 SELECT ord, a.knowledge_id, a.relative_path, f.sha IS NOT NULL AS found, language, size_bytes, summary, CASE WHEN f.sha IS NOT NULL THEN COALESCE(keywords, '') END AS keywords, CASE WHEN f.sha IS NOT NULL THEN COALESCE(n_functions, 0) END::INT AS n_functions
 FROM {_ASKED} a LEFT JOIN v_file f USING (knowledge_id, relative_path) LEFT JOIN e USING (knowledge_id, relative_path)""")
 def metadata_answer(spark, d):
-    out = search.metadata_answer(v.v_file(spark, d), v.v_edge(spark, d), _asked(spark, d))
+    out = search.metadata_answer(v.v_file(spark, d), v.v_edges(spark, d), _asked(spark, d))
     return out.select("ord", *search.ID, "found", "language", "size_bytes", "summary", F.array_join("keywords", ",").alias("keywords"), F.size("functions").alias("n_functions"))
 
 
