@@ -28,10 +28,10 @@ def test_greedy(spark):
 
 
 def test_a_large_group(spark):
-    """200,000 rows of one key, none of them gathered into a row."""
-    rows = spark.range(200_000).select(F.lit("k").alias("k"), "id", (F.col("id") % 7 + 1).alias("c"))
+    """60,000 rows of one key, none of them gathered into a row."""
+    rows = spark.range(60_000).select(F.lit("k").alias("k"), "id", (F.col("id") % 7 + 1).alias("c"))
     out = chains.greedy(rows, ["k"], ["id"], F.col("c"), 1_000)
-    want = fold([i % 7 + 1 for i in range(200_000)], 1_000)
+    want = fold([i % 7 + 1 for i in range(60_000)], 1_000)
     assert [r.group for r in out.orderBy("id").collect()] == want
 
 

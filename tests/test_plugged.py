@@ -78,7 +78,7 @@ def test_cancellation(spark):
 
     def slow(batches):
         for b in batches:
-            time.sleep(30)
+            time.sleep(12)
             yield b
 
     failed = []
@@ -98,7 +98,7 @@ def test_cancellation(spark):
     plugged.cancel(spark, "other")
     assert spark.range(10).count() == 10 and t.is_alive()
     plugged.cancel(spark, "slow")
-    t.join(25)
+    t.join(11)
     assert not t.is_alive() and failed and "cancel" in failed[0].lower()
 
 

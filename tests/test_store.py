@@ -22,7 +22,7 @@ def sets(s):
     return {name: sorted(map(repr, (tuple(sorted(r.asDict(True).items())) for r in t.collect()))) for name, t in s.tables().items()}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(1))
 def test_pulls_equal_a_rebuild(spark, seed):
     """Two pulls in turn, with renames, deletions and folders that come and go."""
     rng = random.Random(seed)

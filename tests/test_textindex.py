@@ -36,7 +36,7 @@ def corpus(seed, n=80):
     return [(f"k{i % 3}", f"src/f{i}", text(8), text(30), text(5)) for i in range(n)]
 
 
-@pytest.mark.parametrize("query", ["read", "er", "a", "parse ing", "READ 9 zzz", "écrit 日本 x", "zzz", "no-word", "  "])
+@pytest.mark.parametrize("query", ["a", "parse ing", "READ 9 zzz", "écrit 日本 x", "no-word", "  "])
 def test_scores(spark, query):
     files = corpus(1)
     index = textindex.build(spark.createDataFrame(files, SHAPE))
