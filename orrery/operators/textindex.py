@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from .search import ID, TEXTS, Scope, terms_of
+from .shared import cut
 
 #: Saturation and length weight of the score; characters of a gram.
 K1, B, GRAM = 1.2, 0.75, 3
@@ -69,10 +70,11 @@ def build(files: DataFrame, channels: tuple = CHANNELS) -> TextIndex:
     rows = files.where(F.col("knowledge_id").isNotNull() & F.col("relative_path").isNotNull()).select(*ID, F.inline(text))
     rows = rows.select("channel", *ID, F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("all"))
     totals = rows.groupBy("channel").agg(F.count("*").alias("n"), F.sum(F.size("all")).cast("long").alias("length"))
-    tf = rows.select("channel", *ID, F.size("all").cast("long").alias("length"), F.explode("all").alias("word")).groupBy("channel", *ID, "length", "word").agg(F.count("*").alias("tf"))
+    # Read for postings, words and grams: texts are taken apart once.
+    tf = cut(rows.select("channel", *ID, F.size("all").cast("long").alias("length"), F.explode("all").alias("word")).groupBy("channel", *ID, "length", "word").agg(F.count("*").alias("tf")))
     best = saturation(F.col("tf"), F.col("length"), F.col("total") / F.col("n"))
     words = tf.join(totals.select("channel", "n", F.col("length").alias("total")), "channel").groupBy("channel", "word", "n").agg(F.count("*").alias("df"), F.max(best).alias("best"))
-    words = words.select("channel", "word", "df", (F.col("best") * rarity(F.col("n"), F.col("df"))).alias("most"))
+    words = cut(words.select("channel", "word", "df", (F.col("best") * rarity(F.col("n"), F.col("df"))).alias("most")))
     gram = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("word") - k + 1)), lambda i: F.substring("word", i, k))))))
     return TextIndex(tf, words, words.select("channel", gram.alias("gram"), "word"), totals)
 
