@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bare, cut, table
+from .common import attach, bare, cut, sifted, table
 from .tokens import LOWER, blocks, scramble, text_bytes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -131,13 +131,13 @@ def _sketch(batches):
 
 
 def _sets(batches):
-    """(node, same, text) to (node, grams): the text's shingles with their numbers; only where its words are those of `same`."""
+    """(node, same, text) to (node, grams, outline): the text's shingles with their numbers; only where its words are those of `same`."""
     import pyarrow as pa
 
     for batch in batches:
         data, offsets = text_bytes(batch.column(2))
         nodes, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        out: dict[str, list] = {"node": [], "grams": []}
+        out: dict[str, list] = {"node": [], "grams": [], "outline": []}
         for a, b in blocks(offsets, AT_ONCE):
             _, _, row, h = words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
             names = _digests(row, h, b - a)
@@ -147,8 +147,11 @@ def _sets(batches):
             for i in range(b - a):
                 if names[i] == wanted[a + i]:
                     out["node"].append(nodes[a + i])
-                    out["grams"].append(_pack(s[at[i] : at[i + 1]], w[at[i] : at[i + 1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), pa.array(out["grams"], pa.binary())], ["node", "grams"])
+                    own, n = s[at[i] : at[i + 1]], w[at[i] : at[i + 1]]
+                    out["grams"].append(_pack(own, n))
+                    out["outline"].append(_outline(own, n))
+        columns = [pa.array(out["node"], pa.int64()), pa.array(out["grams"], pa.binary()), pa.array(out["outline"], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, list(out))
 
 
 def _pack(shingle: np.ndarray, n: np.ndarray) -> bytes:
@@ -168,6 +171,33 @@ def _unpack(data: bytes):
     return x["s"].astype(np.uint64) | x["s2"].astype(np.uint64) << np.uint64(32), w / w.sum() if len(w) else w
 
 
+def _outline(shingle: np.ndarray, n: np.ndarray) -> bytes:
+    """Numbers of distinct shingles and of all, then a bit set for each shingle, of 2 to 4 times as many bits as shingles."""
+    size = max(64, 1 << int(2 * len(shingle) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[shingle & np.uint64(size - 1)] = True
+    return np.array([len(shingle), n.sum()], "<i8").tobytes() + np.packbits(bits, bitorder="little").tobytes()
+
+
+def ceiling(x: bytes, y: bytes) -> float:
+    """What the similarity of two texts can't exceed, from their outlines.
+
+    A bit that only one text has is at least one shingle that only this one has: these bound
+    what both hold, and the shares that they take, the sum of the lesser shares, which the
+    probability Jaccard similarity does not exceed.  Bits of the longer outline are folded.
+    """
+    (n, n_all), (k, k_all) = (np.frombuffer(t, "<i8", 2).tolist() for t in (x, y))
+    p, q = (np.frombuffer(t, np.uint8, offset=16) for t in (x, y))
+    size = min(len(p), len(q))
+    p, q = (np.bitwise_or.reduce(t.reshape(-1, size)) for t in (p, q))
+    of_x, of_y = int(np.bitwise_count(p & ~q).sum()), int(np.bitwise_count(q & ~p).sum())
+    common = min(n - of_x, k - of_y)
+    jaccard = common / max(1, n + k - common)
+    if n == n_all and k == k_all:
+        return jaccard  # no shingle repeats in either text, so the sets say all
+    return max(jaccard, 1 - max(of_x / max(1, n_all), of_y / max(1, k_all)))
+
+
 def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """Of two distributions, from their shares x and y of what both hold.
 
@@ -204,6 +234,18 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
+def _likely(similarity: float):
+    """(a, b, outline_a, outline_b) to (a, b) of the pairs that may reach the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = [ceiling(x, y) >= similarity - SLACK for x, y in zip(left, right, strict=True)]
+            yield batch.select([0, 1]).filter(keep)
+
+    return run
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, part) of nodes(node): part is the least node that links (a, b) lead to.
 
@@ -229,9 +271,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b")
+    """The pairs (a, b) whose texts are similar enough; outlines, a tenth of the sets or less, go to all pairs, and the sets to those that are left."""
+
+    def beside(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
+        left, right = (sets.select(F.col("node").alias(x), F.col(what).alias(f"{what}_{x}")) for x in "ab")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", f"{what}_a", f"{what}_b")
+
+    likely = cut(beside(pairs, sets, "outline").mapInArrow(_likely(similarity), "a long, b long"))
+    rows = beside(likely, sifted(sets, "node", likely.select(F.explode(F.array("a", "b")).alias("node"))), "grams")
     return rows.mapInArrow(_similar, "a long, b long, similarity double").where(F.col("similarity") >= similarity - SLACK).select("a", "b")
 
 
@@ -315,7 +362,8 @@ def _rest(shared: DataFrame, parts: DataFrame, sets: DataFrame, similarity: floa
     for _ in range(STEPS):
         met = open_.select("key", "node").join(home, "node").groupBy("key").agg(F.min("home").alias("home"))
         home = cut(open_.select("key", "node").join(met, "key").groupBy("node").agg(F.min("home").alias("home")))
-    who = cut(open_.select("node", "part").distinct().join(home, "node").join(sets, "node"))
+    some = sifted(sets.select("node", "grams"), "node", home.select("node"))
+    who = cut(open_.select("node", "part").distinct().join(home, "node").join(some, "node"))
     held_by = who.select("node", "grams").mapInArrow(_shares, "node long, s long, share double, part_of_set double").groupBy("s")
     alone = held_by.agg(*[F.max(c).alias(c) for c in ("node", "share", "part_of_set")], F.count("*").alias("n")).where("n = 1").groupBy("node")
     alone = alone.agg(F.least(F.sum("share"), F.sum("part_of_set")).alias("own")).where(F.col("own") > 1 - similarity + SLACK).select("node")
@@ -363,12 +411,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     posted = nodes.select("node", F.explode("bands").alias("key"))
     total = nodes.agg(F.sum(F.size("bands"))).first()[0] or 0
     sizes = cut(posted.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1))
-    shared = cut(attach(posted, sizes, ["key"], "size", total))
+    shared = cut(attach(sifted(posted, "key", sizes.select("key")), sizes, ["key"], "size", total))
     fame = shared.groupBy("node").agg(F.sum("size").alias("fame"))
     wanted = cut(fame.join(nodes.select("node", "same"), "node"))
     leaders = shared.join(wanted.select("node", "fame"), "node").groupBy("key").agg(F.min_by("node", F.struct(-F.col("fame"), F.col("node"))).alias("leader"), F.count("*").alias("n"))
-    texts = docs.join(wanted.select("node", "same").hint("shuffle_hash"), docs["doc_id"] == F.col("node")).select("node", "same", "text")
-    sets = cut(texts.mapInArrow(_sets, "node long, grams binary").dropDuplicates(["node"]))
+    texts = sifted(docs, "doc_id", wanted.select("node"))
+    texts = texts.join(wanted.select("node", "same").hint("shuffle_hash"), texts["doc_id"] == F.col("node")).select("node", "same", "text")
+    sets = cut(texts.mapInArrow(_sets, "node long, grams binary, outline binary").dropDuplicates(["node"]))
     of_pair = [F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")]
     pairs = attach(shared, cut(leaders), ["key"], "n", total).where("node <> leader").select(*of_pair).distinct()
     parts = cut(components(wanted.select("node"), _verified(pairs, sets, similarity)))

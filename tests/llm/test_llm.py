@@ -294,6 +294,58 @@ def test_near_dedup_spanning_links():
     assert len(links) == 59 and len({root[i] for i in range(60)}) == 1 and len(set(root.values())) == 6
 
 
+def shuffled(spark):
+    """Bytes that shuffles have written so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_near_dedup_moves_few_texts(spark, tmp_path):
+    """Texts without a relative stay where they are, in the operator and in the pipeline's stage."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(map(str, rng.integers(0, 10**9, 2000))), "en", "a", 1) for i in range(600)]
+    rows += [(1000, rows[3][1], "en", "a", 1), (1001, rows[5][1] + " x", "en", "b", 2), (None, rows[3][1], "en", "a", 1), (1000, rows[3][1], "en", "a", 1)]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, size = common.table(spark, tmp_path, "documents"), sum(len(r[1]) for r in rows)
+    before = shuffled(spark)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == {i: i for i in range(600)} | {1000: 3, 1001: 5}
+    between = shuffled(spark)
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).select("doc_id", F.md5("text")).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == list(range(600)) and len(kept) == 601
+    assert between - before < size / 10 and shuffled(spark) - between < size / 10
+
+
+def test_near_dedup_ceiling():
+    """No pair's similarity is above its ceiling, and pairs far from similar are told by it."""
+    rng = np.random.default_rng(9)
+    told = 0
+    for k in range(400):
+        base, more = (rng.integers(0, 2**48, n, dtype=np.uint64) for n in (rng.integers(1, 600), rng.integers(0, 200)))
+        texts = []
+        for own in (base[: rng.integers(1, len(base) + 1)], np.concatenate([base[rng.integers(0, len(base)) :], more])):
+            own = np.unique(own) if len(own) else base[:1]
+            texts.append((own, rng.integers(1, 1 + rng.choice([1, 2, 9]), len(own))))
+        if k % 3 == 0:
+            texts[1] = texts[0][0], rng.integers(1, 3, len(texts[0][0]))
+        exact = neardup.similarity_of(*(x for s, n in texts for x in (s, n / n.sum())))
+        high = neardup.ceiling(*(neardup._outline(s, n) for s, n in texts))
+        assert neardup.ceiling(*(neardup._outline(s, n) for s, n in texts[::-1])) == high >= exact - neardup.SLACK
+        told += exact < 0.5 and high < 0.8
+    assert told > 80
+
+
+def test_sifted(spark):
+    rows = spark.range(-3000, 3000).select(F.when(F.col("id") != 5, F.col("id")).alias("id"))
+    keys = spark.range(-2, 3000, 7).select(F.col("id").alias("k"))
+    got = {r.id for r in common.sifted(rows, "id", keys).collect()}
+    assert got >= set(range(-2, 3000, 7)) - {5} and len(got) < 500
+    assert common.sifted(rows, "id", keys.limit(0)).count() == 0 and common.marked(rows, "id", keys).count() == 6000
+
+
 def test_near_dedup_weights(spark):
     base, other = ([f"{c}{i}" for i in range(104)] for c in "xy")
     rows = [(1, " ".join(["r0 r1 r2 r3 r4"] * 400 + base)), (2, " ".join(["r0 r1 r2 r3 r4"] * 400 + other)), (3, " ".join(["r0 r1 r2 r3 r4"] * 3 + base)), (4, " ".join(other[::-1]))]
