@@ -238,7 +238,7 @@ w(run_id, pos, last, stored) AS (SELECT run_id, pos, at_ms, true FROM p WHERE po
 SELECT p.run_id, p.pos, CASE WHEN p.at_ms - w.last > 250 OR p.done >= p.total THEN p.at_ms ELSE w.last END, p.at_ms - w.last > 250 OR p.done >= p.total FROM w JOIN p ON p.run_id = w.run_id AND p.pos = w.pos + 1)
 SELECT run_id, at_ms, done, total FROM p JOIN w USING (run_id, pos) WHERE stored""")
 def progress_writes(spark, d):
-    rows = v.base(spark, d, "events").select(F.concat(F.lit("r"), (F.col("user_id") % 5).cast("string")).alias("run_id"), (F.col("event_id") * 40).alias("at_ms"), F.col("event_id").alias("done"), F.lit(777).cast("long").alias("total"))
+    rows = v.base(spark, d, "events").select(F.concat(F.lit("r"), F.coalesce((F.col("user_id") % 5).cast("string"), F.lit(""))).alias("run_id"), (F.col("event_id") * 40).alias("at_ms"), F.col("event_id").alias("done"), F.lit(777).cast("long").alias("total"))
     return chains.throttled(rows)
 
 

@@ -49,3 +49,55 @@ def test_throttled(spark, every):
                 want.append((r, at, i, 40))
     got = chains.throttled(spark.createDataFrame(rows, "run_id string, at_ms long, done long, total long"), every)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def throttle_fold(rows, every):
+    """rows(run, at, done, total) in order, one run."""
+    out, last = [], None
+    for r in rows:
+        if last is None or r[1] - last > every or r[2] >= r[3]:
+            last = r[1]
+            out.append(r)
+    return out
+
+
+def jobs(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_long_run(spark):
+    """The work of 2,000 rows that are all stored takes no more rounds than that of 20."""
+    shape, n_jobs = "run_id string, at_ms long, done long, total long", []
+    for n in (20, 2_000):
+        rows = [("r", i * 40, i, 5) for i in range(n)]
+        got, k = jobs(spark, f"throttle {n}", lambda: chains.throttled(spark.createDataFrame(rows, shape)).collect())  # noqa: B023
+        assert sorted(map(tuple, got)) == throttle_fold(rows, 250)
+        n_jobs.append(k)
+    assert n_jobs[1] <= n_jobs[0] + 4, n_jobs
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 5])
+def test_a_run_without_pauses(spark, step):
+    """What is stored in a bucket of time depends on all buckets before; times from below zero, one row completes the run."""
+    rows = [("r", i * step - 9_001, i, 6_000) for i in range(6_001)] + [("s", i * step, i, 10**6) for i in range(6_001)]
+    got = chains.throttled(spark.createDataFrame(rows, "run_id string, at_ms long, done long, total long"), 3)
+    assert sorted(map(tuple, got.collect())) == throttle_fold(rows[:6_001], 3) + throttle_fold(rows[6_001:], 3)
+
+
+def test_rows_without_time_or_run(spark):
+    rows = [("a", None, 9, 5), ("a", 10, 1, 5), ("a", None, 2, 5), ("a", 20, 2, 5), ("b", None, 3, 5), ("b", None, 2, 5), ("b", None, None, 5), (None, 1, 9, 5)]
+    got = chains.throttled(spark.createDataFrame(rows, "run_id string, at_ms long, done long, total long"))
+    assert sorted(map(tuple, got.collect()), key=repr) == [("a", 10, 1, 5), ("a", None, 9, 5), ("b", None, 2, 5)]
+
+
+def test_progress_of_no_user(spark, tmp_path):
+    """As in its SQL, events without a user are a run too."""
+    from orrery.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(1, None), (2, None), (9, None), (3, 4)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["progress_writes"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("r", 40, 1, 777), ("r", 360, 9, 777), ("r4", 120, 3, 777)]
